@@ -85,13 +85,15 @@ def window_start_us(ts: str, seconds: int) -> Column:
 
 
 def traffic_rate(packets: DataFrame, seconds: int = 60) -> DataFrame:
-    """Packets per second and Mbit per second in fixed windows."""
+    """Packets per second and Mbit per second in fixed windows (also on a stream)."""
     return (
-        packets.groupBy(window_start_us("ts", seconds).alias("window_start"))
+        packets.groupBy(F.window("ts", f"{seconds} seconds").alias("_w"))
         .agg(
             F.count(F.lit(1)).alias("packets"),
             F.sum("packet_size").cast("bigint").alias("bytes"),
         )
+        .withColumn("window_start", F.unix_micros("_w.start"))
+        .drop("_w")
         .withColumn("packets_per_s", F.col("packets").cast("double") / F.lit(float(seconds)))
         .withColumn(
             "mbit_per_s",
