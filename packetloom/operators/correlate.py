@@ -56,7 +56,7 @@ def sliding_count(
     pieces = cut_pieces(
         both, [key], "_at", tie[0], slot=slot_of(F.col("_us"), slot_seconds), piece_rows=piece_rows
     )
-    counted = running_sum(pieces, [key], ["_at", *tie], F.col("_delta"), out)
+    counted = running_sum(pieces, ["_at", *tie], F.col("_delta"), out)
     return drop_pieces(counted.filter(F.col("_delta") == 1)).drop("_us", "_at", "_delta")
 
 
@@ -171,6 +171,6 @@ def running_ip_score(
         ends, ["ip"], "_us", tie[0], slot_seconds=slot_seconds, piece_rows=piece_rows
     )
     order = ["_us", *tie, "side"]
-    return drop_pieces(running_sum(pieces, ["ip"], order, F.col(score), "running_score")).drop(
+    return drop_pieces(running_sum(pieces, order, F.col(score), "running_score")).drop(
         "_us"
     )

@@ -78,7 +78,7 @@ def beacons(
     pieces = time_pieces(
         timed, keys, "_us", tie, slot_seconds=slot_seconds, piece_rows=piece_rows
     )
-    before = previous_position(pieces, keys, "_us", ["_us", tie], "_before")
+    before = previous_position(pieces, "_us", ["_us", tie], "_before")
     gap = (F.col("_us") - F.col("_before")).cast("double") / F.lit(1e6)
     return (
         before.withColumn("_gap", gap)
@@ -196,10 +196,10 @@ def sessions(
         timed, keys, "_us", tie, slot_seconds=slot_seconds, piece_rows=piece_rows
     )
     order = ["_us", tie]
-    before = previous_position(pieces, keys, "_us", order, "_before")
+    before = previous_position(pieces, "_us", order, "_before")
     idle = int(round(idle_seconds * 1_000_000))
     starts = F.col("_before").isNull() | (F.col("_us") - F.col("_before") >= idle)
-    started = running_max(before, keys, order, F.when(starts, F.col("_us")), "start_us")
+    started = running_max(before, order, F.when(starts, F.col("_us")), "start_us")
     return (
         drop_pieces(started)
         .groupBy(*keys, "start_us")

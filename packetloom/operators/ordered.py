@@ -15,25 +15,29 @@ are exact aggregates of the data, so a recomputed task cuts the same pieces.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetloom.functions.timing import slot_of
+from packetloom.session import written
 
-SLOT, STEP = "_slot", "_step"
+KEY, SLOT, STEP = "_key", "_slot", "_step"
+PIECE = (KEY, SLOT, STEP)
 DAY = 86_400.0
 PIECE_ROWS = 1_000_000
 
 
 def attach(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left join in which NULL keys meet NULL keys; right keeps only its new columns."""
-    renamed = right.select(
-        *[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys]
+    """Left join in which NULL keys meet NULL keys; right keeps only its new columns.
+
+    The keys are compared as one struct: equal NULL fields are equal there, and the
+    join stays a plain equi-join.
+    """
+    named = right.select(
+        F.struct(*keys).alias("_right"), *[c for c in right.columns if c not in keys]
     )
-    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
-    return left.join(renamed, on, "left").drop(*[f"_r_{k}" for k in keys])
+    return left.join(named, F.struct(*keys) == F.col("_right"), "left").drop("_right")
 
 
 def cut_pieces(
@@ -45,16 +49,16 @@ def cut_pieces(
     slot: Column,
     piece_rows: int = PIECE_ROWS,
 ) -> DataFrame:
-    """Add ``_slot`` and ``_step``: the piece of each row.
+    """Add the piece of each row: ``_key``, ``_slot`` and ``_step``.
 
     ``position`` and ``tie`` are numeric columns in the wanted order and ``slot``
-    an expression that never decreases with ``position``. The table of over-full
-    slots has at most rows / piece_rows rows.
+    an expression that never decreases with ``position``. Over-full slots are found
+    first and written as a table, of fewer than rows / piece_rows rows; usually it
+    is empty, and then nothing is joined.
     """
-    slotted = df.withColumn(SLOT, slot)
-    group = [*keys, SLOT]
-    full = (
-        slotted.groupBy(*group)
+    slotted = df.withColumn(KEY, F.struct(*keys)).withColumn(SLOT, slot)
+    full = written(
+        slotted.groupBy(KEY, SLOT)
         .agg(
             F.count(F.lit(1)).alias("_n"),
             F.min(position).alias("_p0"),
@@ -62,16 +66,24 @@ def cut_pieces(
             F.min(tie).alias("_t0"),
             F.max(tie).alias("_t1"),
         )
-        .filter(F.col("_n") > piece_rows)
-        .withColumn("_steps", F.ceil(F.col("_n") / F.lit(piece_rows)))
+        .filter(F.col("_n") > piece_rows),
+        "full-slots",
     )
+    if full.isEmpty():
+        return slotted.withColumn(STEP, F.lit(0).cast("bigint"))
+
+    steps = F.ceil(F.col("_n") / F.lit(piece_rows))
 
     def step(value: str, low: str, high: str) -> Column:
         span = F.col(high).cast("double") - F.col(low).cast("double")
         share = (F.col(value).cast("double") - F.col(low).cast("double")) / span
-        return F.least(F.floor(share * F.col("_steps")), F.col("_steps") - 1)
+        return F.least(F.floor(share * steps), steps - 1)
 
-    placed = attach(slotted, full, group).withColumn(
+    limits = full.select(
+        F.col(KEY).alias("_full_key"), F.col(SLOT).alias("_full_slot"), "_n", "_p0", "_p1", "_t0", "_t1"
+    )
+    on = (F.col(KEY) == F.col("_full_key")) & (F.col(SLOT) == F.col("_full_slot"))
+    placed = slotted.join(limits, on, "left").withColumn(
         STEP,
         F.coalesce(
             F.when(F.col("_p1") > F.col("_p0"), step(position, "_p0", "_p1")).when(
@@ -80,86 +92,68 @@ def cut_pieces(
             F.lit(0).cast("bigint"),
         ),
     )
-    return placed.drop("_n", "_p0", "_p1", "_t0", "_t1", "_steps")
+    return placed.drop(*limits.columns)
 
 
-def _earlier(keys: Sequence[str]):
-    return (
-        Window.partitionBy(*keys)
+def _carried(pieces: DataFrame, summary: Column, carry) -> DataFrame:
+    """Per piece, ``carry`` of the summaries of the key's earlier pieces."""
+    earlier = (
+        Window.partitionBy(KEY)
         .orderBy(SLOT, STEP)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
+    return (
+        pieces.groupBy(*PIECE)
+        .agg(summary.alias("_summary"))
+        .select(*PIECE, carry("_summary").over(earlier).alias("_carry"))
+    )
 
 
-def running_sum(
-    pieces: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, out: str
-) -> DataFrame:
+def _inside(order: Sequence[str]):
+    return Window.partitionBy(*PIECE).orderBy(*order)
+
+
+def _so_far(order: Sequence[str]):
+    return _inside(order).rowsBetween(Window.unboundedPreceding, 0)
+
+
+def running_sum(pieces: DataFrame, order: Sequence[str], value: Column, out: str) -> DataFrame:
     """Add ``out``: sum of ``value`` over the key's rows up to and including this one."""
-    group = [*keys, SLOT, STEP]
     valued = pieces.withColumn("_v", value.cast("bigint"))
-    inside = (
-        Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    )
-    carried = (
-        valued.groupBy(*group)
-        .agg(F.sum("_v").alias("_sum"))
-        .withColumn("_carry", F.sum("_sum").over(_earlier(keys)))
-        .drop("_sum")
-    )
-    local = valued.withColumn("_local", F.sum("_v").over(inside))
+    local = valued.withColumn("_local", F.sum("_v").over(_so_far(order)))
+    carried = _carried(valued, F.sum("_v"), F.sum)
     return (
-        attach(local, carried, group)
+        local.join(carried, list(PIECE), "left")
         .withColumn(out, F.col("_local") + F.coalesce("_carry", F.lit(0)))
         .drop("_v", "_local", "_carry")
     )
 
 
-def running_max(
-    pieces: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, out: str
-) -> DataFrame:
+def running_max(pieces: DataFrame, order: Sequence[str], value: Column, out: str) -> DataFrame:
     """Add ``out``: greatest non-null ``value`` up to and including this row."""
-    group = [*keys, SLOT, STEP]
     valued = pieces.withColumn("_v", value)
-    inside = (
-        Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    )
-    carried = (
-        valued.groupBy(*group)
-        .agg(F.max("_v").alias("_top"))
-        .withColumn("_carry", F.max("_top").over(_earlier(keys)))
-        .drop("_top")
-    )
-    local = valued.withColumn("_local", F.max("_v").over(inside))
+    local = valued.withColumn("_local", F.max("_v").over(_so_far(order)))
+    carried = _carried(valued, F.max("_v"), F.max)
     return (
-        attach(local, carried, group)
+        local.join(carried, list(PIECE), "left")
         .withColumn(out, F.greatest("_local", "_carry"))
         .drop("_v", "_local", "_carry")
     )
 
 
-def previous_position(
-    pieces: DataFrame, keys: Sequence[str], position: str, order: Sequence[str], out: str
-) -> DataFrame:
+def previous_position(pieces: DataFrame, position: str, order: Sequence[str], out: str) -> DataFrame:
     """Add ``out``: ``position`` of the key's row just before this one, NULL for the first."""
-    group = [*keys, SLOT, STEP]
-    carried = (
-        pieces.groupBy(*group)
-        .agg(F.max(position).alias("_last"))
-        .withColumn("_carry", F.max("_last").over(_earlier(keys)))
-        .drop("_last")
-    )
-    local = pieces.withColumn(
-        "_local", F.lag(position).over(Window.partitionBy(*group).orderBy(*order))
-    )
+    local = pieces.withColumn("_local", F.lag(position).over(_inside(order)))
+    carried = _carried(pieces, F.max(position), F.max)
     return (
-        attach(local, carried, group)
+        local.join(carried, list(PIECE), "left")
         .withColumn(out, F.coalesce("_local", "_carry"))
         .drop("_local", "_carry")
     )
 
 
 def drop_pieces(df: DataFrame) -> DataFrame:
-    return df.drop(SLOT, STEP)
+    return df.drop(*PIECE)
 
 
 def time_pieces(
@@ -198,7 +192,7 @@ def occurrence_number(
         df, keys, position, tie, slot_seconds=slot_seconds, piece_rows=piece_rows
     )
     order = [position, tie, *more_order]
-    return drop_pieces(running_sum(pieces, keys, order, F.lit(1), out))
+    return drop_pieces(running_sum(pieces, order, F.lit(1), out))
 
 
 def first_rows(

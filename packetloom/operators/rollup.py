@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from packetloom.functions.net import ip_number
 from packetloom.functions.score import severity, traffic_tier
 from packetloom.operators.ordered import PIECE_ROWS, cut_pieces, drop_pieces, running_sum
+from packetloom.session import written
 
 
 def severity_rollup(alerts: DataFrame, score: str = "threat_score") -> DataFrame:
@@ -152,7 +153,7 @@ def tiled(
     slot = F.floor(F.log2(F.col(value) + 1) * 64)
     everything = df.withColumn("_all", F.lit(0))
     pieces = cut_pieces(everything, ["_all"], value, tie[0], slot=slot, piece_rows=piece_rows)
-    ranked = drop_pieces(running_sum(pieces, ["_all"], [value, *tie], F.lit(1), "_rank"))
+    ranked = drop_pieces(running_sum(pieces, [value, *tie], F.lit(1), "_rank"))
     total = df.agg(F.count(F.lit(1))).scalar()
     small = F.floor(total / tiles)
     wide = F.pmod(total, F.lit(tiles))
@@ -164,8 +165,11 @@ def tiled(
 
 
 def topology_edges(packets: DataFrame) -> DataFrame:
-    """Packets, bytes, last use and traffic tier (byte tertile) per address pair."""
-    edges = (
+    """Packets, bytes, last use and traffic tier (byte tertile) per address pair.
+
+    The pairs are ranked over several passes, so they are aggregated once and written.
+    """
+    edges = written(
         packets.groupBy("src_ip", "dst_ip")
         .agg(
             F.count(F.lit(1)).alias("packets"),
@@ -173,7 +177,8 @@ def topology_edges(packets: DataFrame) -> DataFrame:
             F.max("ts").alias("last_seen"),
         )
         .withColumn("_s", ip_number(F.col("src_ip")))
-        .withColumn("_d", ip_number(F.col("dst_ip")))
+        .withColumn("_d", ip_number(F.col("dst_ip"))),
+        "edges",
     )
     tiled_edges = tiled(edges, 3, "bytes", ["_s", "_d"], "_tile")
     return tiled_edges.withColumn("traffic", traffic_tier(F.col("_tile"))).drop("_s", "_d", "_tile")

@@ -9,6 +9,7 @@ from packetloom.operators.correlate import HITS, WINDOW_SECONDS, apply_escalatio
 from packetloom.operators.lookup import score_indicators
 from packetloom.operators.match import match_packets
 from packetloom.operators.rollup import severity_by
+from packetloom.session import written
 from packetloom.sources.packets import ipv4_only
 
 
@@ -19,9 +20,16 @@ def detect(
     *,
     window_seconds: float = WINDOW_SECONDS,
     hits: int = HITS,
+    staged: bool = True,
 ) -> DataFrame:
-    """Correlated alerts: ``intel_score`` is un-escalated, ``threat_score`` final."""
+    """Correlated alerts: ``intel_score`` is un-escalated, ``threat_score`` final.
+
+    Correlation reads the alerts three times. Unless ``staged`` is off, the narrow
+    alerts are written once, so the payloads are read and searched once only.
+    """
     matched = match_packets(ipv4_only(packets), rules)
+    if staged:
+        matched = written(matched, "alerts")
     marked = mark_escalated(matched, window_seconds=window_seconds, hits=hits)
     scored = score_indicators(marked, intel)
     return apply_escalation(scored.withColumn("threat_score", F.col("intel_score")))

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = 8, app: str = "packetloom", **conf: str) -> SparkSession:
@@ -42,5 +42,21 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared root for stream state and written tables."""
-    return os.path.join(shared_root(spark), "packetloom", f"{label}-{uuid.uuid4().hex}")
+    """A fresh path below the shared root for stream state and written tables.
+
+    Paths are grouped by application, so they can be removed when it has ended.
+    """
+    app = spark.sparkContext.applicationId
+    return os.path.join(shared_root(spark), "packetloom", app, f"{label}-{uuid.uuid4().hex}")
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Write a table to the shared folder and read it back.
+
+    Used where a result is read several times: it is computed once, survives the
+    loss of executors, and its real size is known to the planner, which then
+    chooses between broadcast and shuffle by itself.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

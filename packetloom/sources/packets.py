@@ -79,9 +79,20 @@ def with_payload(packets: DataFrame, documents: DataFrame, span: int | None = No
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan over the cores when it has far fewer splits than there are cores.
+
+    Meant ahead of work that is heavy per row. A table of many splits, as any large
+    one is, passes through unshuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 4 <= cores else df
+
+
 def packet_heads(spark: SparkSession, folder: str) -> DataFrame:
     return packets_from_events(table(spark, folder, "events"))
 
 
 def packets(spark: SparkSession, folder: str) -> DataFrame:
-    return with_payload(packet_heads(spark, folder), table(spark, folder, "documents"))
+    events = spread(table(spark, folder, "events"))
+    return with_payload(packets_from_events(events), table(spark, folder, "documents"))

@@ -14,9 +14,8 @@ _META = r'(?m)^\s*(\w+)\s*=\s*("(?:[^"\\]|\\.)*"|\S+)\s*$'
 
 def signature_files(spark: SparkSession, folder: str) -> DataFrame:
     return (
-        spark.read.option("wholetext", True)
-        .option("pathGlobFilter", "*.yar")
-        .text(folder)
+        spark.read.option("pathGlobFilter", "*.yar")
+        .text(folder, wholetext=True)
         .select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
     )
 
