@@ -16,13 +16,12 @@ def is_ipv4(ip: Column) -> Column:
 
 def ip_number(ip: Column) -> Column:
     """Dotted quad → LONG; anything else → NULL."""
-    octets = F.split(ip, r"\.")
-
-    def octet(i: int) -> Column:
-        return F.try_element_at(octets, F.lit(i + 1)).try_cast("bigint")
-
-    number = octet(0) * 16777216 + octet(1) * 65536 + octet(2) * 256 + octet(3)
-    return F.when(is_ipv4(ip), number)
+    number = F.aggregate(
+        F.split(ip, r"\."),
+        F.lit(0).cast("bigint"),
+        lambda total, octet: total * 256 + octet.try_cast("bigint"),
+    )
+    return F.when(ip.rlike(IPV4_PATTERN), number)
 
 
 def cidr_bounds(text: Column) -> tuple[Column, Column]:

@@ -88,7 +88,6 @@ def cidr_hits(df: DataFrame, ip: str, ranges: DataFrame, column: str = "indicato
         df.select(F.col(ip).alias("ip"))
         .distinct()
         .withColumn("_no", ip_number(F.col("ip")))
-        .filter(F.col("_no").isNotNull())
         .select("ip", F.inline(levels))
     )
     return probes.join(cidr_blocks(ranges, column), ["bits", "block"]).select("ip", column).distinct()
@@ -114,7 +113,6 @@ def range_hits(df: DataFrame, ip: str, ranges: DataFrame, *keep: str) -> DataFra
         df.select(F.col(ip).alias("ip"))
         .distinct()
         .withColumn("_no", ip_number(F.col("ip")))
-        .filter(F.col("_no").isNotNull())
         .withColumn("_bucket", F.shiftright("_no", shift))
     )
     return (

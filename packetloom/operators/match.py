@@ -14,7 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.functions.net import ip_number
+from packetloom.functions.net import IPV4_PATTERN, ip_number
 from packetloom.operators.ordered import attach
 from packetloom.sources.rules import resolve_variables
 
@@ -64,12 +64,11 @@ def match_packets(
         packet_class(F.col("proto")) * spread
         + F.pmod(F.xxhash64("packet_id"), F.lit(spread)).cast("int"),
     )
-    listed = (
-        rules.withColumn("_class", F.explode(rule_classes(F.col("rule_proto"))))
-        .withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
-        .withColumn("_rule_meet", F.col("_class") * spread + F.col("_part"))
-        .drop("_class", "_part")
+    meets = F.transform(
+        rule_classes(F.col("rule_proto")),
+        lambda c: F.sequence(c * spread, c * spread + (spread - 1)),
     )
+    listed = rules.select("*", F.explode(F.flatten(meets)).alias("_rule_meet"))
     on = (F.col("_meet") == F.col("_rule_meet")) & size_matches(
         F.col("packet_size"), F.col("dsize_op"), F.col("dsize_n")
     )
@@ -104,125 +103,97 @@ def fill_variables(spec: Column, variables: Mapping[str, str]) -> Column:
     return spec
 
 
-def _terms(spec: Column) -> Column:
-    """Terms of a spec as (text, negated), lists flattened.
+def _terms(spec: str) -> str:
+    """SQL: terms of a spec column as array of (text, negated), lists flattened.
 
     ``![a,b]`` negates each listed term. The text is cut at every ``![``; in a
     later piece the terms up to its ``]`` are the negated ones.
     """
-    pieces = F.split(F.regexp_replace(spec, r"\s+", ""), r"!\[")
-
-    def listed(text: Column, negated: bool) -> Column:
-        words = F.filter(F.split(F.regexp_replace(text, r"[\[\]]", ""), ","), lambda w: w != "")
-        return F.transform(
-            words,
-            lambda w: F.struct(
-                F.regexp_replace(w, "^!+", "").alias("text"),
-                (w.startswith("!") != F.lit(negated)).alias("negated"),
-            ),
-        )
-
-    first = listed(F.element_at(pieces, 1), False)
-    later = F.transform(
-        F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))),
-        lambda p: F.concat(
-            listed(F.substring_index(p, "]", 1), True),
-            listed(F.when(F.instr(p, "]") > 0, F.substr(p, F.instr(p, "]") + 1)).otherwise(""), False),
-        ),
-    )
-    return F.concat(first, F.flatten(later))
-
-
-def address_ranges(spec: Column) -> Column:
-    """Address spec → array of (lo, hi, negated)."""
-
-    def one(term: Column) -> Column:
-        text = term["text"]
-        whole = F.lower(text) == "any"
-        base = ip_number(F.substring_index(text, "/", 1))
-        bits = F.when(F.instr(text, "/") > 0, F.substring_index(text, "/", -1).try_cast("int"))
-        size = F.pow(F.lit(2.0), 32 - F.coalesce(bits, F.lit(32))).cast("bigint")
-        low = base - F.pmod(base, size)
-        return F.struct(
-            F.when(whole, F.lit(0).cast("bigint")).otherwise(low).alias("lo"),
-            F.when(whole, F.lit(4294967295)).otherwise(low + size - 1).alias("hi"),
-            term["negated"].alias("negated"),
-        )
-
-    return F.transform(_terms(spec), one)
-
-
-def port_ranges(spec: Column) -> Column:
-    """Port spec (``any``, ``n``, ``lo:hi``, ``lo:``, ``:hi``) → array of (lo, hi, negated)."""
-
-    def one(term: Column) -> Column:
-        text = term["text"]
-        whole = F.lower(text) == "any"
-        ranged = F.instr(text, ":") > 0
-        first = F.substring_index(text, ":", 1)
-        last = F.substring_index(text, ":", -1)
-        return F.struct(
-            F.when(whole | (ranged & (first == "")), F.lit(0).cast("bigint"))
-            .otherwise(first.try_cast("bigint"))
-            .alias("lo"),
-            F.when(whole | (ranged & (last == "")), F.lit(65535).cast("bigint"))
-            .otherwise(last.try_cast("bigint"))
-            .alias("hi"),
-            term["negated"].alias("negated"),
-        )
-
-    return F.transform(_terms(spec), one)
-
 
-def in_ranges(value: Column, ranges: Column) -> Column:
-    """In one of the plain ranges (or there are none) and in no negated one.
+    def listed(text: str, negated: str) -> str:
+        return f"""transform(
+          filter(split(translate({text}, '[]', ''), ','), w -> w <> ''),
+          w -> named_struct('text', ltrim('!', w), 'negated', startswith(w, '!') <> {negated}))"""
+
+    pieces = rf"split(regexp_replace({spec}, r'\s+', ''), r'!\[')"
+    rest = "if(instr(p, ']') > 0, substr(p, instr(p, ']') + 1), '')"
+    return f"""flatten(transform({pieces}, (p, i) -> if(i = 0,
+        {listed("p", "false")},
+        concat({listed("substring_index(p, ']', 1)", "true")}, {listed(rest, "false")}))))"""
+
+
+def address_ranges(spec: str) -> Column:
+    """Address spec column → array of (lo, hi, negated); unreadable terms get NULL limits."""
+    read = f"""transform({_terms(spec)}, t -> named_struct(
+        'negated', t.negated, 'whole', lower(t.text) = 'any',
+        'base', if(substring_index(t.text, '/', 1) rlike r'{IPV4_PATTERN}',
+          aggregate(split(substring_index(t.text, '/', 1), r'\\.'), 0L,
+                    (n, o) -> n * 256 + cast(o as bigint)), null),
+        'bits', if(instr(t.text, '/') > 0, try_cast(substring_index(t.text, '/', -1) as int), 32)))"""
+    size = "cast(pow(2.0, 32 - r.bits) as bigint)"
+    return F.expr(f"""transform({read}, r -> named_struct(
+        'lo', if(r.whole, 0L, r.base - r.base % {size}),
+        'hi', if(r.whole, 4294967295L, r.base - r.base % {size} + {size} - 1),
+        'negated', r.negated))""")
+
+
+def port_ranges(spec: str) -> Column:
+    """Port spec column (``any``, ``n``, ``lo:hi``, ``lo:``, ``:hi``) → array of
+    (lo, hi, negated)."""
+    open_low = "lower(t.text) = 'any' or startswith(t.text, ':')"
+    open_high = "lower(t.text) = 'any' or endswith(t.text, ':')"
+    return F.expr(f"""transform({_terms(spec)}, t -> named_struct(
+        'lo', if({open_low}, 0L, try_cast(substring_index(t.text, ':', 1) as bigint)),
+        'hi', if({open_high}, 65535L, try_cast(substring_index(t.text, ':', -1) as bigint)),
+        'negated', t.negated))""")
+
+
+def in_ranges(value: str, ranges: str) -> str:
+    """SQL: in one of the plain ranges (or there are none) and in no negated one.
 
     A NULL value, such as a missing port, meets only a spec of bare ``any``.
     """
-    inside = lambda r: value.between(r["lo"], r["hi"])
-    plain = F.filter(ranges, lambda r: ~r["negated"])
-    barred = F.filter(ranges, lambda r: r["negated"])
-    known = ((F.size(plain) == 0) | F.exists(plain, inside)) & ~F.exists(barred, inside)
-    everything = (F.size(barred) == 0) & F.exists(
-        plain, lambda r: (r["lo"] == 0) & (r["hi"] >= 65535)
-    )
-    return F.when(value.isNull(), everything).otherwise(F.coalesce(known, F.lit(False)))
+    inside = f"{value} between r.lo and r.hi"
+    return f"""if({value} is null,
+        exists({ranges}, r -> not r.negated and r.lo = 0 and r.hi >= 65535)
+          and not exists({ranges}, r -> r.negated),
+        coalesce((exists({ranges}, r -> not r.negated and {inside})
+                  or not exists({ranges}, r -> not r.negated))
+                 and not exists({ranges}, r -> r.negated and {inside}), false))"""
+
+
+HEAD_SPECS = ("src", "sport", "dst", "dport")
 
 
 def with_head_ranges(rules: DataFrame, variables: Mapping[str, str] | None = None) -> DataFrame:
     """Rules with their four head specs as range arrays."""
-    variables = variables or {}
-    out = rules
-    for side in ("src", "dst"):
-        out = out.withColumn(
-            f"{side}_ranges", address_ranges(fill_variables(F.col(f"rule_{side}"), variables))
-        )
-    for side in ("sport", "dport"):
-        out = out.withColumn(
-            f"{side}_ranges", port_ranges(fill_variables(F.col(f"rule_{side}"), variables))
-        )
-    return out
+    filled = rules.withColumns(
+        {f"_{h}": fill_variables(F.col(f"rule_{h}"), variables or {}) for h in HEAD_SPECS}
+    )
+    return filled.withColumns(
+        {
+            f"{h}_ranges": port_ranges(f"_{h}") if h.endswith("port") else address_ranges(f"_{h}")
+            for h in HEAD_SPECS
+        }
+    ).drop(*[f"_{h}" for h in HEAD_SPECS])
 
 
 def head_matches(two_way: bool = False) -> Column:
     """Residual for ``match_packets`` on rules from ``with_head_ranges``."""
-    src, dst = F.col("src_no"), F.col("dst_no")
-
-    def way(a: Column, ap: str, b: Column, bp: str) -> Column:
-        return (
-            in_ranges(F.col(ap).cast("bigint"), F.col("sport_ranges"))
-            & in_ranges(F.col(bp).cast("bigint"), F.col("dport_ranges"))
-            & in_ranges(a, F.col("src_ranges"))
-            & in_ranges(b, F.col("dst_ranges"))
-        )
 
-    forward = way(src, "sport", dst, "dport")
-    return forward | way(dst, "dport", src, "sport") if two_way else forward
+    def way(src: str, sport: str, dst: str, dport: str) -> str:
+        pairs = ((sport, "sport"), (dport, "dport"), (src, "src"), (dst, "dst"))
+        return " and ".join(f"({in_ranges(v, f'{h}_ranges')})" for v, h in pairs)
+
+    forward = way("src_no", "sport", "dst_no", "dport")
+    if not two_way:
+        return F.expr(forward)
+    return F.expr(f"({forward}) or ({way('dst_no', 'dport', 'src_no', 'sport')})")
 
 
 def with_address_numbers(packets: DataFrame) -> DataFrame:
-    return packets.withColumn("src_no", ip_number(F.col("src_ip"))).withColumn(
-        "dst_no", ip_number(F.col("dst_ip"))
+    return packets.withColumns(
+        {"src_no": ip_number(F.col("src_ip")), "dst_no": ip_number(F.col("dst_ip"))}
     )
 
 

@@ -29,14 +29,18 @@ from packetloom.sources.packets import packet_heads, packets, table
 HOUR = 3600
 
 
-def head_detections(spark: SparkSession, folder: str) -> DataFrame:
-    """Correlated alerts of the rules that need no payload, which is then not read."""
+def head_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """Alerts of the rules that need no payload, which is then not read, with their
+    un-escalated score."""
     rules = fx.rules(spark).filter(F.col("content").isNull())
-    heads = packet_heads(spark, folder)
-    matched_heads = match.match_packets(heads, rules, has_content=False)
-    marked = correlate.mark_escalated(matched_heads, window_seconds=HOUR)
-    scored = lookup.score_indicators(marked, fx.intel(spark))
-    return correlate.apply_escalation(scored.withColumn("threat_score", F.col("intel_score")))
+    alerts = match.match_packets(packet_heads(spark, folder), rules, has_content=False)
+    return lookup.score_indicators(alerts, fx.intel(spark))
+
+
+def head_detections(spark: SparkSession, folder: str) -> DataFrame:
+    """The same alerts, correlated."""
+    marked = correlate.mark_escalated(head_matches(spark, folder), window_seconds=HOUR)
+    return correlate.apply_escalation(marked.withColumn("threat_score", F.col("intel_score")))
 
 
 def event_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -224,7 +228,7 @@ from (select src_ip as ip, intel_score from alerts union all select dst_ip, inte
 group by ip""",
 )
 def ip_score(spark, folder):
-    return correlate.ip_scores(head_detections(spark, folder))
+    return correlate.ip_scores(head_matches(spark, folder))
 
 
 @query(
@@ -237,7 +241,7 @@ from (select src_ip as ip, 0 as side, us, packet_id, rule_key, intel_score from
       union all select dst_ip, 1, us, packet_id, rule_key, intel_score from alerts)""",
 )
 def ip_running_score(spark, folder):
-    scored = correlate.running_ip_score(head_detections(spark, folder), slot_seconds=86_400)
+    scored = correlate.running_ip_score(head_matches(spark, folder), slot_seconds=86_400)
     return scored.select("ip", "packet_id", "rule_key", "side", "running_score")
 
 
@@ -250,7 +254,7 @@ from (select src_ip as ip, intel_score from alerts union all select dst_ip, inte
 group by ip order by score desc, ip limit 10""",
 )
 def top_offenders(spark, folder):
-    return rollup.top_offenders(correlate.ip_scores(head_detections(spark, folder)), 10)
+    return rollup.top_offenders(correlate.ip_scores(head_matches(spark, folder)), 10)
 
 
 @query(
@@ -258,7 +262,7 @@ def top_offenders(spark, folder):
     head_alerts(HOUR) + " select count(distinct sid) as active_alerts from alerts",
 )
 def active_signatures(spark, folder):
-    return rollup.active_signatures(head_detections(spark, folder))
+    return rollup.active_signatures(head_matches(spark, folder))
 
 
 @query(
@@ -420,7 +424,7 @@ select src_ip, sid, packet_id from alerts
 qualify row_number() over (partition by src_ip, sid order by us, packet_id, rule_key) = 1""",
 )
 def once_per_flow(spark, folder):
-    alerts = head_detections(spark, folder)
+    alerts = head_matches(spark, folder)
     return limits.once_per(alerts, ["src_ip", "sid"], tie=("packet_id", "rule_key")).select(
         "src_ip", "sid", "packet_id"
     )

@@ -32,7 +32,7 @@ HOUR = 3600
 
 def event_stream(spark: SparkSession, folder: str) -> DataFrame:
     # A pattern, for a file source takes a plain path only if it is a directory.
-    return spark.readStream.schema(schema.EVENTS).parquet(f"{folder}/events.parque[t]")
+    return spark.readStream.schema(schema.TABLES["events"]).parquet(f"{folder}/events.parque[t]")
 
 
 def head_stream(spark: SparkSession, folder: str) -> DataFrame:

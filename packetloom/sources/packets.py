@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from packetloom import schema
 from packetloom.functions.net import is_ipv4
-from packetloom.functions.timing import from_epoch_us, ntz_epoch_us
 
 
 def read_packets(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -27,7 +26,8 @@ def ipv4_only(packets: DataFrame) -> DataFrame:
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A given table; its schema is stated, so no job reads footers to find it."""
+    return spark.read.schema(schema.TABLES[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def packets_from_events(events: DataFrame) -> DataFrame:
@@ -36,32 +36,21 @@ def packets_from_events(events: DataFrame) -> DataFrame:
     The user gives the source address, key ``k`` of the properties the
     destination, the event type the protocol and the value the size.
     """
-    k = F.get_json_object("props", "$.k").cast("int")
-    no_ports = F.col("event_type") == "error"
-    high = F.floor(F.col("user_id") / 256).cast("string")
-    low = F.pmod(F.col("user_id"), F.lit(256)).cast("string")
-    port_class = F.pmod(F.col("event_id"), F.lit(8))
-    known = F.create_map(
-        *[F.lit(x) for pair in enumerate((80, 443, 22, 21, 23, 53, 25)) for x in pair]
+    keyed = events.selectExpr(
+        "*", "cast(get_json_object(props, '$.k') as int) as k", "event_type = 'error' as bare"
     )
-    dport = F.coalesce(known[port_class.cast("int")].cast("bigint"), 8000 + F.col("user_id"))
-    sport = 1024 + F.pmod(F.col("event_id") * 7919, F.lit(64512))
-    return events.select(
-        F.col("event_id").alias("packet_id"),
-        from_epoch_us(ntz_epoch_us("ts")).alias("ts"),
-        F.concat(F.lit("10.0."), high, F.lit("."), low).alias("src_ip"),
-        F.when(k == 0, "192.168.1.100")
-        .when(k == 1, "185.220.101.1")
-        .when(k < 10, F.concat(F.lit("45.146.164."), k.cast("string")))
-        .otherwise(F.concat(F.lit("192.168.1."), k.cast("string")))
-        .alias("dst_ip"),
-        F.when(no_ports, "icmp")
-        .when(F.col("event_type") == "signup", "udp")
-        .otherwise("tcp")
-        .alias("proto"),
-        F.when(~no_ports, sport.cast("int")).alias("sport"),
-        F.when(~no_ports, dport.cast("int")).alias("dport"),
-        (64 + F.floor(F.col("value") * 20)).cast("int").alias("packet_size"),
+    return keyed.selectExpr(
+        "event_id as packet_id",
+        "timestamp_micros(timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)) as ts",
+        "concat('10.0.', user_id div 256, '.', user_id % 256) as src_ip",
+        """case when k = 0 then '192.168.1.100' when k = 1 then '185.220.101.1'
+             when k < 10 then concat('45.146.164.', k) else concat('192.168.1.', k) end as dst_ip""",
+        "case when bare then 'icmp' when event_type = 'signup' then 'udp' else 'tcp' end as proto",
+        "if(bare, null, cast(1024 + (event_id * 7919) % 64512 as int)) as sport",
+        """if(bare, null, cast(case event_id % 8 when 0 then 80 when 1 then 443 when 2 then 22
+             when 3 then 21 when 4 then 23 when 5 then 53 when 6 then 25 else 8000 + user_id end
+             as int)) as dport""",
+        "cast(64 + floor(value * 20) as int) as packet_size",
     )
 
 

@@ -100,16 +100,18 @@ def parse_rules(lines: DataFrame, line: str = "line") -> DataFrame:
     """
     text = F.col(line)
     words = F.split(_strip(F.substring_index(text, "(", 1)), r"\s+")
+    # Exploding one-element arrays keeps the filters further down from being pushed
+    # below the parse and repeating it.
     shaped = (
         lines.filter(text.startswith("alert") & (F.instr(text, "(") > 0))
-        .withColumn("_words", words)
+        .select("*", F.explode(F.array(words)).alias("_words"))
         .filter(F.size("_words") >= len(HEAD))
-        .withColumn("_entries", option_entries(text))
+        .select("*", F.explode(F.array(option_entries(text))).alias("_entries"))
+        .select("*", F.explode(F.array(last_value(F.col("_entries"), "dsize"))).alias("_dsize"))
     )
     entries = F.col("_entries")
     parsed = (
-        shaped.withColumn("_dsize", last_value(entries, "dsize"))
-        .withColumn("dsize_op", F.regexp_extract("_dsize", "^[<>]", 0))
+        shaped.withColumn("dsize_op", F.regexp_extract("_dsize", "^[<>]", 0))
         .withColumn("dsize_op", F.when(F.col("dsize_op") != "", F.col("dsize_op")))
         .withColumn(
             "dsize_n",
