@@ -9,4 +9,4 @@ from packetloom.functions.net import (  # noqa: F401
     parent_domain,
 )
 from packetloom.functions.score import display_colour, severity, traffic_tier  # noqa: F401
-from packetloom.functions.timing import epoch_us, from_epoch_us, slot_of  # noqa: F401
+from packetloom.functions.timing import epoch_us, from_epoch_us, slot_of, utc_text  # noqa: F401

@@ -24,3 +24,8 @@ def slot_of(us: Column, seconds: float) -> Column:
     """Number of the epoch-aligned time slot of the given width (exact on longs)."""
     width = F.lit(int(round(seconds * 1_000_000))).cast("bigint")
     return ((us - F.pmod(us, width)) / width).cast("bigint")
+
+
+def utc_text(ts: Column, pattern: str) -> Column:
+    """A timestamp as UTC text, whatever the session zone."""
+    return F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), pattern)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from packetloom.functions.net import ip_number
 from packetloom.functions.score import severity, traffic_tier
+from packetloom.functions.timing import utc_text
 from packetloom.operators.ordered import PIECE_ROWS, cut_pieces, drop_pieces, running_sum
 from packetloom.session import written
 
@@ -58,7 +59,7 @@ def last_signatures(alerts: DataFrame, n: int = 10) -> DataFrame:
         )
         .orderBy(F.desc("first_seen"), F.desc("sid"))
         .limit(n)
-        .withColumn("latest", F.date_format("last_seen", "HH:mm:ss"))
+        .withColumn("latest", utc_text(F.col("last_seen"), "HH:mm:ss"))
     )
 
 

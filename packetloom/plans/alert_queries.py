@@ -23,6 +23,7 @@ from packetloom.plans.sql_parts import (
     head_alerts,
     matched,
 )
+from packetloom.session import written
 from packetloom.sources import alert_store
 from packetloom.sources.packets import packet_heads, packets, table
 
@@ -38,8 +39,9 @@ def head_matches(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def head_detections(spark: SparkSession, folder: str) -> DataFrame:
-    """The same alerts, correlated."""
-    marked = correlate.mark_escalated(head_matches(spark, folder), window_seconds=HOUR)
+    """The same alerts, written once and correlated."""
+    alerts = written(head_matches(spark, folder), "alerts")
+    marked = correlate.mark_escalated(alerts, window_seconds=HOUR)
     return correlate.apply_escalation(marked.withColumn("threat_score", F.col("intel_score")))
 
 
@@ -208,13 +210,13 @@ def bounded_history(spark, folder):
     head_alerts(HOUR)
     + """
 select packet_id * 8 + rule_key as alert_id, sid, msg, threat_score, escalated
-from alerts where packet_id * 8 + rule_key = 8001""",
+from alerts where packet_id * 8 + rule_key = 305""",
 )
 def alert_lookup(spark, folder):
     alerts = head_detections(spark, folder).withColumn(
         "alert_id", F.col("packet_id") * 8 + F.col("rule_key")
     )
-    return rollup.alert_by_id(alerts, 8001).select(
+    return rollup.alert_by_id(alerts, 305).select(
         "alert_id", "sid", "msg", "threat_score", "escalated"
     )
 
@@ -241,7 +243,8 @@ from (select src_ip as ip, 0 as side, us, packet_id, rule_key, intel_score from
       union all select dst_ip, 1, us, packet_id, rule_key, intel_score from alerts)""",
 )
 def ip_running_score(spark, folder):
-    scored = correlate.running_ip_score(head_matches(spark, folder), slot_seconds=86_400)
+    alerts = written(head_matches(spark, folder), "alerts")
+    scored = correlate.running_ip_score(alerts, slot_seconds=86_400)
     return scored.select("ip", "packet_id", "rule_key", "side", "running_score")
 
 
@@ -329,6 +332,18 @@ def alert_record_defaults(spark, folder):
     return alert_store.table_rows(sparse, keep=("packet_id",))
 
 
+@query(
+    "alert_ids",
+    head_alerts(HOUR) + " select count(*) as alerts, count(*) as ids from alerts",
+)
+def alert_ids(spark, folder):
+    """Every stored alert has an id of its own."""
+    rows = alert_store.with_row_defaults(stored_alerts(spark, folder), "packet_id", "rule_key")
+    return rows.agg(
+        F.count("ingested_at").alias("alerts"), F.count_distinct("alert_id").alias("ids")
+    )
+
+
 @query(
     "alert_json_readback",
     head_alerts(HOUR)

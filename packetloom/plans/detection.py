@@ -10,7 +10,7 @@ from packetloom.operators.lookup import score_indicators
 from packetloom.operators.match import match_packets
 from packetloom.operators.rollup import severity_by
 from packetloom.session import written
-from packetloom.sources.packets import ipv4_only
+from packetloom.sources.packets import ipv4_only, with_text_payload
 
 
 def detect(
@@ -27,7 +27,7 @@ def detect(
     Correlation reads the alerts three times. Unless ``staged`` is off, the narrow
     alerts are written once, so the payloads are read and searched once only.
     """
-    matched = match_packets(ipv4_only(packets), rules)
+    matched = match_packets(ipv4_only(with_text_payload(packets)), rules)
     if staged:
         matched = written(matched, "alerts")
     marked = mark_escalated(matched, window_seconds=window_seconds, hits=hits)

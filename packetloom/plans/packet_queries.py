@@ -184,16 +184,16 @@ def hash_intel(spark, folder):
     + """
 select packet_id, dst_ip from heads
 where dst_ip in (select dst_ip from heads where packet_size > 6000)
-  and dst_ip not in (select dst_ip from heads where proto = 'udp' and packet_size < 100)""",
+  and dst_ip not in (select dst_ip from heads group by dst_ip having avg(packet_size) < 1050)""",
 )
 def allow_block(spark, folder):
-    """Block hosts that get big packets, unless they also get tiny UDP ones."""
+    """Block hosts that get big packets, unless their packets are small on average."""
     heads = packet_heads(spark, folder)
     block = heads.filter("packet_size > 6000").select(F.col("dst_ip").alias("indicator")).distinct()
     allow = (
-        heads.filter("proto = 'udp' and packet_size < 100")
-        .select(F.col("dst_ip").alias("indicator"))
-        .distinct()
+        heads.groupBy(F.col("dst_ip").alias("indicator"))
+        .agg(F.avg("packet_size").alias("mean"))
+        .filter("mean < 1050")
     )
     return lookup.blocked_unless_allowed(heads, "dst_ip", block, allow).select("packet_id", "dst_ip")
 

@@ -133,17 +133,30 @@ def noalert_filter(spark, folder):
     """Order lines as hits of their part's rule: all are counted, some are emitted."""
     hits = (
         table(spark, folder, "lineitem")
-        .select((9300000 + F.col("l_partkey")).cast("string").alias("sid"))
-        .join(part_rules(spark, folder).select("sid", "rule_file", "noalert"), "sid")
+        .groupBy((9300000 + F.col("l_partkey")).cast("string").alias("sid"))
+        .agg(F.count(F.lit(1)).alias("n"))
     )
-    counted = hits.groupBy("rule_file", "noalert").agg(F.count(F.lit(1)).alias("n"))
-    total = counted.groupBy("rule_file").agg(F.sum("n").alias("counted"))
-    shown = (
-        limits.emitted(counted).groupBy("rule_file").agg(F.sum("n").alias("emitted"))
+    named = hits.join(part_rules(spark, folder).select("sid", "rule_file", "noalert"), "sid")
+    shown = F.when(~F.col("noalert"), F.col("n")).otherwise(0)
+    return named.groupBy("rule_file").agg(
+        F.sum("n").alias("counted"), F.sum(shown).alias("emitted")
     )
-    return total.join(shown, "rule_file", "left").select(
-        "rule_file", "counted", F.coalesce("emitted", F.lit(0).cast("bigint")).alias("emitted")
+
+
+@query(
+    "emitted_alerts",
+    f"with {RULE_SQL}"
+    + """
+select l.l_orderkey, l.l_linenumber, p.sid
+from lineitem l join parsed p on p.sid = (9300000 + l.l_partkey)::varchar where not p.noalert""",
+)
+def emitted_alerts(spark, folder):
+    """The hits that are shown, as rows."""
+    hits = table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_linenumber", (9300000 + F.col("l_partkey")).cast("string").alias("sid")
     )
+    named = hits.join(part_rules(spark, folder).select("sid", "noalert"), "sid")
+    return limits.emitted(named).select("l_orderkey", "l_linenumber", "sid")
 
 
 @query(

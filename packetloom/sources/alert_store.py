@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetloom import schema
+from packetloom.functions.timing import utc_text
 
 # Column defaults of the alert table for fields a record lacks.
 TABLE_COLUMNS = (
@@ -67,8 +68,8 @@ def read_back(rows: DataFrame, raw: str = "raw_data", out: str = "record") -> Da
 def log_lines(
     records: DataFrame, fields: list[str], at: str, level: str = "INFO", keep: tuple[str, ...] = ()
 ) -> DataFrame:
-    """``time LEVEL {json}`` lines."""
-    stamp = F.date_format(at, "yyyy-MM-dd HH:mm:ss,SSS")
+    """``time LEVEL {json}`` lines, the time in UTC."""
+    stamp = utc_text(F.col(at), "yyyy-MM-dd HH:mm:ss,SSS")
     line = F.concat_ws(" ", stamp, F.lit(level), alert_json(fields))
     return records.select(*keep, line.alias("value"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetloom import schema
-from packetloom.functions.net import is_ipv4
+from packetloom.functions.net import decode_payload, is_ipv4
 
 
 def read_packets(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -21,6 +21,22 @@ def stream_packets(
     return reader.options(**options).load(path)
 
 
+def packets_from_json(values: DataFrame, column: str = "value") -> DataFrame:
+    """Packet records from JSON text, one per row: a text source or a message queue.
+
+    On a cluster that has the Kafka connector, ``values`` is the stream of
+    ``format("kafka")`` with its value cast to string.
+    """
+    return values.select(F.from_json(column, schema.PACKETS).alias("_p")).select("_p.*")
+
+
+def with_text_payload(packets: DataFrame) -> DataFrame:
+    """Raw payload bytes decoded once, ahead of matching; text stays as it is."""
+    if dict(packets.dtypes).get("payload") != "binary":
+        return packets
+    return packets.withColumn("payload", decode_payload(F.col("payload")))
+
+
 def ipv4_only(packets: DataFrame) -> DataFrame:
     return packets.filter(is_ipv4(F.col("src_ip")) & is_ipv4(F.col("dst_ip")))
 
@@ -69,13 +85,14 @@ def with_payload(packets: DataFrame, documents: DataFrame, span: int | None = No
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan over the cores when it has far fewer splits than there are cores.
+    """Spread a scan over the cores when its splits fill half of them or less.
 
-    Meant ahead of work that is heavy per row. A table of many splits, as any large
-    one is, passes through unshuffled.
+    Meant ahead of work that is heavy per row: a small file is often one row group,
+    which one task would read and process. A table of many splits, as any large one
+    is, passes through unshuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 4 <= cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
 
 
 def packet_heads(spark: SparkSession, folder: str) -> DataFrame:

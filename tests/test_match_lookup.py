@@ -261,3 +261,15 @@ def test_allow_list_wins(spark):
     names = lambda *n: spark.createDataFrame([(x,) for x in n], "indicator string")
     got = lookup.blocked_unless_allowed(df, "ip", names("a", "b"), names("b"))
     assert [r["ip"] for r in got.collect()] == ["a"]
+
+
+def test_packets_from_json_and_bytes(spark):
+    line = '{"packet_id":7,"ts":"2024-01-01T00:00:00Z","src_ip":"1.1.1.1","dport":80,"payload":"the"}'
+    got = packet_source.packets_from_json(spark.createDataFrame([(line,)], "value string")).first()
+    assert (got["packet_id"], got["sport"], got["dport"], got["payload"]) == (7, None, 80, "the")
+    raw = packets(spark, [{"payload": "x"}]).withColumn("payload", F.lit(b"\xffthe\xfe"))
+    assert packet_source.with_text_payload(raw).first()["payload"] == "the"
+    hits = detection.detect(
+        raw, rule_rows(spark, [{"content": "the"}, {"content": "The"}]), fixtures.intel(spark)
+    )
+    assert [r["rule_key"] for r in hits.collect()] == [0]
