@@ -8,15 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packetloom.functions.timing import epoch_us, slot_of
 from packetloom.operators.ordered import (
+    DAY,
     PIECE_ROWS,
     cut_pieces,
     drop_pieces,
-    first_rows,
+    lagged_position,
     running_sum,
     time_pieces,
 )
@@ -34,7 +35,7 @@ def sliding_count(
     tie: Sequence[str] = ("packet_id", "rule_key"),
     *,
     window_seconds: float = WINDOW_SECONDS,
-    slot_seconds: float = 3600.0,
+    slot_seconds: float = DAY,
     piece_rows: int = PIECE_ROWS,
     out: str = "in_window",
 ) -> DataFrame:
@@ -60,43 +61,6 @@ def sliding_count(
     return drop_pieces(counted.filter(F.col("_delta") == 1)).drop("_us", "_at", "_delta")
 
 
-def calm_rows(
-    df: DataFrame,
-    key: str = "sid",
-    ts: str = "ts",
-    tie: Sequence[str] = ("packet_id", "rule_key"),
-    *,
-    window_seconds: float = WINDOW_SECONDS,
-    hits: int = HITS,
-) -> DataFrame:
-    """The ``(key, *tie)`` of the rows that do *not* reach ``hits`` in the window.
-
-    Rows in one window-wide time slot are less than a window apart, so all but
-    the first ``hits - 1`` of a slot reach the limit by themselves. Only those
-    first rows are undecided, and only the last ``hits - 1`` rows of the slot
-    before can help them: both sets are cut to a few rows per slot ahead of the
-    shuffle. The result has at most ``hits - 1`` rows per key and slot.
-    """
-    need = hits - 1
-    width = int(round(window_seconds * 1_000_000))
-    narrow = df.select(key, *tie, epoch_us(F.col(ts)).alias("_us")).withColumn(
-        "_slot", slot_of(F.col("_us"), window_seconds)
-    )
-    columns = ["_us", *tie]
-    heads = first_rows(narrow, [key, "_slot"], [F.asc(c) for c in columns], need, "_n")
-    tails = first_rows(narrow, [key, "_slot"], [F.desc(c) for c in columns], need, "_n")
-    helpers = tails.withColumn("_slot", F.col("_slot") + 1)
-    both = heads.withColumn("_own", F.lit(True)).unionByName(
-        helpers.withColumn("_own", F.lit(False))
-    )
-    order = Window.partitionBy(key, "_slot").orderBy("_us", *tie)
-    back = F.lag("_us", need).over(order)
-    reached = F.coalesce(F.col("_us") - F.col("_back") < width, F.lit(False))
-    return (
-        both.withColumn("_back", back).filter(F.col("_own") & ~reached).select(key, *tie)
-    )
-
-
 def mark_escalated(
     df: DataFrame,
     key: str = "sid",
@@ -105,24 +69,24 @@ def mark_escalated(
     *,
     window_seconds: float = WINDOW_SECONDS,
     hits: int = HITS,
+    slot_seconds: float = DAY,
+    piece_rows: int = PIECE_ROWS,
     out: str = "escalated",
 ) -> DataFrame:
     """Add ``out``: true when this row is at least the ``hits``-th in the window.
 
-    ``tie`` must identify a row, for it joins the calm rows back; the join is on
-    those unique values, so it spreads evenly, and Spark broadcasts the calm rows
-    when they turn out small, in which case ``df`` is never shuffled.
+    That is so when the row ``hits - 1`` places before it is younger than the window.
     """
     if hits <= 1:
         return df.withColumn(out, F.lit(True))
-    calm = calm_rows(df, key, ts, tie, window_seconds=window_seconds, hits=hits)
-    marked = calm.select(*[F.col(c).alias(f"_c_{c}") for c in tie], F.lit(True).alias("_calm"))
-    on = [F.col(c) == F.col(f"_c_{c}") for c in tie]
-    return (
-        df.join(marked, on, "left")
-        .withColumn(out, F.col("_calm").isNull())
-        .drop("_calm", *[f"_c_{c}" for c in tie])
+    width = int(round(window_seconds * 1_000_000))
+    timed = df.withColumn("_us", epoch_us(F.col(ts)))
+    pieces = time_pieces(
+        timed, [key], "_us", tie[0], slot_seconds=slot_seconds, piece_rows=piece_rows
     )
+    lagged = lagged_position(pieces, "_us", ["_us", *tie], hits - 1, "_back")
+    reached = F.coalesce(F.col("_us") - F.col("_back") < width, F.lit(False))
+    return drop_pieces(lagged.withColumn(out, reached)).drop("_us", "_back")
 
 
 def apply_escalation(
@@ -161,7 +125,7 @@ def running_ip_score(
     *,
     score: str = "intel_score",
     tie: Sequence[str] = ("packet_id", "rule_key"),
-    slot_seconds: float = 3600.0,
+    slot_seconds: float = DAY,
     piece_rows: int = PIECE_ROWS,
 ) -> DataFrame:
     """Score of each address after each alert that names it."""

@@ -2,9 +2,9 @@
 
 A plain ``Window.partitionBy(key).orderBy(ts)`` puts every row of a key in one
 task. Here the rows of a key are cut into consecutive *pieces*: epoch-aligned
-time slots, and inside a slot that is still too full, equal steps between the
-slot's own lowest and highest time (or id, where all times are equal). Pieces
-keep the order, so a running value is
+time slots, and inside a slot that is too full, equal steps between the slot's own
+lowest and highest time (or id, where all times are equal), divided once more
+where a burst fills a step. Pieces keep the order, so a running value is
 
     value inside the piece  +  value carried from the earlier pieces
 
@@ -26,6 +26,8 @@ KEY, SLOT, STEP = "_key", "_slot", "_step"
 PIECE = (KEY, SLOT, STEP)
 DAY = 86_400.0
 PIECE_ROWS = 1_000_000
+MAX_DIVISIONS = 5
+STEPS_PER_DIVISION = 1 << 12
 
 
 def attach(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -52,47 +54,56 @@ def cut_pieces(
     """Add the piece of each row: ``_key``, ``_slot`` and ``_step``.
 
     ``position`` and ``tie`` are numeric columns in the wanted order and ``slot``
-    an expression that never decreases with ``position``. Over-full slots are found
+    an expression that never decreases with ``position``. Over-full pieces are found
     first and written as a table, of fewer than rows / piece_rows rows; usually it
-    is empty, and then nothing is joined.
+    is empty, and then nothing is joined. Pieces that a burst leaves over-full are
+    divided again.
     """
-    slotted = df.withColumn(KEY, F.struct(*keys)).withColumn(SLOT, slot)
-    full = written(
-        slotted.groupBy(KEY, SLOT)
-        .agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.min(position).alias("_p0"),
-            F.max(position).alias("_p1"),
-            F.min(tie).alias("_t0"),
-            F.max(tie).alias("_t1"),
-        )
-        .filter(F.col("_n") > piece_rows),
-        "full-slots",
+    placed = (
+        df.withColumn(KEY, F.struct(*keys))
+        .withColumn(SLOT, slot)
+        .withColumn(STEP, F.lit(0).cast("bigint"))
     )
-    if full.isEmpty():
-        return slotted.withColumn(STEP, F.lit(0).cast("bigint"))
+    for level in range(MAX_DIVISIONS):
+        full = _full_pieces(placed, position, tie, piece_rows * (1 if level == 0 else 2))
+        if full.isEmpty():
+            break
+        placed = _divide(placed, full, position, tie, piece_rows)
+    return placed
+
+
+def _full_pieces(placed: DataFrame, position: str, tie: str, most: int) -> DataFrame:
+    sizes = placed.groupBy(*PIECE).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.min(position).alias("_p0"),
+        F.max(position).alias("_p1"),
+        F.min(tie).alias("_t0"),
+        F.max(tie).alias("_t1"),
+    )
+    return written(sizes.filter(F.col("_n") > most), "full-pieces")
+
 
-    steps = F.ceil(F.col("_n") / F.lit(piece_rows))
+def _divide(
+    placed: DataFrame, full: DataFrame, position: str, tie: str, piece_rows: int
+) -> DataFrame:
+    """Divide the over-full pieces into equal steps; the others keep their place."""
+    steps = F.least(F.ceil(F.col("_n") / F.lit(piece_rows)), F.lit(STEPS_PER_DIVISION - 1))
 
     def step(value: str, low: str, high: str) -> Column:
         span = F.col(high).cast("double") - F.col(low).cast("double")
         share = (F.col(value).cast("double") - F.col(low).cast("double")) / span
         return F.least(F.floor(share * steps), steps - 1)
 
-    limits = full.select(
-        F.col(KEY).alias("_full_key"), F.col(SLOT).alias("_full_slot"), "_n", "_p0", "_p1", "_t0", "_t1"
+    limits = full.withColumnsRenamed({c: f"_full{c}" for c in PIECE})
+    on = [F.col(c) == F.col(f"_full{c}") for c in PIECE]
+    inner = F.when(F.col("_p1") > F.col("_p0"), step(position, "_p0", "_p1")).when(
+        F.col("_t1") > F.col("_t0"), step(tie, "_t0", "_t1")
     )
-    on = (F.col(KEY) == F.col("_full_key")) & (F.col(SLOT) == F.col("_full_slot"))
-    placed = slotted.join(limits, on, "left").withColumn(
-        STEP,
-        F.coalesce(
-            F.when(F.col("_p1") > F.col("_p0"), step(position, "_p0", "_p1")).when(
-                F.col("_t1") > F.col("_t0"), step(tie, "_t0", "_t1")
-            ),
-            F.lit(0).cast("bigint"),
-        ),
+    return (
+        placed.join(limits, on, "left")
+        .withColumn(STEP, F.col(STEP) * STEPS_PER_DIVISION + F.coalesce(inner, F.lit(0)))
+        .drop(*limits.columns)
     )
-    return placed.drop(*limits.columns)
 
 
 def _carried(pieces: DataFrame, summary: Column, carry) -> DataFrame:
@@ -152,6 +163,32 @@ def previous_position(pieces: DataFrame, position: str, order: Sequence[str], ou
     )
 
 
+def lagged_position(
+    pieces: DataFrame, position: str, order: Sequence[str], n: int, out: str
+) -> DataFrame:
+    """Add ``out``: ``position`` of the key's row ``n`` places before this one.
+
+    Inside a piece that is a plain lag. Only the first ``n`` rows of a piece miss it,
+    and the rows they look for are among the first and last ``n`` rows of the pieces:
+    these edge rows alone are brought together per key. Both branches read the same
+    shuffled rows, and nothing is joined back.
+    """
+    inside = _inside(order)
+    seen = pieces.withColumns(
+        {out: F.lag(position, n).over(inside), "_next": F.lead(position, n).over(inside)}
+    )
+    settled = seen.filter(F.col(out).isNotNull()).drop("_next")
+    edges = seen.filter(F.col(out).isNull() | F.col("_next").isNull())
+    across = Window.partitionBy(KEY).orderBy(SLOT, STEP, *order)
+    found = (
+        edges.withColumn("_open", F.col(out).isNull())
+        .withColumn(out, F.lag(position, n).over(across))
+        .filter("_open")
+        .drop("_open", "_next")
+    )
+    return settled.unionByName(found)
+
+
 def drop_pieces(df: DataFrame) -> DataFrame:
     return df.drop(*PIECE)
 

@@ -45,20 +45,24 @@ def test_occurrence_number(spark, seed, piece_rows):
 
 
 @pytest.mark.parametrize("seed,piece_rows", [(1, 2), (2, 7), (3, 1000)])
-def test_previous_position_and_running_max(spark, seed, piece_rows):
+def test_lagged_position_and_running_max(spark, seed, piece_rows):
     df = frame(spark, hits(seed)).withColumn("_us", F.unix_micros("ts"))
     order = ["_us", "packet_id"]
     pieces = ordered.time_pieces(
         df, ["sid"], "_us", "packet_id", slot_seconds=200, piece_rows=piece_rows
     )
     got = ordered.previous_position(pieces, "_us", order, "before")
+    got = ordered.lagged_position(got, "_us", order, 4, "before4")
     got = ordered.running_max(got, order, F.col("packet_id"), "top")
     w = Window.partitionBy("sid").orderBy(*order)
+    got = got.withColumn("b4", F.lag("_us", 4).over(w))
     check = got.withColumn("b", F.lag("_us").over(w)).withColumn(
         "t", F.max("packet_id").over(w.rowsBetween(Window.unboundedPreceding, 0))
     )
     wrong = check.filter(
-        ~F.col("before").eqNullSafe(F.col("b")) | ~F.col("top").eqNullSafe(F.col("t"))
+        ~F.col("before").eqNullSafe(F.col("b"))
+        | ~F.col("before4").eqNullSafe(F.col("b4"))
+        | ~F.col("top").eqNullSafe(F.col("t"))
     )
     assert wrong.isEmpty() and check.count() == len(hits(seed))
 
@@ -74,6 +78,20 @@ def test_pieces_keep_the_order_and_stay_small(spark):
     assert max(sizes) <= 101 and sum(sizes) == 1100
 
 
+def test_a_burst_inside_a_day_is_divided_again(spark):
+    # Half of the rows within one second of a day that the others fill evenly.
+    rows = [("a", 43_200_000 + i, i) for i in range(1000)]
+    rows += [("a", 86_400 * i, 1000 + i) for i in range(1000)]
+    df = spark.createDataFrame(rows, "sid string, ms long, packet_id long")
+    df = df.withColumn("_us", F.col("ms") * 1000)
+    pieces = ordered.time_pieces(df, ["sid"], "_us", "packet_id", piece_rows=50)
+    sizes = [r["count"] for r in pieces.groupBy(*ordered.PIECE).count().collect()]
+    assert max(sizes) <= 110 and sum(sizes) == 2000
+    got = ordered.occurrence_number(df, ["sid"], "_us", "packet_id", piece_rows=50)
+    plain = F.row_number().over(Window.partitionBy("sid").orderBy("_us", "packet_id"))
+    assert got.withColumn("p", plain).filter("p <> occurrence").isEmpty()
+
+
 def brute_counts(rows, window):
     by_key = defaultdict(list)
     for key, second, i in rows:
@@ -96,11 +114,18 @@ def test_sliding_count(spark, seed, piece_rows):
     assert {r["packet_id"]: r["in_window"] for r in got.collect()} == brute_counts(rows, 60)
 
 
-@pytest.mark.parametrize("seed", range(5))
+@pytest.mark.parametrize("seed", range(3))
 @pytest.mark.parametrize("window,need", [(60, 5), (7, 2), (60, 1), (120, 9)])
-def test_escalation_is_count_reached(spark, seed, window, need):
-    rows = hits(seed, keys=("a", "a", "b", "c"))
-    got = correlate.mark_escalated(frame(spark, rows), window_seconds=window, hits=need)
+@pytest.mark.parametrize("piece_rows", [2, 1000])
+def test_escalation_is_count_reached(spark, seed, window, need, piece_rows):
+    rows = hits(seed)
+    got = correlate.mark_escalated(
+        frame(spark, rows),
+        window_seconds=window,
+        hits=need,
+        slot_seconds=100,
+        piece_rows=piece_rows,
+    )
     want = {i: c >= need for i, c in brute_counts(rows, window).items()}
     assert {r["packet_id"]: r["escalated"] for r in got.collect()} == want
 
@@ -189,7 +214,18 @@ def test_tiles_equal_ntile(spark, n, tiles, piece_rows):
     assert got.withColumn("p", plain).filter("tile <> p").isEmpty() and got.count() == n
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_hot_keys_are_cut_before_the_shuffle(spark):
     df = frame(spark, hits(1))
-    plan = correlate.calm_rows(df)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("WindowGroupLimit") == 4
+    first = ordered.first_rows(df, ["sid"], [F.asc("ts")], 3)
+    assert plan_of(first).count("WindowGroupLimit") == 2
+
+
+def test_escalation_shuffles_the_alerts_once(spark):
+    df = correlate.mark_escalated(frame(spark, hits(1)))
+    df.collect()
+    final = plan_of(df).split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in final and "Join" not in final
