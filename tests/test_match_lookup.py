@@ -62,8 +62,9 @@ def test_hash_form_equals_theta_form(spark):
     )
     got = match.match_packets(pk, rl, spread=3).select("packet_id", "rule_key").collect()
     want = set()
+    rules = rl.collect()
     for p in pk.collect():
-        for r in rl.collect():
+        for r in rules:
             proto = r["rule_proto"].lower()
             if proto in ("tcp", "udp") and proto != p["proto"].lower():
                 continue

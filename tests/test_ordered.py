@@ -32,8 +32,7 @@ def frame(spark, rows):
     ).repartition(3)
 
 
-@pytest.mark.parametrize("seed", range(4))
-@pytest.mark.parametrize("piece_rows", [1, 3, 1000])
+@pytest.mark.parametrize("seed,piece_rows", [(0, 1), (1, 3), (2, 1000)])
 def test_occurrence_number(spark, seed, piece_rows):
     df = frame(spark, hits(seed)).withColumn("_us", F.unix_micros("ts"))
     plain = F.row_number().over(Window.partitionBy("sid").orderBy("_us", "packet_id"))
@@ -104,8 +103,7 @@ def brute_counts(rows, window):
     return counts
 
 
-@pytest.mark.parametrize("seed", range(4))
-@pytest.mark.parametrize("piece_rows", [2, 1000])
+@pytest.mark.parametrize("seed,piece_rows", [(0, 2), (1, 7), (2, 1000)])
 def test_sliding_count(spark, seed, piece_rows):
     rows = hits(seed)
     got = correlate.sliding_count(
@@ -114,9 +112,8 @@ def test_sliding_count(spark, seed, piece_rows):
     assert {r["packet_id"]: r["in_window"] for r in got.collect()} == brute_counts(rows, 60)
 
 
-@pytest.mark.parametrize("seed", range(3))
-@pytest.mark.parametrize("window,need", [(60, 5), (7, 2), (60, 1), (120, 9)])
 @pytest.mark.parametrize("piece_rows", [2, 1000])
+@pytest.mark.parametrize("seed,window,need", [(0, 60, 5), (1, 7, 2), (2, 60, 1), (3, 120, 9)])
 def test_escalation_is_count_reached(spark, seed, window, need, piece_rows):
     rows = hits(seed)
     got = correlate.mark_escalated(
@@ -205,8 +202,7 @@ def test_sessions(spark, piece_rows):
     assert sorted(have) == sorted(want)
 
 
-@pytest.mark.parametrize("n,tiles", [(1, 3), (2, 3), (10, 3), (11, 3), (97, 4)])
-@pytest.mark.parametrize("piece_rows", [2, 1000])
+@pytest.mark.parametrize("n,tiles,piece_rows", [(1, 3, 2), (2, 3, 9), (10, 3, 2), (11, 3, 9), (97, 4, 5)])
 def test_tiles_equal_ntile(spark, n, tiles, piece_rows):
     df = spark.range(n).withColumn("v", F.pmod(F.col("id") * 7, F.lit(5)))
     got = rollup.tiled(df, tiles, "v", ["id"], "tile", piece_rows)
