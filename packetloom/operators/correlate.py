@@ -71,6 +71,7 @@ def mark_escalated(
     hits: int = HITS,
     slot_seconds: float = DAY,
     piece_rows: int = PIECE_ROWS,
+    staged: bool = True,
     out: str = "escalated",
 ) -> DataFrame:
     """Add ``out``: true when this row is at least the ``hits``-th in the window.
@@ -82,7 +83,13 @@ def mark_escalated(
     width = int(round(window_seconds * 1_000_000))
     timed = df.withColumn("_us", epoch_us(F.col(ts)))
     pieces = time_pieces(
-        timed, [key], "_us", tie[0], slot_seconds=slot_seconds, piece_rows=piece_rows
+        timed,
+        [key],
+        "_us",
+        tie[0],
+        slot_seconds=slot_seconds,
+        piece_rows=piece_rows,
+        staged=staged,
     )
     lagged = lagged_position(pieces, "_us", ["_us", *tie], hits - 1, "_back")
     reached = F.coalesce(F.col("_us") - F.col("_back") < width, F.lit(False))

@@ -50,6 +50,7 @@ def cut_pieces(
     *,
     slot: Column,
     piece_rows: int = PIECE_ROWS,
+    staged: bool = True,
 ) -> DataFrame:
     """Add the piece of each row: ``_key``, ``_slot`` and ``_step``.
 
@@ -57,15 +58,20 @@ def cut_pieces(
     an expression that never decreases with ``position``. Over-full pieces are found
     first and written as a table, of fewer than rows / piece_rows rows; usually it
     is empty, and then nothing is joined. Pieces that a burst leaves over-full are
-    divided again.
+    divided again. With ``staged`` off nothing is written and pieces are divided once:
+    for micro-batches, which come by the thousand.
     """
     placed = (
         df.withColumn(KEY, F.struct(*keys))
         .withColumn(SLOT, slot)
         .withColumn(STEP, F.lit(0).cast("bigint"))
     )
+    if not staged:
+        full = _full_pieces(placed, position, tie, piece_rows)
+        return _divide(placed, full, position, tie, piece_rows)
     for level in range(MAX_DIVISIONS):
-        full = _full_pieces(placed, position, tie, piece_rows * (1 if level == 0 else 2))
+        most = piece_rows * (1 if level == 0 else 2)
+        full = written(_full_pieces(placed, position, tie, most), "full-pieces")
         if full.isEmpty():
             break
         placed = _divide(placed, full, position, tie, piece_rows)
@@ -80,7 +86,7 @@ def _full_pieces(placed: DataFrame, position: str, tie: str, most: int) -> DataF
         F.min(tie).alias("_t0"),
         F.max(tie).alias("_t1"),
     )
-    return written(sizes.filter(F.col("_n") > most), "full-pieces")
+    return sizes.filter(F.col("_n") > most)
 
 
 def _divide(
@@ -201,6 +207,7 @@ def time_pieces(
     *,
     slot_seconds: float = DAY,
     piece_rows: int = PIECE_ROWS,
+    staged: bool = True,
 ) -> DataFrame:
     """Pieces for a position in epoch microseconds."""
     return cut_pieces(
@@ -210,6 +217,7 @@ def time_pieces(
         tie,
         slot=slot_of(F.col(position), slot_seconds),
         piece_rows=piece_rows,
+        staged=staged,
     )
 
 

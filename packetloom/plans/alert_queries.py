@@ -16,7 +16,6 @@ from packetloom.plans.sql_parts import (
     BAND,
     EVENT_RULES,
     HEADS,
-    INTEL,
     PACKETS,
     RULES,
     full_alerts,

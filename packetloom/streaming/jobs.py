@@ -84,7 +84,7 @@ def start_escalation(
             before.withColumn("_own", F.lit(False)), allowMissingColumns=True
         )
         marked = mark_escalated(
-            both, key, tie=tie, window_seconds=window_seconds, hits=hits
+            both, key, tie=tie, window_seconds=window_seconds, hits=hits, staged=False
         )
         newest = [F.desc("ts"), *[F.desc(t) for t in tie]]
         last = first_rows(both.select(key, "ts", *tie), [key], newest, max(hits - 1, 1), "_n")

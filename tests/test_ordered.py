@@ -127,6 +127,13 @@ def test_escalation_is_count_reached(spark, seed, window, need, piece_rows):
     assert {r["packet_id"]: r["escalated"] for r in got.collect()} == want
 
 
+def test_escalation_without_written_pieces(spark):
+    rows = hits(5)
+    got = correlate.mark_escalated(frame(spark, rows), piece_rows=9, staged=False)
+    want = {i: c >= 5 for i, c in brute_counts(rows, 60).items()}
+    assert {r["packet_id"]: r["escalated"] for r in got.collect()} == want
+
+
 @pytest.mark.parametrize("last,expected", [(59_999_999, True), (60_000_000, False)])
 def test_the_window_is_strict(spark, last, expected):
     at = [0, 10, 20, 30, last]
