@@ -3,5 +3,6 @@
 from __future__ import annotations
 
 from packetloom.llm import (
+    token_queries,  # noqa: F401
     url_queries,  # noqa: F401
 )

@@ -58,3 +58,51 @@ def words(
     """Words of each text: offsets (rows + 1), word numbers, distinct words."""
     texts = translated(text_column(texts), table)
     return numbered(pc.ascii_split_whitespace(texts))
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int) -> list[pa.RecordBatch]:
+    """The batch in order, cut so that each part has about ``most`` bytes of text or one row."""
+    texts = batch.column(column)
+    sizes = pc.fill_null(pc.binary_length(texts.cast(pa.string())), 0).to_numpy(zero_copy_only=False)
+    out, start, size = [], 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > start and size + n > most:
+            out.append(batch.slice(start, i - start))
+            start, size = i, 0
+        size += n
+    if start < len(sizes):
+        out.append(batch.slice(start))
+    return out
+
+
+class Remembered:
+    """Encodings of words by word; at ``limit`` words it forgets all and goes on."""
+
+    def __init__(self, encode, limit: int = 200_000):
+        self.encode, self.limit, self.known = encode, limit, {}
+
+    def __call__(self, names: list[str]) -> list[bytes]:
+        known = self.known
+        missing = [w for w in names if w not in known]
+        if len(known) + len(missing) > self.limit:
+            known.clear()
+            missing = names
+        known.update(zip(missing, self.encode(missing)))
+        return [known[w] for w in names]
+
+
+def expanded(codes: np.ndarray, entries: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The int32 entries of each code one after another, and how many each code has."""
+    flat = np.frombuffer(b"".join(entries), np.int32)
+    sizes = np.fromiter(map(len, entries), np.int64, len(entries)) // 4
+    first = np.cumsum(sizes) - sizes
+    counts = sizes[codes]
+    ends = np.cumsum(counts)
+    at = np.repeat((first[codes] - (ends - counts)), counts)
+    at += np.arange(len(at))
+    return flat[at], counts
+
+
+def total_before(counts: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Row offsets in expanded entries from row offsets in words."""
+    return np.concatenate(([0], np.cumsum(counts)))[offsets]
