@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from packetloom.llm import decontaminate
+from packetloom.llm.tables import table
 from packetloom.plans.registry import query
-from packetloom.sources.packets import table
 
 
 @query("op7_decontaminate")

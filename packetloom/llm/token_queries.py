@@ -6,9 +6,9 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from packetloom.llm import piece_offsets, token_planes
+from packetloom.llm.tables import table
 from packetloom.plans.registry import query
 from packetloom.session import scratch_path
-from packetloom.sources.packets import table
 
 
 @query("op4_token_planes")
