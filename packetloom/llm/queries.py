@@ -5,6 +5,7 @@ from __future__ import annotations
 from packetloom.llm import (
     benchmark_queries,  # noqa: F401
     language_queries,  # noqa: F401
+    model_queries,  # noqa: F401
     simhash_queries,  # noqa: F401
     token_queries,  # noqa: F401
     url_queries,  # noqa: F401
