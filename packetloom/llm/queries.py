@@ -10,4 +10,5 @@ from packetloom.llm import (
     simhash_queries,  # noqa: F401
     token_queries,  # noqa: F401
     url_queries,  # noqa: F401
+    vector_queries,  # noqa: F401
 )
