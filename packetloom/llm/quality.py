@@ -221,8 +221,9 @@ def fit(docs: DataFrame, *, text: str = "text", sample: int = 6000, epochs: int
     counts = {int(k): int(n) for k, n in found.collect()}  # at most 3 ** 8
     posterior, accuracies, prior = fit_labels(counts, len(LABELLERS))
     total = sum(counts.values())
-    part = min(1.0, sample / max(total, 1))
-    few = source.where(F.col("text").isNotNull() & (F.xxhash64("text") < F.lit(int((2 * part - 1) * (2**63 - 1)))))
+    few = source.where("text is not null")
+    if total > sample:
+        few = few.where(F.xxhash64("text") < F.lit(2**64 * sample // total - 2**63))
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
