@@ -131,13 +131,13 @@ def volume_outliers(
 
 
 def scan_signatures(
-    texts: DataFrame, signatures: DataFrame, *, key: str, text: str = "text", spread: int = 16
+    texts: DataFrame, signatures: DataFrame, *, key: str, text: str = "text", spread: int = 1
 ) -> DataFrame:
     """Texts that hold at least ``k`` of a signature's strings.
 
     Each text meets each signature once and only hits leave the join, so texts are
-    not multiplied by strings. The spread number splits the texts evenly if the
-    signatures are too many to broadcast.
+    not multiplied by strings. For signatures too many to broadcast, state a spread
+    number: it splits the texts evenly, at as many listings of a signature.
     """
     spread_texts = texts.withColumn(
         "_meet", F.pmod(F.xxhash64(key), F.lit(spread)).cast("int")

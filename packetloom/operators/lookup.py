@@ -121,8 +121,13 @@ def range_hits(df: DataFrame, ip: str, ranges: DataFrame, *keep: str) -> DataFra
 
 
 def with_country(df: DataFrame, ip: str, blocks: DataFrame, unknown: str = "UNKNOWN") -> DataFrame:
-    """Add ``country`` of an address from ``(lo, hi, country)`` blocks."""
-    hits = range_hits(df, ip, blocks, "country").select(F.col("ip").alias("_ip"), "country")
+    """Add ``country`` of an address from ``(lo, hi, country)`` blocks.
+
+    Where blocks overlap, the smallest holds, of equal ones the first: rows are not multiplied.
+    """
+    nearest = F.min_by("country", F.struct(F.col("hi") - F.col("lo"), "lo", "country"))
+    hits = range_hits(df, ip, blocks, "country", "lo", "hi").groupBy(F.col("ip").alias("_ip"))
+    hits = hits.agg(nearest.alias("country"))
     return (
         df.join(hits, F.col(ip) == F.col("_ip"), "left")
         .withColumn("country", F.coalesce("country", F.lit(unknown)))

@@ -3,8 +3,8 @@
 A rule for ``tcp`` or ``udp`` needs that protocol; any other rule protocol
 accepts every packet. Each rule is therefore listed once per packet class it
 accepts, and packets join on their class, with content and size as residual
-conditions. A small catalog is broadcast by Spark; a large one is shuffled, and
-then the spread number keeps one class from meeting in one task.
+conditions. Spark broadcasts a small catalog. For one that it shuffles, state a
+spread number: then each class meets in so many tasks, at as many listings of a rule.
 """
 
 from __future__ import annotations
@@ -19,7 +19,6 @@ from packetloom.operators.ordered import attach
 from packetloom.sources.rules import resolve_variables
 
 CLASSES = ("tcp", "udp", "other")
-SPREAD = 16
 
 
 def packet_class(proto: Column) -> Column:
@@ -45,37 +44,42 @@ def size_matches(size: Column, op: Column, n: Column) -> Column:
     return op.isNull() | ((op == ">") & (size > n)) | ((op == "<") & (size < n))
 
 
+def rule_listing(rules: DataFrame, spread: int = 1) -> DataFrame:
+    """One row per rule and class it accepts, times the spread number."""
+    meets = rule_classes(F.col("rule_proto"))
+    if spread > 1:
+        meets = F.flatten(
+            F.transform(meets, lambda c: F.sequence(c * spread, c * spread + (spread - 1)))
+        )
+    return rules.select("*", F.explode(meets).alias("_rule_meet"))
+
+
 def match_packets(
     packets: DataFrame,
     rules: DataFrame,
     *,
     residual: Sequence[Column] = (),
-    spread: int = SPREAD,
-    has_content: bool = True,
+    spread: int = 1,
 ) -> DataFrame:
     """One alert per packet and matching rule.
 
     ``rules`` has the columns of ``sources.rules.rule_table``. Alerts are narrow:
-    packet head, rule key, sid, msg and class; the payload is left behind. Extra
-    ``residual`` conditions may use any column of both sides.
+    packet head, rule key, sid, msg and class; the payload is left behind. Packets
+    without a payload column match no rule with content. Extra ``residual`` conditions
+    may use any column of both sides. ``spread`` is for catalogs too large to broadcast.
     """
-    keyed = packets.withColumn(
-        "_meet",
-        packet_class(F.col("proto")) * spread
-        + F.pmod(F.xxhash64("packet_id"), F.lit(spread)).cast("int"),
-    )
-    meets = F.transform(
-        rule_classes(F.col("rule_proto")),
-        lambda c: F.sequence(c * spread, c * spread + (spread - 1)),
-    )
-    listed = rules.select("*", F.explode(F.flatten(meets)).alias("_rule_meet"))
+    listed = rule_listing(rules, spread)
+    meet = packet_class(F.col("proto"))
+    if spread > 1:
+        meet = meet * spread + F.pmod(F.xxhash64("packet_id"), F.lit(spread)).cast("int")
+    keyed = packets.withColumn("_meet", meet)
     on = (F.col("_meet") == F.col("_rule_meet")) & size_matches(
         F.col("packet_size"), F.col("dsize_op"), F.col("dsize_n")
     )
     for condition in residual:
         on = on & condition
-    if has_content:
-        on = on & content_matches(F.col("payload"), F.col("content"))
+    payload = F.col("payload") if "payload" in packets.columns else F.lit(None).cast("string")
+    on = on & content_matches(payload, F.col("content"))
     return keyed.join(listed, on).select(
         "packet_id",
         "ts",
@@ -199,6 +203,7 @@ def with_address_numbers(packets: DataFrame) -> DataFrame:
 
 # --- rules that react to named upstream events -------------------------------------
 
+# Rule options that name an upstream event or checksum.
 EVENT_OPTIONS = ("app-layer-event", "decode-event", "stream-event")
 CHECKSUM_OPTIONS = ("ipv4-csum", "tcpv4-csum", "tcpv6-csum", "udpv4-csum", "udpv6-csum", "icmpv4-csum", "icmpv6-csum")
 

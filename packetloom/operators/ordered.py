@@ -14,6 +14,7 @@ are exact aggregates of the data, so a recomputed task cuts the same pieces.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,6 +29,7 @@ DAY = 86_400.0
 PIECE_ROWS = 1_000_000
 MAX_DIVISIONS = 5
 STEPS_PER_DIVISION = 1 << 12
+GROUP_LIMIT = 1000
 
 
 def attach(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -75,6 +77,10 @@ def cut_pieces(
         if full.isEmpty():
             break
         placed = _divide(placed, full, position, tie, piece_rows)
+    else:
+        left = _full_pieces(placed, position, tie, piece_rows * 2).count()
+        if left:
+            warnings.warn(f"{left} pieces hold more than {piece_rows * 2} rows that position and tie do not tell apart")
     return placed
 
 
@@ -245,8 +251,14 @@ def first_rows(
 ) -> DataFrame:
     """The first ``n`` rows of each key with their number.
 
-    The constant bound lets Spark cut each key to ``n`` rows per task before the
-    shuffle (WindowGroupLimit), so a hot key costs no more than a cold one.
+    Up to 1000, Spark's own bound, the constant lets it cut each key to ``n`` rows per
+    task before the shuffle (WindowGroupLimit), so a hot key costs no more than a cold
+    one. Beyond, the rows of a key are first cut to ``n`` in each of 64 parts by hash.
     """
+    if n > GROUP_LIMIT:
+        part = F.pmod(F.xxhash64(*[c for c, t in df.dtypes if "map<" not in t]), F.lit(64))
+        inner = Window.partitionBy(*keys, "_part").orderBy(*order)
+        df = df.withColumn("_part", part).withColumn("_n", F.row_number().over(inner))
+        df = df.filter(F.col("_n") <= n).drop("_part", "_n")
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(out, F.row_number().over(w)).filter(F.col(out) <= n)

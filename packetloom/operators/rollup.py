@@ -73,11 +73,18 @@ def newest(
     return top.orderBy(*order) if oldest_first else top
 
 
-def alert_by_id(alerts: DataFrame, alert_id: int, column: str = "alert_id") -> DataFrame:
+def alert_by_id(alerts: DataFrame, alert_id: str, column: str = "alert_id") -> DataFrame:
     """Zero rows mean that there is no such alert."""
     return alerts.filter(F.col(column) == alert_id)
 
 
+def alert_by_key(alerts: DataFrame, **key: int) -> DataFrame:
+    """The alert with these key values; on a stored table the filter reaches the scan."""
+    for column, value in key.items():
+        alerts = alerts.filter(F.col(column) == value)
+    return alerts
+
+
 def top_offenders(scores: DataFrame, k: int = 10) -> DataFrame:
     return scores.orderBy(F.desc("score"), "ip").limit(k)
 
@@ -138,8 +145,10 @@ def peers(packets: DataFrame) -> DataFrame:
     )
 
 
-def by_country(located: DataFrame) -> DataFrame:
-    return located.groupBy("country").agg(F.count(F.lit(1)).alias("alerts"))
+def by_country(located: DataFrame, counted: str | None = None) -> DataFrame:
+    """Alerts per country, of alerts or of rows that hold a count of them."""
+    n = F.count(F.lit(1)) if counted is None else F.sum(counted).cast("bigint")
+    return located.groupBy("country").agg(n.alias("alerts"))
 
 
 def tiled(
@@ -165,11 +174,14 @@ def tiled(
     return ranked.withColumn(out, tile.cast("int")).drop("_all", "_rank")
 
 
-def topology_edges(packets: DataFrame) -> DataFrame:
+def topology_edges(packets: DataFrame, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """Packets, bytes, last use and traffic tier (byte tertile) per address pair.
 
     The pairs are ranked over several passes, so they are aggregated once and written.
+    Equal byte sums rank by the pair as one number, by which a full piece is divided too.
     """
+    source, target = (F.coalesce(ip_number(F.col(c)), F.lit(0)) for c in ("src_ip", "dst_ip"))
+    pair = (source - F.lit(1 << 31)) * F.lit(1 << 32) + target
     edges = written(
         packets.groupBy("src_ip", "dst_ip")
         .agg(
@@ -177,12 +189,11 @@ def topology_edges(packets: DataFrame) -> DataFrame:
             F.sum("packet_size").cast("bigint").alias("bytes"),
             F.max("ts").alias("last_seen"),
         )
-        .withColumn("_s", ip_number(F.col("src_ip")))
-        .withColumn("_d", ip_number(F.col("dst_ip"))),
+        .withColumn("_pair", pair),
         "edges",
     )
-    tiled_edges = tiled(edges, 3, "bytes", ["_s", "_d"], "_tile")
-    return tiled_edges.withColumn("traffic", traffic_tier(F.col("_tile"))).drop("_s", "_d", "_tile")
+    tiled_edges = tiled(edges, 3, "bytes", ["_pair"], "_tile", piece_rows)
+    return tiled_edges.withColumn("traffic", traffic_tier(F.col("_tile"))).drop("_pair", "_tile")
 
 
 def topology_nodes(scored: DataFrame, score: str = "intel_score") -> DataFrame:

@@ -19,27 +19,24 @@ from packetloom.plans.sql_parts import (
     PACKETS,
     RULES,
     full_alerts,
-    head_alerts,
     matched,
 )
-from packetloom.session import written
+from packetloom.session import scratch_path, written
 from packetloom.sources import alert_store
 from packetloom.sources.packets import packet_heads, packets, table
 
 HOUR = 3600
 
 
-def head_matches(spark: SparkSession, folder: str) -> DataFrame:
-    """Alerts of the rules that need no payload, which is then not read, with their
-    un-escalated score."""
-    rules = fx.rules(spark).filter(F.col("content").isNull())
-    alerts = match.match_packets(packet_heads(spark, folder), rules, has_content=False)
+def scored_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """Alerts of all rules with their un-escalated score."""
+    alerts = match.match_packets(packets(spark, folder), fx.rules(spark))
     return lookup.score_indicators(alerts, fx.intel(spark))
 
 
-def head_detections(spark: SparkSession, folder: str) -> DataFrame:
+def detections(spark: SparkSession, folder: str) -> DataFrame:
     """The same alerts, written once and correlated."""
-    alerts = written(head_matches(spark, folder), "alerts")
+    alerts = written(scored_matches(spark, folder), "alerts")
     marked = correlate.mark_escalated(alerts, window_seconds=HOUR)
     return correlate.apply_escalation(marked.withColumn("threat_score", F.col("intel_score")))
 
@@ -63,7 +60,7 @@ def flagship_severity_by_sid(spark, folder):
 
 @query(
     "rule_match",
-    f"with {PACKETS}, {RULES}, {matched('packets', True)}"
+    f"with {PACKETS}, {RULES}, {matched('packets')}"
     + """
 select packet_id, sid, msg, protocol, rule_class, packet_size, src_ip, dst_ip from matched""",
 )
@@ -116,33 +113,33 @@ select count(*) as total_alerts, count(*) filter (threat_score > 100) as critica
 from alerts"""
 
 
-@query("alert_severity", head_alerts(HOUR) + ROLLUP_SQL)
+@query("alert_severity", full_alerts(HOUR) + ROLLUP_SQL)
 def alert_severity(spark, folder):
-    return rollup.severity_rollup(head_detections(spark, folder))
+    return rollup.severity_rollup(detections(spark, folder))
 
 
 @query(
     "avg_score",
-    f"with {HEADS}"
-    + " select cast(coalesce(trunc(avg(packet_size)), 0) as int) as threat_score from heads",
+    full_alerts(HOUR)
+    + " select cast(coalesce(trunc(avg(threat_score)), 0) as int) as threat_score from alerts",
 )
 def avg_score(spark, folder):
-    return rollup.mean_score(packet_heads(spark, folder), "packet_size")
+    return rollup.mean_score(detections(spark, folder), "threat_score")
 
 
 @query(
     "dashboard_stats",
-    head_alerts(HOUR)
+    full_alerts(HOUR)
     + f""", stats as ({ROLLUP_SQL}),
 volume as (select count(*) as packets_analyzed, sum(packet_size)::bigint as bytes_analyzed from heads),
-loaded as (select count(*) as rules_loaded from rules where content is null)
+loaded as (select count(*) as rules_loaded from rules)
 select * from stats, volume, loaded""",
 )
 def dashboard_stats(spark, folder):
     """The stats record: alert roll-up with packet, byte and rule counts (three one-row sums)."""
-    stats = rollup.severity_rollup(head_detections(spark, folder))
+    stats = rollup.severity_rollup(detections(spark, folder))
     heads = packet_heads(spark, folder)
-    rules = fx.rules(spark).filter(F.col("content").isNull())
+    rules = fx.rules(spark)
     return stats.select(
         "*",
         heads.agg(F.count(F.lit(1))).scalar().alias("packets_analyzed"),
@@ -153,14 +150,14 @@ def dashboard_stats(spark, folder):
 
 @query(
     "last_n_alerts",
-    head_alerts(HOUR)
+    full_alerts(HOUR)
     + """
 select packet_id, rule_key, us, sid, msg, threat_score from alerts
 order by us desc, packet_id desc, rule_key desc limit 100""",
 )
 def last_n_alerts(spark, folder):
     top = rollup.newest(
-        head_detections(spark, folder), 100, ["ts", "packet_id", "rule_key"], oldest_first=True
+        detections(spark, folder), 100, ["ts", "packet_id", "rule_key"], oldest_first=True
     )
     return top.select(
         "packet_id", "rule_key", epoch_us(F.col("ts")).alias("us"), "sid", "msg", "threat_score"
@@ -192,49 +189,52 @@ def latest_intel(spark, folder):
 
 @query(
     "bounded_history",
-    head_alerts(HOUR)
+    full_alerts(HOUR)
     + """
 select sid, packet_id, rule_key from alerts
 qualify row_number() over (partition by sid order by us desc, packet_id desc, rule_key desc) <= 100""",
 )
 def bounded_history(spark, folder):
     order = [F.desc("ts"), F.desc("packet_id"), F.desc("rule_key")]
-    return first_rows(head_detections(spark, folder), ["sid"], order, 100).select(
+    return first_rows(detections(spark, folder), ["sid"], order, 100).select(
         "sid", "packet_id", "rule_key"
     )
 
 
 @query(
     "alert_lookup",
-    head_alerts(HOUR)
+    full_alerts(HOUR)
     + """
-select packet_id * 8 + rule_key as alert_id, sid, msg, threat_score, escalated
-from alerts where packet_id * 8 + rule_key = 305""",
+select packet_id, rule_key, sid, msg, threat_score, escalated
+from alerts where packet_id = 38 and rule_key = 1""",
 )
 def alert_lookup(spark, folder):
-    alerts = head_detections(spark, folder).withColumn(
-        "alert_id", F.col("packet_id") * 8 + F.col("rule_key")
+    """One alert of the stored table by its key, which Spark pushes to the files."""
+    path = scratch_path(spark, "alert-table")
+    rows = alert_store.table_rows(
+        alert_records(detections(spark, folder)), keep=("packet_id", "rule_key", "ts")
     )
-    return rollup.alert_by_id(alerts, 305).select(
-        "alert_id", "sid", "msg", "threat_score", "escalated"
+    alert_store.append_table(rows, path, "ts")
+    return rollup.alert_by_key(spark.read.parquet(path), packet_id=38, rule_key=1).select(
+        "packet_id", "rule_key", "sid", "msg", "threat_score", "escalated"
     )
 
 
 @query(
     "ip_score",
-    head_alerts(HOUR)
+    full_alerts(HOUR)
     + """
 select ip, sum(intel_score)::bigint as score, count(*) as alerts
 from (select src_ip as ip, intel_score from alerts union all select dst_ip, intel_score from alerts)
 group by ip""",
 )
 def ip_score(spark, folder):
-    return correlate.ip_scores(head_matches(spark, folder))
+    return correlate.ip_scores(scored_matches(spark, folder))
 
 
 @query(
     "ip_running_score",
-    head_alerts(HOUR)
+    full_alerts(HOUR)
     + """
 select ip, packet_id, rule_key, side, sum(intel_score) over (partition by ip
     order by us, packet_id, rule_key, side rows unbounded preceding)::bigint as running_score
@@ -242,55 +242,55 @@ from (select src_ip as ip, 0 as side, us, packet_id, rule_key, intel_score from
       union all select dst_ip, 1, us, packet_id, rule_key, intel_score from alerts)""",
 )
 def ip_running_score(spark, folder):
-    alerts = written(head_matches(spark, folder), "alerts")
+    alerts = written(scored_matches(spark, folder), "alerts")
     scored = correlate.running_ip_score(alerts, slot_seconds=86_400)
     return scored.select("ip", "packet_id", "rule_key", "side", "running_score")
 
 
 @query(
     "top_offenders",
-    head_alerts(HOUR)
+    full_alerts(HOUR)
     + """
 select ip, sum(intel_score)::bigint as score, count(*) as alerts
 from (select src_ip as ip, intel_score from alerts union all select dst_ip, intel_score from alerts)
 group by ip order by score desc, ip limit 10""",
 )
 def top_offenders(spark, folder):
-    return rollup.top_offenders(correlate.ip_scores(head_matches(spark, folder)), 10)
+    return rollup.top_offenders(correlate.ip_scores(scored_matches(spark, folder)), 10)
 
 
 @query(
     "active_signatures",
-    head_alerts(HOUR) + " select count(distinct sid) as active_alerts from alerts",
+    full_alerts(HOUR) + " select count(distinct sid) as active_alerts from alerts",
 )
 def active_signatures(spark, folder):
-    return rollup.active_signatures(head_matches(spark, folder))
+    return rollup.active_signatures(scored_matches(spark, folder))
 
 
 @query(
     "last_signatures",
-    head_alerts(HOUR)
+    full_alerts(HOUR)
     + """
 select sid, min(us) as first_us, strftime(max(ts), '%H:%M:%S') as latest,
   max(threat_score) as top_score, count(*) as alerts
 from alerts group by sid order by first_us desc, sid desc limit 10""",
 )
 def last_signatures(spark, folder):
-    return rollup.last_signatures(head_detections(spark, folder)).select(
+    return rollup.last_signatures(detections(spark, folder)).select(
         "sid", epoch_us(F.col("first_seen")).alias("first_us"), "latest", "top_score", "alerts"
     )
 
 
 @query(
     "display_colour",
-    head_alerts(HOUR)
+    full_alerts(HOUR)
     + """
 select case when threat_score > 100 then 'red' when threat_score > 50 then 'yellow' else 'green' end
   as colour, count(*) as alerts from alerts group by colour""",
 )
 def colours(spark, folder):
     return (
-        head_detections(spark, folder)
+        detections(spark, folder)
         .groupBy(display_colour(F.col("threat_score")).alias("colour"))
         .agg(F.count(F.lit(1)).alias("alerts"))
     )
@@ -303,14 +303,14 @@ RAW_JSON = """to_json({'sid': sid, 'msg': msg, 'src': src_ip, 'dst': dst_ip, 'sp
 
 @query(
     "alert_records",
-    head_alerts(HOUR)
+    full_alerts(HOUR)
     + f"""
 select packet_id, rule_key, sid, msg, src_ip, dst_ip, sport as src_port, dport as dst_port, protocol,
   threat_score, escalated, packet_size, rule_class, cast({RAW_JSON} as varchar) as raw_data
 from alerts""",
 )
 def stored_alerts(spark, folder):
-    records = alert_records(head_detections(spark, folder))
+    records = alert_records(detections(spark, folder))
     return alert_store.table_rows(records, keep=("packet_id", "rule_key"))
 
 
@@ -333,7 +333,7 @@ def alert_record_defaults(spark, folder):
 
 @query(
     "alert_ids",
-    head_alerts(HOUR) + " select count(*) as alerts, count(*) as ids from alerts",
+    full_alerts(HOUR) + " select count(*) as alerts, count(*) as ids from alerts",
 )
 def alert_ids(spark, folder):
     """Every stored alert has an id of its own."""
@@ -345,7 +345,7 @@ def alert_ids(spark, folder):
 
 @query(
     "alert_json_readback",
-    head_alerts(HOUR)
+    full_alerts(HOUR)
     + """
 select packet_id, rule_key, sid, src_ip as src, dport, threat_score, escalated from alerts""",
 )
@@ -364,7 +364,7 @@ def alert_json_readback(spark, folder):
 
 @query(
     "log_replay",
-    head_alerts(HOUR)
+    full_alerts(HOUR)
     + """
 select packet_id, rule_key, strftime(ts, '%Y-%m-%d %H:%M:%S,%g') as logged_at, 'INFO' as level,
   sid, msg, src_ip as src, dst_ip as dst, sport, dport, protocol as proto, threat_score, escalated,
@@ -372,7 +372,7 @@ select packet_id, rule_key, strftime(ts, '%Y-%m-%d %H:%M:%S,%g') as logged_at, '
 from alerts""",
 )
 def log_replay(spark, folder):
-    records = alert_records(head_detections(spark, folder))
+    records = alert_records(detections(spark, folder))
     fields = [f for f, *_ in alert_store.TABLE_COLUMNS]
     keep = ("packet_id", "rule_key")
     return alert_store.replay(alert_store.log_lines(records, fields, "ts", keep=keep), keep=keep)
@@ -432,13 +432,13 @@ def counter_threshold(spark, folder):
 
 @query(
     "once_per_flow",
-    head_alerts(HOUR)
+    full_alerts(HOUR)
     + """
 select src_ip, sid, packet_id from alerts
 qualify row_number() over (partition by src_ip, sid order by us, packet_id, rule_key) = 1""",
 )
 def once_per_flow(spark, folder):
-    alerts = head_matches(spark, folder)
+    alerts = scored_matches(spark, folder)
     return limits.once_per(alerts, ["src_ip", "sid"], tie=("packet_id", "rule_key")).select(
         "src_ip", "sid", "packet_id"
     )

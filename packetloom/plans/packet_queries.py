@@ -146,12 +146,9 @@ where {IP_NUMBER.format("dst_ip")} between {IP_NUMBER.format("'45.146.164.0'")}
 )
 def cidr_intel(spark, folder):
     ranges = fx.intel(spark).filter(F.col("kind") == "cidr")
-    flagged = lookup.in_ranges(packet_heads(spark, folder), "dst_ip", ranges)
-    return (
-        flagged.filter("in_range")
-        .groupBy(F.col("dst_ip").alias("ip"))
-        .agg(F.count(F.lit(1)).alias("packets"))
-    )
+    heads = packet_heads(spark, folder)
+    counts = heads.groupBy(F.col("dst_ip").alias("ip")).agg(F.count(F.lit(1)).alias("packets"))
+    return lookup.in_ranges(counts, "ip", ranges).filter("in_range").drop("in_range")
 
 
 @query(
@@ -211,7 +208,8 @@ def geo_threats(spark, folder):
     blocks = table(spark, folder, "nation").select(
         low.alias("lo"), (low + 15).alias("hi"), F.col("n_name").alias("country")
     )
-    return rollup.by_country(lookup.with_country(packet_heads(spark, folder), "src_ip", blocks))
+    counts = packet_heads(spark, folder).groupBy("src_ip").agg(F.count(F.lit(1)).alias("alerts"))
+    return rollup.by_country(lookup.with_country(counts, "src_ip", blocks), "alerts")
 
 
 @query(
@@ -425,7 +423,7 @@ where proto = 'tcp' and s in (1, 2) and sport >= 60000 and not bad and dport <=
 def header_match(spark, folder):
     rules = match.with_head_ranges(fx.head_rules(spark), fx.VARIABLES)
     heads = match.with_address_numbers(packet_heads(spark, folder))
-    hits = match.match_packets(heads, rules, residual=[match.head_matches()], has_content=False)
+    hits = match.match_packets(heads, rules, residual=[match.head_matches()])
     return hits.select("packet_id", "sid")
 
 

@@ -46,13 +46,7 @@ SERVICES = f"services as (select * from (values {SERVICE_VALUES}) t(port, servic
 EVENT_RULES = f"event_rules as (select * from (values {EVENT_RULE_VALUES}) t(sid, msg, event_name))"
 
 
-def matched(source: str, content: bool) -> str:
-    """Packets against rules; without payload only the rules without content apply."""
-    body = (
-        "(r.content is null or coalesce(contains(p.payload, r.content), false))"
-        if content
-        else "r.content is null"
-    )
+def matched(source: str) -> str:
     return f"""
 matched as (
   select p.packet_id, p.us, p.ts, p.src_ip, p.dst_ip, p.sport, p.dport, p.packet_size,
@@ -61,7 +55,7 @@ matched as (
     on (lower(r.rule_proto) not in ('tcp', 'udp') or lower(r.rule_proto) = p.proto)
    and (r.dsize_op is null or (r.dsize_op = '>' and p.packet_size > r.dsize_n)
         or (r.dsize_op = '<' and p.packet_size < r.dsize_n))
-   and {body})"""
+   and (r.content is null or coalesce(contains(p.payload, r.content), false)))"""
 
 
 def correlated(seconds: int) -> str:
@@ -88,12 +82,8 @@ IP_NUMBER = """(split_part({0}, '.', 1)::bigint * 16777216 + split_part({0}, '.'
   + split_part({0}, '.', 3)::bigint * 256 + split_part({0}, '.', 4)::bigint)"""
 
 
-def head_alerts(seconds: int) -> str:
-    return f"with {HEADS}, {RULES}, {INTEL}, {matched('heads', False)}, {correlated(seconds)}"
-
-
 def full_alerts(seconds: int) -> str:
-    return f"with {PACKETS}, {RULES}, {INTEL}, {matched('packets', True)}, {correlated(seconds)}"
+    return f"with {PACKETS}, {RULES}, {INTEL}, {matched('packets')}, {correlated(seconds)}"
 
 
 def slot(us: str, seconds: int) -> str:

@@ -18,7 +18,7 @@ from packetloom.plans.sql_parts import (
     HEADS,
     PACKETS,
     RULES,
-    head_alerts,
+    full_alerts,
     matched,
     slot,
 )
@@ -45,9 +45,9 @@ def places(spark: SparkSession, label: str) -> dict[str, str]:
 
 
 def scored_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """Alerts of the payload-free rules with their un-escalated score."""
-    rules = fx.rules(spark).filter(F.col("content").isNull())
-    alerts = jobs.matched_stream(head_stream(spark, folder), rules, has_content=False)
+    """Alerts of all rules with their un-escalated score."""
+    packets = with_payload(head_stream(spark, folder), table(spark, folder, "documents"))
+    alerts = jobs.matched_stream(packets, fx.rules(spark))
     return lookup.score_indicators(alerts, fx.intel(spark)).withColumn(
         "threat_score", F.col("intel_score")
     )
@@ -55,7 +55,7 @@ def scored_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "stream_rule_match",
-    f"with {PACKETS}, {RULES}, {matched('packets', True)}"
+    f"with {PACKETS}, {RULES}, {matched('packets')}"
     + " select packet_id, sid, protocol, rule_class, packet_size from matched",
 )
 def stream_rule_match(spark, folder):
@@ -111,7 +111,7 @@ def stream_unusual_ports(spark, folder):
 
 @query(
     "stream_ip_scores",
-    head_alerts(HOUR)
+    full_alerts(HOUR)
     + """
 select ip, sum(intel_score)::bigint as score, count(*) as alerts
 from (select src_ip as ip, intel_score from alerts union all select dst_ip, intel_score from alerts)
@@ -131,7 +131,7 @@ count(*) as total_alerts, count(*) filter (intel_score > 100) as critical_alerts
   cast(coalesce(trunc(avg(intel_score)), 0) as int) as threat_score"""
 
 
-@query("stream_stats", head_alerts(HOUR) + f" select {STATS_COLUMNS} from alerts")
+@query("stream_stats", full_alerts(HOUR) + f" select {STATS_COLUMNS} from alerts")
 def stream_stats(spark, folder):
     at = places(spark, "stats")
     jobs.finish(jobs.start_stats(scored_stream(spark, folder), trigger=jobs.NOW, **at))
@@ -140,7 +140,7 @@ def stream_stats(spark, folder):
 
 @query(
     "stream_snapshots",
-    head_alerts(HOUR)
+    full_alerts(HOUR)
     + f""",
 stats as (select {STATS_COLUMNS} from alerts),
 feed as (select us, packet_id, rule_key, sid, intel_score as threat_score from alerts
@@ -156,7 +156,7 @@ def stream_snapshots(spark, folder):
 
 @query(
     "stream_alert_log",
-    head_alerts(HOUR)
+    full_alerts(HOUR)
     + """
 select strftime(ts, '%Y-%m-%d %H:%M:%S,%g') as logged_at, sid, src_ip as src, dst_ip as dst, dport,
   intel_score as threat_score, packet_size
@@ -218,7 +218,7 @@ def stream_sessions(spark, folder):
     )
 
 
-@query("stream_once_per_flow", head_alerts(HOUR) + " select distinct src_ip, sid from alerts")
+@query("stream_once_per_flow", full_alerts(HOUR) + " select distinct src_ip, sid from alerts")
 def stream_once_per_flow(spark, folder):
     """The delay spans the whole table, so each flow and signature comes out once."""
     at = places(spark, "once")

@@ -10,7 +10,7 @@ from packetloom.operators import detect, limits, lookup
 from packetloom.plans.registry import query
 from packetloom.sources import intel as intel_source
 from packetloom.sources import rules as rule_source
-from packetloom.sources.packets import packet_heads, spread, table
+from packetloom.sources.packets import packet_heads, table
 from packetloom.sources.signatures import signatures
 from packetloom.plans.sql_parts import HEADS
 
@@ -302,7 +302,7 @@ SIGNATURE_VALUES = """
  ('s3', array('key', 'token', 'secret', 'password'), 2)
 """
 PATTERNS = {
-    "query_chain": r"\.php\?.*?:[a-zA-Z0-9:]{6,}?&.*?&",
+    "charset_head": r"<meta charset=\"[a-z0-9-]+\"><title>",
     "page_number": r"[0-9]{3,}\?page=[0-9]+",
     "script_tag": r"<script[^>]*>",
 }
@@ -323,7 +323,7 @@ select doc_id, name, found from hits where found >= k""",
 )
 def kofn_scan(spark, folder):
     sigs = spark.sql(f"SELECT * FROM VALUES {SIGNATURE_VALUES} AS t(name, strings, k)")
-    return detect.scan_signatures(spread(table(spark, folder, "documents")), sigs, key="doc_id")
+    return detect.scan_signatures(table(spark, folder, "documents"), sigs, key="doc_id")
 
 
 @query(
@@ -334,7 +334,7 @@ def kofn_scan(spark, folder):
     ),
 )
 def regex_scan(spark, folder):
-    return detect.scan_patterns(spread(table(spark, folder, "pages")), PATTERNS, key="page_id", text="html")
+    return detect.scan_patterns(table(spark, folder, "pages"), PATTERNS, key="page_id", text="html")
 
 
 @query(
@@ -345,7 +345,7 @@ def regex_scan(spark, folder):
 )
 def sensitive_data(spark, folder):
     return detect.sensitive_records(
-        spread(table(spark, folder, "documents")),
+        table(spark, folder, "documents"),
         (LINEAR_MAIL, PERSONAL[1]),
         key="doc_id",
         min_hits=1,

@@ -29,12 +29,15 @@ def local_session(cores: int | str = 8, app: str = "packetloom", **conf: str) ->
 def shared_root(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests on one machine) is a local
-    temporary folder made, once per session.
+    Only for a local master, where all tasks see one disk, may that setting be absent:
+    then a temporary folder is made, once per session. Elsewhere its absence is an error,
+    for executors would write to their own disks.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.conf.get("packetloom.scratch", None)
+    if not root and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not root:
         root = tempfile.mkdtemp(prefix="packetloom-")
         spark.conf.set("packetloom.scratch", root)
@@ -50,6 +53,16 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_root(spark), "packetloom", app, f"{label}-{uuid.uuid4().hex}")
 
 
+def clear_scratch(spark: SparkSession) -> bool:
+    """Remove what this application wrote below the shared root; whether there was anything.
+
+    Call it when no result of the package that is still in use reads such a table.
+    """
+    app = spark.sparkContext.applicationId
+    path = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(shared_root(spark), "packetloom", app))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared folder and read it back.
 

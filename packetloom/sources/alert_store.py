@@ -44,10 +44,9 @@ def table_rows(records: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 
 def with_row_defaults(rows: DataFrame, *identity: str) -> DataFrame:
-    """Add a row id derived from the columns that identify the alert, and the ingest time."""
-    return rows.select(
-        F.xxhash64(*identity).alias("alert_id"), F.current_timestamp().alias("ingested_at"), "*"
-    )
+    """Add a row id, the 128-bit digest of the columns that identify the alert, and the ingest time."""
+    key = F.md5(F.to_json(F.struct(*identity), {"ignoreNullFields": "false"}))
+    return rows.select(key.alias("alert_id"), F.current_timestamp().alias("ingested_at"), "*")
 
 
 def append_table(rows: DataFrame, path: str, day_of: str | None = None) -> None:

@@ -70,12 +70,9 @@ def packets_from_events(events: DataFrame) -> DataFrame:
     )
 
 
-def with_payload(packets: DataFrame, documents: DataFrame, span: int | None = None) -> DataFrame:
-    """Give each packet a document as payload, going round all documents.
-
-    ``span`` goes round the first documents only, for fixtures with known sums.
-    """
-    count = F.lit(span) if span else documents.agg(F.count(F.lit(1))).scalar()
+def with_payload(packets: DataFrame, documents: DataFrame) -> DataFrame:
+    """Give each packet a document as payload, going round all documents."""
+    count = documents.agg(F.count(F.lit(1))).scalar()
     texts = documents.select("doc_id", F.col("text").alias("payload"))
     return (
         packets.withColumn("doc_id", F.pmod(F.col("packet_id"), count))
@@ -84,21 +81,10 @@ def with_payload(packets: DataFrame, documents: DataFrame, span: int | None = No
     )
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan over the cores when its splits fill half of them or less.
-
-    Meant ahead of work that is heavy per row: a small file is often one row group,
-    which one task would read and process. A table of many splits, as any large one
-    is, passes through unshuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
-
-
 def packet_heads(spark: SparkSession, folder: str) -> DataFrame:
     return packets_from_events(table(spark, folder, "events"))
 
 
 def packets(spark: SparkSession, folder: str) -> DataFrame:
-    events = spread(table(spark, folder, "events"))
+    events = table(spark, folder, "events")
     return with_payload(packets_from_events(events), table(spark, folder, "documents"))

@@ -22,9 +22,9 @@ from packetloom.streaming.carry import start_carried, start_updates
 DELAY = "10 minutes"
 
 
-def matched_stream(packets: DataFrame, rules: DataFrame, *, has_content: bool = True) -> DataFrame:
+def matched_stream(packets: DataFrame, rules: DataFrame) -> DataFrame:
     """Continuous rule matching: stream against the static catalog."""
-    return match_packets(packets, rules, has_content=has_content)
+    return match_packets(packets, rules)
 
 
 def append_log(lines: DataFrame, *, work: str, out: str, trigger: dict | None = None) -> StreamingQuery:

@@ -158,7 +158,7 @@ def test_table_round_trip(spark, tmp_path):
     assert back.filter("ingested_at is null").isEmpty()
     found = rollup.alert_by_id(back, back.filter("sid = '8'").first()["alert_id"])
     assert {r["msg"] for r in found.collect()} == {"n"}
-    assert rollup.alert_by_id(back, 1).isEmpty()
+    assert rollup.alert_by_id(back, "none").isEmpty()
 
 
 def test_read_back_of_empty_text(spark):

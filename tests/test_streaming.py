@@ -49,12 +49,12 @@ def rows(df, *columns):
 
 def test_matching_and_escalation_equal_batch(spark, heads, folder, tmp_path):
     at = places(tmp_path)
-    alerts = jobs.matched_stream(stream_packets(spark, folder, **ONE_FILE), head_rules(spark), has_content=False)
+    alerts = jobs.matched_stream(stream_packets(spark, folder, **ONE_FILE), head_rules(spark))
     query = jobs.start_escalation(alerts, window_seconds=86_400, trigger=jobs.NOW, **at)
     jobs.finish(query)
     assert query.lastProgress["batchId"] == 3
     got = spark.read.parquet(at["out"])
-    batch = jobs.matched_stream(heads, head_rules(spark), has_content=False)
+    batch = jobs.matched_stream(heads, head_rules(spark))
     want = correlate.mark_escalated(batch, window_seconds=86_400)
     columns = ("packet_id", "sid", "escalated")
     assert rows(got, *columns) == rows(want, *columns)
@@ -71,12 +71,12 @@ def test_held_back_stream_is_exact_when_files_come_out_of_order(spark, heads, tm
     split(jittered, path, 5, "arrival")
     at = places(tmp_path)
     stream = spark.readStream.schema(heads.schema).option("maxFilesPerTrigger", "1").parquet(str(path))
-    alerts = jobs.matched_stream(stream, head_rules(spark), has_content=False)
+    alerts = jobs.matched_stream(stream, head_rules(spark))
     jobs.finish(
         jobs.start_escalation(alerts, window_seconds=day, hold_seconds=4 * day, trigger=jobs.NOW, **at)
     )
     got = spark.read.parquet(at["out"])
-    batch = jobs.matched_stream(heads, head_rules(spark), has_content=False)
+    batch = jobs.matched_stream(heads, head_rules(spark))
     mark = heads.agg(F.max("ts")).first()[0].timestamp() - 4 * day
     want = correlate.mark_escalated(batch, window_seconds=day).filter(F.col("ts").cast("double") <= mark)
     columns = ("packet_id", "sid", "escalated")
@@ -89,11 +89,11 @@ def test_late_rows_are_counted_and_left_out(spark, heads, tmp_path):
     split(newest_first, path, 2, "back")
     at = places(tmp_path)
     stream = spark.readStream.schema(heads.schema).option("maxFilesPerTrigger", "1").parquet(str(path))
-    alerts = jobs.matched_stream(stream, head_rules(spark), has_content=False)
+    alerts = jobs.matched_stream(stream, head_rules(spark))
     jobs.finish(jobs.start_escalation(alerts, hold_seconds=60, trigger=jobs.NOW, **at))
     clock = spark.read.parquet(f"{at['work']}/carry/clock/place=1").first()
     half = heads.orderBy("ts").limit(heads.count() - -(-heads.count() // 2))
-    assert clock["late"] == jobs.matched_stream(half, head_rules(spark), has_content=False).count()
+    assert clock["late"] == jobs.matched_stream(half, head_rules(spark)).count()
 
 
 def test_unusual_ports_equal_batch(spark, heads, folder, tmp_path):
@@ -115,7 +115,7 @@ def test_restart_goes_on_from_the_carry(spark, heads, tmp_path):
 
 
 def scored(spark, df):
-    alerts = jobs.matched_stream(df, head_rules(spark), has_content=False)
+    alerts = jobs.matched_stream(df, head_rules(spark))
     return lookup.score_indicators(alerts, fixtures.intel(spark)).withColumn("threat_score", F.col("intel_score"))
 
 

@@ -139,9 +139,9 @@ rule first_kit : EK Web
 {
 meta:
    author = "someone"
-   date = "2016-06-27"
+   date = "2001-02-03"
 strings:
-   $string0 = "k0/3;N"
+   $string0 = "own;text 7"
     $string1 = "say \"hi\" {x}"
    $string2 = "rule inside text"
 condition:
@@ -170,8 +170,8 @@ def test_signature_text(spark, tmp_path):
     assert set(got) == {"first_kit", "second_kit", "third"}
     first = got["first_kit"]
     assert first["tags"] == ["EK", "Web"] and first["k"] == 2
-    assert first["meta"] == {"author": "someone", "date": "2016-06-27"}
-    assert first["strings"] == ["k0/3;N", 'say "hi" {x}', "rule inside text"]
+    assert first["meta"] == {"author": "someone", "date": "2001-02-03"}
+    assert first["strings"] == ["own;text 7", 'say "hi" {x}', "rule inside text"]
     assert got["second_kit"]["k"] is None and got["second_kit"]["strings"] == []
     assert got["third"]["k"] == 2 and got["third"]["tags"] == ["X"]
 
