@@ -152,6 +152,7 @@ def rule_table(rules: DataFrame, file: str = "rule_file", line: str = "line") ->
         "dsize_n",
         *[f"rule_{h}" for h in ("src", "sport", "dst", "dport")],
         "noalert",
+        "options",
     )
 
 
