@@ -10,7 +10,7 @@ from packetloom.functions.timing import epoch_us, from_epoch_us, ntz_epoch_us
 from packetloom.operators import correlate, limits, lookup, match, rollup
 from packetloom.operators.ordered import first_rows
 from packetloom.plans import fixtures as fx
-from packetloom.plans.detection import alert_records, detect, severity_by_signature
+from packetloom.plans.detection import detect, severity_by_signature
 from packetloom.plans.registry import query
 from packetloom.plans.sql_parts import (
     BAND,
@@ -23,6 +23,7 @@ from packetloom.plans.sql_parts import (
 )
 from packetloom.session import scratch_path, written
 from packetloom.sources import alert_store
+from packetloom.sources.alert_store import alert_records
 from packetloom.sources.packets import packet_heads, packets, table
 
 HOUR = 3600

@@ -37,23 +37,3 @@ def detect(
 
 def severity_by_signature(alerts: DataFrame) -> DataFrame:
     return severity_by(alerts, "sid")
-
-
-def alert_records(alerts: DataFrame) -> DataFrame:
-    """Alerts under the field names of the JSON record, identity kept in front."""
-    return alerts.select(
-        "packet_id",
-        "rule_key",
-        "ts",
-        "sid",
-        "msg",
-        F.col("src_ip").alias("src"),
-        F.col("dst_ip").alias("dst"),
-        "sport",
-        "dport",
-        F.col("protocol").alias("proto"),
-        "threat_score",
-        "escalated",
-        "packet_size",
-        "rule_class",
-    )

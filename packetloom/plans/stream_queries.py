@@ -12,7 +12,6 @@ from packetloom import schema
 from packetloom.functions.timing import epoch_us, from_epoch_us, ntz_epoch_us
 from packetloom.operators import lookup
 from packetloom.plans import fixtures as fx
-from packetloom.plans.detection import alert_records
 from packetloom.plans.registry import query
 from packetloom.plans.sql_parts import (
     HEADS,
@@ -53,6 +52,33 @@ def scored_stream(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+BATCHES = 5
+
+
+def detected(spark: SparkSession, folder: str, label: str) -> dict[str, str]:
+    """Live detection over events that arrive in equal spans of time, a micro-batch each.
+
+    After every arrival the job is started again from its checkpoint.
+    """
+    at = places(spark, label)
+    at["log"] = f"{at['work']}/log"
+    path = scratch_path(spark, "arrivals")
+    events = table(spark, folder, "events")
+    us = ntz_epoch_us("ts")
+    low, high = (x or 0 for x in events.agg(F.min(us), F.max(us)).first())
+    span = F.floor((us - F.lit(low)) / F.lit((high - low) // BATCHES + 1))
+    for i in range(BATCHES):
+        events.where(span == i).write.mode("append").parquet(path)
+        arrived = packets_from_events(spark.readStream.schema(schema.TABLES["events"]).parquet(path))
+        stream = with_payload(arrived, table(spark, folder, "documents"))
+        jobs.finish(
+            jobs.start_detection(
+                stream, fx.rules(spark), fx.intel(spark), window_seconds=HOUR, trigger=jobs.NOW, **at
+            )
+        )
+    return at
+
+
 @query(
     "stream_rule_match",
     f"with {PACKETS}, {RULES}, {matched('packets')}"
@@ -158,20 +184,28 @@ def stream_snapshots(spark, folder):
     "stream_alert_log",
     full_alerts(HOUR)
     + """
-select strftime(ts, '%Y-%m-%d %H:%M:%S,%g') as logged_at, sid, src_ip as src, dst_ip as dst, dport,
-  intel_score as threat_score, packet_size
+select strftime(ts, '%Y-%m-%d %H:%M:%S,%g') as logged_at, sid, msg, src_ip as src, dst_ip as dst, dport,
+  threat_score, escalated, packet_size
 from alerts""",
 )
 def stream_alert_log(spark, folder):
-    at = places(spark, "log")
-    records = alert_records(
-        scored_stream(spark, folder).withColumn("escalated", F.lit(None).cast("boolean"))
+    """The log that live detection writes, read back."""
+    at = detected(spark, folder, "log")
+    return alert_store.read_log(spark, at["log"]).select(
+        "logged_at", "sid", "msg", "src", "dst", "dport", "threat_score", "escalated", "packet_size"
     )
-    fields = [f for f, *_ in alert_store.TABLE_COLUMNS]
-    lines = alert_store.log_lines(records, fields, "ts")
-    jobs.finish(jobs.append_log(lines, trigger=jobs.NOW, **at))
-    return alert_store.read_log(spark, at["out"]).select(
-        "logged_at", "sid", "src", "dst", "dport", "threat_score", "packet_size"
+
+
+@query(
+    "stream_detect",
+    full_alerts(HOUR)
+    + " select packet_id, rule_key, sid, msg, escalated, intel_score, threat_score from alerts",
+)
+def stream_detect(spark, folder):
+    """Live detection over several micro-batches equals the batch plan."""
+    at = detected(spark, folder, "detect")
+    return spark.read.parquet(at["out"]).select(
+        "packet_id", "rule_key", "sid", "msg", "escalated", "intel_score", "threat_score"
     )
 
 

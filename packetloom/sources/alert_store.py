@@ -29,6 +29,26 @@ def alert_json(fields: list[str]) -> Column:
     return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
 
 
+def alert_records(alerts: DataFrame) -> DataFrame:
+    """Alerts under the field names of the JSON record, identity kept in front."""
+    return alerts.select(
+        "packet_id",
+        "rule_key",
+        "ts",
+        "sid",
+        "msg",
+        F.col("src_ip").alias("src"),
+        F.col("dst_ip").alias("dst"),
+        "sport",
+        "dport",
+        F.col("protocol").alias("proto"),
+        "threat_score",
+        "escalated",
+        "packet_size",
+        "rule_class",
+    )
+
+
 def table_rows(records: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Alert records → table columns plus a raw JSON copy.
 

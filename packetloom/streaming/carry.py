@@ -53,10 +53,12 @@ def start_carried(
     out: str,
     schemas: dict[str, str],
     trigger: dict | None = None,
+    also: Callable[[DataFrame, int], None] | None = None,
 ) -> StreamingQuery:
     """Run ``step(batch, states) -> (rows, new states)`` on every micro-batch.
 
-    Rows of batch n are written to ``out/batch_id=n``.
+    Rows of batch n are written to ``out/batch_id=n``. ``also`` gets the written rows and
+    the batch number, for a further sink that may overwrite what it wrote for that number.
     """
     carry = Carry(f"{work}/carry", schemas)
 
@@ -65,7 +67,10 @@ def start_carried(
         batch = batch.persist()
         try:
             rows, states = step(batch, carry.read(spark, batch_id))
-            rows.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+            path = f"{out}/batch_id={batch_id}"
+            rows.write.mode("overwrite").parquet(path)
+            if also is not None:
+                also(spark.read.schema(rows.schema).parquet(path), batch_id)
             carry.write(states, batch_id)
         finally:
             batch.unpersist()

@@ -6,20 +6,30 @@ watermarked aggregates and counted in the query progress.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from packetloom.operators.anomaly import USUAL_AFTER, port_sightings
-from packetloom.operators.correlate import HITS, WINDOW_SECONDS, ip_scores, mark_escalated
+from packetloom.operators.correlate import (
+    HITS,
+    WINDOW_SECONDS,
+    apply_escalation,
+    ip_scores,
+    mark_escalated,
+)
+from packetloom.operators.lookup import score_indicators
 from packetloom.operators.match import match_packets
 from packetloom.operators.ordered import first_rows
 from packetloom.operators.rollup import severity_rollup, traffic_rate
+from packetloom.sources import alert_store
+from packetloom.sources.packets import ipv4_only, with_text_payload
 from packetloom.streaming.carry import start_carried, start_updates
 
 DELAY = "10 minutes"
+LATE_SECONDS = 600
 
 
 def matched_stream(packets: DataFrame, rules: DataFrame) -> DataFrame:
@@ -63,10 +73,14 @@ def start_escalation(
     hits: int = HITS,
     hold_seconds: float | None = None,
     trigger: dict | None = None,
+    then: Callable[[DataFrame], DataFrame] | None = None,
+    also: Callable[[DataFrame, int], None] | None = None,
 ) -> StreamingQuery:
     """Escalation over a stream; the carry is the last ``hits - 1`` rows per key.
 
-    Rows are ordered inside a micro-batch and after the carried rows. Where rows
+    Carried rows go once they are older than the window and ``LATE_SECONDS`` before the
+    newest row. ``then`` is applied to the marked rows of a batch before they are written,
+    ``also`` as in ``start_carried``. Rows are ordered inside a micro-batch and after the carried rows. Where rows
     may arrive out of order across batches, ``hold_seconds`` keeps rows back
     until none that is at most this late can come before them; later rows are
     left out, and counted in the ``clock`` table.
@@ -88,7 +102,10 @@ def start_escalation(
         )
         newest = [F.desc("ts"), *[F.desc(t) for t in tie]]
         last = first_rows(both.select(key, "ts", *tie), [key], newest, max(hits - 1, 1), "_n")
-        return marked.filter("_own").drop("_own"), last.drop("_n")
+        us = F.unix_micros("ts")
+        oldest = both.agg(F.max(us)).scalar() - F.lit(int((window_seconds + LATE_SECONDS) * 1_000_000))
+        rows = marked.filter("_own").drop("_own")
+        return then(rows) if then else rows, last.drop("_n").filter(us >= oldest)
 
     def step(batch: DataFrame, states: dict[str, DataFrame]):
         if hold_seconds is None:
@@ -116,7 +133,52 @@ def start_escalation(
             "clock": tick,
         }
 
-    return start_carried(alerts, step, work=work, out=out, schemas=schemas, trigger=trigger)
+    return start_carried(
+        alerts, step, work=work, out=out, schemas=schemas, trigger=trigger, also=also
+    )
+
+
+def start_detection(
+    packets: DataFrame,
+    rules: DataFrame,
+    intel: DataFrame,
+    *,
+    work: str,
+    out: str,
+    log: str | None = None,
+    window_seconds: float = WINDOW_SECONDS,
+    hits: int = HITS,
+    hold_seconds: float | None = None,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """The detection plan on a stream: gate, decode, match, escalate, score, store, log.
+
+    Each micro-batch appends its correlated alerts, as ``plans.detection.detect`` gives them,
+    to the table ``out``, and their log lines to the text folder ``log``.
+    """
+    gated = ipv4_only(with_text_payload(packets))
+
+    def score(rows: DataFrame) -> DataFrame:
+        scored = score_indicators(rows, intel)
+        return apply_escalation(scored.withColumn("threat_score", F.col("intel_score")))
+
+    def write_log(rows: DataFrame, batch_id: int) -> None:
+        records = alert_store.alert_records(rows)
+        fields = [f for f, *_ in alert_store.TABLE_COLUMNS]
+        lines = alert_store.log_lines(records, fields, "ts").select("value")
+        lines.write.mode("overwrite").text(f"{log}/batch_id={batch_id}")
+
+    return start_escalation(
+        matched_stream(gated, rules),
+        work=work,
+        out=out,
+        window_seconds=window_seconds,
+        hits=hits,
+        hold_seconds=hold_seconds,
+        trigger=trigger,
+        then=score,
+        also=write_log if log else None,
+    )
 
 
 def start_unusual_ports(
