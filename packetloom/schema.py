@@ -17,6 +17,10 @@ PACKETS = T.StructType(
         T.StructField("payload", T.StringType()),
     ]
 )
+# As files hold them: the payload is bytes.
+PACKET_FILES = T.StructType(
+    [T.StructField(f.name, T.BinaryType() if f.name == "payload" else f.dataType) for f in PACKETS]
+)
 
 # The JSON record of one alert, as it is logged and kept in ``raw_data``.
 ALERT_JSON = T.StructType(

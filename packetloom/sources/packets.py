@@ -10,15 +10,16 @@ from packetloom.functions.net import decode_payload, is_ipv4
 
 
 def read_packets(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    return spark.read.schema(schema.PACKETS).format(fmt).load(path)
+    """Packet files; payload bytes are decoded to text."""
+    return with_text_payload(spark.read.schema(schema.PACKET_FILES).format(fmt).load(path))
 
 
 def stream_packets(
     spark: SparkSession, path: str, fmt: str = "parquet", **options: str
 ) -> DataFrame:
     """Packet records as they arrive in a folder (file formats with this schema)."""
-    reader = spark.readStream.schema(schema.PACKETS).format(fmt)
-    return reader.options(**options).load(path)
+    reader = spark.readStream.schema(schema.PACKET_FILES).format(fmt)
+    return with_text_payload(reader.options(**options).load(path))
 
 
 def packets_from_json(values: DataFrame, column: str = "value") -> DataFrame:

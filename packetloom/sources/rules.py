@@ -20,11 +20,11 @@ DEFAULT_SID = "0"
 DEFAULT_CLASS = "unknown"
 
 
-def rule_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Trimmed lines of every ``*.rules`` file directly in a folder, without
+def rule_lines(spark: SparkSession, folder: str, pattern: str = "*.rules") -> DataFrame:
+    """Trimmed lines of every file of a pattern directly in a folder, without
     blanks and comments; a missing folder gives no rows."""
     try:
-        raw = spark.read.option("pathGlobFilter", "*.rules").text(folder)
+        raw = spark.read.option("pathGlobFilter", pattern).text(folder)
     except AnalysisException as err:
         if "PATH_NOT_FOUND" not in str(err):
             raise
@@ -156,8 +156,8 @@ def rule_table(rules: DataFrame, file: str = "rule_file", line: str = "line") ->
     )
 
 
-def load_rules(spark: SparkSession, folder: str) -> DataFrame:
-    return rule_table(parse_rules(rule_lines(spark, folder)))
+def load_rules(spark: SparkSession, folder: str, pattern: str = "*.rules") -> DataFrame:
+    return rule_table(parse_rules(rule_lines(spark, folder, pattern)))
 
 
 def rules_per_file(rules: DataFrame, file: str = "rule_file") -> DataFrame:

@@ -12,9 +12,9 @@ _STRING = r'(?m)^\s*\$\w*\s*=\s*"((?:[^"\\]|\\.)*)"'
 _META = r'(?m)^\s*(\w+)\s*=\s*("(?:[^"\\]|\\.)*"|\S+)\s*$'
 
 
-def signature_files(spark: SparkSession, folder: str) -> DataFrame:
+def signature_files(spark: SparkSession, folder: str, pattern: str = "*.yar") -> DataFrame:
     return (
-        spark.read.option("pathGlobFilter", "*.yar")
+        spark.read.option("pathGlobFilter", pattern)
         .text(folder, wholetext=True)
         .select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
     )
