@@ -38,17 +38,20 @@ named as (
   from counts),
 whole as (select (coalesce(sum(bad), 0) + 0.5) / (coalesce(sum(n), 0) + 1) as mu from named),
 s0 as (select suffix, sum(n) as n, sum(bad) as bad, any_value(mu) as mu from named, whole group by suffix),
-sw as (select coalesce(least(greatest(1 / greatest((sum(pow(bad - n * mu, 2)) - sum(n * mu * (1 - mu)))
-  / nullif(sum(n * mu * (1 - mu) * (n - 1)), 0), 1e-9) - 1, 1.0), 1e4), 1e4) as w from s0),
+sw as (select case when sum(n * mu * (1 - mu) * (n - 1)) > 0 then
+  least(greatest(1 / greatest((sum(pow(bad - n * mu, 2)) - sum(n * mu * (1 - mu)))
+  / sum(n * mu * (1 - mu) * (n - 1)), 1e-9) - 1, 1.0), 1e4) else 1.0 end as w from s0),
 s1 as (select suffix, (bad + w * mu) / (n + w) as mean from s0, sw),
 d0 as (select domain, suffix, sum(n) as n, sum(bad) as bad, any_value(mean) as mu
   from named join s1 using (suffix) group by domain, suffix),
-dw as (select coalesce(least(greatest(1 / greatest((sum(pow(bad - n * mu, 2)) - sum(n * mu * (1 - mu)))
-  / nullif(sum(n * mu * (1 - mu) * (n - 1)), 0), 1e-9) - 1, 1.0), 1e4), 1e4) as w from d0),
+dw as (select case when sum(n * mu * (1 - mu) * (n - 1)) > 0 then
+  least(greatest(1 / greatest((sum(pow(bad - n * mu, 2)) - sum(n * mu * (1 - mu)))
+  / sum(n * mu * (1 - mu) * (n - 1)), 1e-9) - 1, 1.0), 1e4) else 1.0 end as w from d0),
 d1 as (select domain, suffix, (bad + w * mu) / (n + w) as mean from d0, dw),
 h0 as (select host, n, bad, mean as mu from named join d1 using (domain, suffix)),
-hw as (select coalesce(least(greatest(1 / greatest((sum(pow(bad - n * mu, 2)) - sum(n * mu * (1 - mu)))
-  / nullif(sum(n * mu * (1 - mu) * (n - 1)), 0), 1e-9) - 1, 1.0), 1e4), 1e4) as w from h0),
+hw as (select case when sum(n * mu * (1 - mu) * (n - 1)) > 0 then
+  least(greatest(1 / greatest((sum(pow(bad - n * mu, 2)) - sum(n * mu * (1 - mu)))
+  / sum(n * mu * (1 - mu) * (n - 1)), 1e-9) - 1, 1.0), 1e4) else 1.0 end as w from h0),
 h1 as (select host, (bad + w * mu) / (n + w) as mean, n + w as total from h0, hw),
 h2 as (select host, greatest(0.0, mean - 1.28 * sqrt(mean * (1 - mean) / (total + 1))) as bound from h1),
 rules(rhost, rpath, action) as (values ('com', '/', 'allow'), ('example.com', '/en/', 'block'),

@@ -75,16 +75,13 @@ def _strength(groups: DataFrame) -> DataFrame:
     """Weight of the prior (a + b) from the groups' spread about their parents' rate ``mu``.
 
     Moments of the beta-binomial: E (y - n mu)^2 = n mu (1 - mu) (1 + (n - 1) rho); the
-    weight is 1 / rho - 1, held between 1 and 10,000. One row.
+    weight is 1 / rho - 1, held between 1 and 10,000; 1 where no group has two labels. One row.
     """
     flat = F.col("n") * F.col("mu") * (1 - F.col("mu"))
-    rho = (F.sum(F.pow(F.col("bad") - F.col("n") * F.col("mu"), 2)) - F.sum(flat)) / F.nullif(
-        F.sum(flat * (F.col("n") - 1)), F.lit(0.0)
-    )
-    weight = 1 / F.greatest(rho, F.lit(1e-9)) - 1
-    return groups.agg(
-        F.coalesce(F.least(F.greatest(weight, F.lit(1.0)), F.lit(1e4)), F.lit(1e4)).alias("weight")
-    )
+    twice = F.sum(flat * (F.col("n") - 1))
+    rho = (F.sum(F.pow(F.col("bad") - F.col("n") * F.col("mu"), 2)) - F.sum(flat)) / twice
+    weight = F.least(F.greatest(1 / F.greatest(rho, F.lit(1e-9)) - 1, F.lit(1.0)), F.lit(1e4))
+    return groups.agg(F.when(twice > 0, weight).otherwise(F.lit(1.0)).alias("weight"))
 
 
 def _shrunk(groups: DataFrame) -> DataFrame:
@@ -102,7 +99,8 @@ def reputation(counts: DataFrame) -> DataFrame:
     """host, pages, n, bad, mean, deviation: the posterior bad rate of every host.
 
     ``counts`` as from :func:`host_counts`; it is read several times, so give a written
-    table. An empty table gives no rows; without any label every rate is one half.
+    table. An empty table gives no rows; without any label every rate is one half, with a bound
+    near zero.
     """
     sums = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
     suffixes = counts.groupBy("suffix").agg(*sums)
