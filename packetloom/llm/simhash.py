@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -148,17 +149,29 @@ def _merged(counts: np.ndarray, group: list[int], dropped: tuple[int, ...]) -> n
     return counts.sum(axis=tuple(_axis(group, b) for b in dropped)) if dropped else counts
 
 
+def _pairs_by_masked_bits(counts: np.ndarray, most: int) -> list[float]:
+    """For 0 to ``most`` masked bits, how many pairs meet under all masks of so many bits."""
+    out = [0.0] * (most + 1)
+
+    def walk(have: np.ndarray, axis: int, bits: int, masked: int) -> None:
+        out[masked] += float((have * (have - 1)).sum()) / 2
+        if masked < most:
+            for k in range(axis, bits):
+                halves = have.reshape(1 << k, 2, -1)
+                walk((halves[:, 0] + halves[:, 1]).reshape(-1), k, bits - 1, masked + 1)
+
+    walk(counts.reshape(-1).astype(float), 0, counts.ndim, 0)
+    return out
+
+
 def thresholds(groups: list[list[int]], counts: list[np.ndarray], max_bits: int) -> list[int]:
     """Unequal thresholds, sum(t + 1) = max_bits + 1, with the least estimated cost."""
     n = int(counts[0].sum())
     cost = []
     for group, have in zip(groups, counts):
-        row = [0.0]
-        for t in range(min(max_bits, len(group)) + 1):
-            masks = list(combinations(group, t))
-            pairs = sum(float((c := _merged(have, group, m).astype(float)).ravel() @ (c - 1).ravel()) / 2 for m in masks)
-            row.append(pairs + ROW_COST * n * len(masks))
-        cost.append(row)
+        pairs = _pairs_by_masked_bits(have, min(max_bits, len(group)))
+        rows = [ROW_COST * n * comb(len(group), t) for t in range(len(pairs))]
+        cost.append([0.0, *(x + y for x, y in zip(pairs, rows))])
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for row in cost:
         new: dict[int, tuple[float, list[int]]] = {}
