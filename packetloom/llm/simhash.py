@@ -341,7 +341,11 @@ def one_of_each(
     A row without doc_id stays only where no row of the component has one; of rows with equal
     doc_id the least text digest stays, and one of repeated rows.
     """
-    found = _members(docs, doc_id, text, shingle, max_bits, parts)
+    return one_by_component(docs, _members(docs, doc_id, text, shingle, max_bits, parts), doc_id, text)
+
+
+def one_by_component(docs: DataFrame, found: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``docs`` with one row of each ``root`` of ``found`` (id, digest, root)."""
     no_id, key = F.col("id").isNull(), F.coalesce(F.col("id").cast("string"), F.lit(""))
     best = found.groupBy("root").agg(F.min(F.struct(no_id.alias("_k1"), "id", "digest")).alias("b"))
     best = best.select("b.*").select("_k1", key.alias("_k2"), F.col("digest").alias("_k3"))
