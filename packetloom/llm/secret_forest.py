@@ -1,36 +1,63 @@
 """Secret scan with a random forest that removes false positives; native expressions only.
 
 A candidate is a run of 16 or more letters, digits and ``+ / _ = -`` that no such character
-precedes. Cutting a text at its candidates gives what stands before and after each of them.
+precedes, or the value after a ``name=`` inside such a run. It goes on past a dot into another
+such run with digits and capitals. Web tokens, blocks of private keys and shorter values assigned to
+the name of a secret are candidates too. Cutting a text at its candidates gives what stands before and after each of them.
 Features: length, character classes and changes between them, transitions that ordinary
 words have, how much of it dictionary words cover, whether it is part of a path, and the
 neighbouring words. The words beside all candidates of the corpus give the dictionary and
-the transitions. Spark's random forest learns from labelled findings.
+the transitions. Spark's random forest learns from labelled findings; where none are given, from
+the corpus's own by their contexts and from examples of each kind of secret.
 """
 
 from __future__ import annotations
 
+import json
 import math
+import random
 
 from pyspark.ml import Model
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from packetloom.session import written
 
 _RUN = "A-Za-z0-9+/_=-"
-CANDIDATE = f"(?<![{_RUN}])[{_RUN}]{{16,}}+"
+_WEB_TOKEN = r"eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"
+_KEY_NAME = r"-----(?:BEGIN|END) [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----"
+_LINE_END = r"(?:\s|\\[nr])"
+_KEY_BLOCK = (
+    rf"-----BEGIN [A-Z0-9 ]{{0,30}}PRIVATE KEY(?: BLOCK)?-----(?:{_LINE_END}{{1,4}}[A-Za-z-]{{1,40}}: [^\r\n\\]{{1,200}}){{0,5}}"
+    rf"(?:{_LINE_END}{{0,8}}[A-Za-z0-9+/=]{{16,}}+){{0,400}}(?:{_LINE_END}{{0,8}}[A-Za-z0-9+/=]{{0,15}}{_LINE_END}{{0,8}}{_KEY_NAME})?"
+)
+_START = rf"(?:(?<![{_RUN}])|(?<=[A-Za-z0-9_-]=))(?!-{{0,2}}[A-Za-z_][A-Za-z0-9_-]{{0,60}}=[A-Za-z0-9+/_-])"
+_PLAIN = rf"{_START}[{_RUN}]{{16,}}+(?:\.(?=[{_RUN}]*[0-9])(?=[{_RUN}]*[A-Z])[{_RUN}]{{16,}}+){{0,8}}"
+# a shorter value, or one with other signs, that is assigned to the name of a secret
+_ASSIGNED = (
+    r"(?<=[=:>\s\"'`])(?<=(?i:token|secret|passw|pwd|api[_ -]?key|access[_ -]?key|private[_ -]?key|credential)\w{0,12}[\"']?\s{0,3}(?:=|:|=>)\s{0,3}[\"'`]?)"
+    r"(?=[^\s\"'`,;]*[0-9])[^\s\"'`,;<>(){}\[\]=:]{6,}+"
+)
+CANDIDATE = f"{_KEY_BLOCK}|(?<![.{_RUN}]){_WEB_TOKEN}|(?<=[A-Za-z0-9_-]=){_WEB_TOKEN}|{_PLAIN}|{_ASSIGNED}"
 MARK = "[SECRET]"
 # Words beside a secret, and beside other long values.
 SECRET_WORDS = "token|secret|passw|pwd|api[_ -]?key|access[_ -]?key|private[_ -]?key|auth|bearer|credential"
+# Values that are secrets wherever they stand.
+FORMATS = (
+    r"^(?:A[KS]IA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|github_pat_\w{30,}|glpat-[\w-]{20,}|[rs]k_(?:live|test)_[A-Za-z0-9]{16,}"
+    r"|xox[abprs]-[A-Za-z0-9-]{16,}|AIza[\w-]{35}|npm_[A-Za-z0-9]{36}|SG\.[\w-]{16,}\.[\w-]{16,}|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,}"
+    r"|-----BEGIN [A-Z0-9 ]{0,30}PRIVATE KEY[\s\S]*)$"
+)
 OTHER_WORDS = "commit|sha1|sha256|md5|checksum|digest|hash|uuid|guid|revision|license|version|isbn|page"
 FEATURES = [
     "size", "digits", "upper", "lower", "signs", "hex", "variety", "changes", "ordinary", "covered", "path", "in_path",
     "near_secret", "near_other", "assigned", "quoted",
+    "format", "header",
 ]
+HEADER = r"(?:\bbearer|authorization[\"']?\s*[:=]\s*[\"']?(?:basic|token))\s+$"
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -117,26 +144,69 @@ def with_features(rows: DataFrame, known: tuple[str, list[float]]) -> DataFrame:
         "near_other": F.regexp_like(close, F.lit(OTHER_WORDS)),
         "assigned": F.regexp_like(close, F.lit(r"[=:]\s*[\"'`]?$")),
         "quoted": F.regexp_like(close, F.lit(r"[\"'`]$")) & F.regexp_like("after", F.lit(r"^[\"'`]")),
+        "format": F.regexp_like(v, F.lit(FORMATS)),
+        "header": F.regexp_like(close, F.lit(HEADER)),
     }
     return rows.withColumns({k: values[k].cast("double") for k in FEATURES})
 
 
 def reviewed(rows: DataFrame) -> Column:
     """The label of a finding where no reviewer gave one: 1 for a value with digits that is
-    assigned to a name of a secret, else 0."""
-    assigned = F.lit(rf"(?:{SECRET_WORDS})\w*[\"']?\s*(?:=|:|=>)\s*[\"'`]?$")
-    return (F.regexp_like(F.lower(rows["before"]), assigned) & F.regexp_like(rows["value"], F.lit("[0-9]"))).cast("double")
+    assigned to a name of a secret or stands in an authorization header, and for a value in the format of a key; else 0."""
+    assigned = F.lit(rf"(?:(?:{SECRET_WORDS})\w*[\"']?\s*(?:=|:|=>)\s*[\"'`]?$)|(?:{HEADER})")
+    named = F.regexp_like(F.lower(rows["before"]), assigned) & F.regexp_like(rows["value"], F.lit("[0-9]"))
+    return (named | F.regexp_like(rows["value"], F.lit(FORMATS))).cast("double")
 
 
-def fit(findings: DataFrame, *, per_label: int = 10_000, trees: int = 30, depth: int = 8) -> Model | None:
+def example_texts(seed: int = 8, each: int = 40) -> list[tuple[str, str, float]]:
+    """kind, text and label: ``each`` texts of every kind of secret and of harmless values."""
+    rng = random.Random(seed)
+    lower, upper, digits = LETTERS, LETTERS.upper(), "0123456789"
+    base64 = lower + upper + digits + "+/"
+    any_of = lambda k, letters: "".join(rng.choices(letters, k=k - 1)) + rng.choice(digits)
+    hexes = lambda k: any_of(k, digits + "abcdef")
+    plain = lambda k: any_of(k, lower + upper + digits)
+    fill = "the and that for with this from value line of see which use set in old new call".split()
+    prose = lambda: " ".join(rng.choices(fill, k=rng.randint(1, 8)))
+    word = lambda: rng.choice("src main utils config handler index module server render parser".split())
+    key_lines = lambda: "\n".join(any_of(64, base64) for _ in range(rng.randint(3, 25)))
+    kinds = {
+        "env": (1.0, lambda: rng.choice(["API_KEY", "AWS_SECRET_ACCESS_KEY", "DB_PASSWORD", "GITHUB_TOKEN", "app_secret", "auth_token"]) + "=" + rng.choice([hexes(32), hexes(40), any_of(40, base64), plain(24)])),
+        "bearer": (1.0, lambda: "Authorization: Bearer " + rng.choice([plain(32), hexes(40), any_of(44, base64)])),
+        "format": (1.0, lambda: rng.choice(["AKIA" + any_of(16, upper + digits), "ghp_" + plain(36), "sk_live_" + plain(24), "AIza" + plain(35), "xoxb-" + any_of(12, digits) + "-" + plain(24), "glpat-" + plain(20)])),
+        "web": (1.0, lambda: f"eyJ{plain(17)}.eyJ{plain(rng.randint(20, 90))}.{plain(43)}"),
+        "pem": (1.0, lambda: (lambda n: f"-----BEGIN {n}PRIVATE KEY-----\n{key_lines()}\n-----END {n}PRIVATE KEY-----")(rng.choice(["", "RSA ", "EC ", "OPENSSH "]))),
+        "short": (1.0, lambda: rng.choice(["password", "DB_PASSWORD", "passwd", "api_key", "secret"]) + rng.choice(["=", ": ", " = "]) + any_of(rng.randint(8, 15), lower + upper + digits)),
+        "quoted": (1.0, lambda: f'{rng.choice(["token", "api_key", "secret", "password"])} = "{rng.choice([hexes(40), plain(32), hexes(32)])}"'),
+        "named": (0.0, lambda: rng.choice(["commit", "sha256", "checksum", "revision", "build_hash", "md5"]) + rng.choice(["=", ": ", " "]) + rng.choice([hexes(40), hexes(64), hexes(32)])),
+        "path": (0.0, lambda: rng.choice(["path=", "", "file: "]) + "/" + "/".join(word() for _ in range(rng.randint(4, 7)))),
+        "identifier": (0.0, lambda: rng.choice(["name=", "", "class "]) + "_".join(word() for _ in range(rng.randint(3, 5)))),
+        "uuid": (0.0, lambda: rng.choice(["id=", "uuid: ", ""]) + "-".join(hexes(k) for k in (8, 4, 4, 4, 12))),
+        "number": (0.0, lambda: rng.choice(["isbn ", "page=", ""]) + any_of(rng.randint(16, 20), digits)),
+        "certificate": (0.0, lambda: f"-----BEGIN CERTIFICATE-----\n{any_of(64, base64)}\n-----END CERTIFICATE-----"),
+    }
+    return [(kind, f"{prose()} {make()} {prose()}", label) for kind, (label, make) in kinds.items() for _ in range(each)]
+
+
+def examples(spark: SparkSession) -> DataFrame:
+    """Labelled findings of :func:`example_texts`: value, before, after, label."""
+    rows = F.from_json(F.lit(json.dumps([{"doc_id": y, "text": t} for _, t, y in example_texts()])), F.lit("array<struct<doc_id:double,text:string>>"))
+    return candidates(spark.range(1).select(F.inline(rows))).select("value", "before", "after", F.col("doc_id").alias("label"))
+
+
+def fit(findings: DataFrame, *, always: DataFrame | None = None, per_label: int = 10_000, trees: int = 30, depth: int = 8) -> Model | None:
     """A forest from findings with ``FEATURES`` and ``label`` (0, 1; null: not used).
 
-    Of each label at most ``per_label`` findings are used, those that come first by hash.
+    Of each label at most ``per_label`` findings are used, those that come first by hash, and
+    all of ``always``.
     None if there are not findings of both labels.
     """
     order = Window.partitionBy("label").orderBy(F.xxhash64("value", "before"), "value", "before")
     used = findings.where("label is not null").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= per_label)
-    used = written(used.select(*FEATURES, "label"), "labelled")
+    used = used.select(*FEATURES, "label")
+    if always is not None:
+        used = used.unionByName(always.select(*FEATURES, "label"))
+    used = written(used, "labelled")
     if used.select("label").distinct().count() < 2:
         return None
     data = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(used)
@@ -168,17 +238,19 @@ def secrets(
     """Findings that the forest keeps: doc_id, digest, nth, start, end, value, before, after, probability.
 
     ``findings`` are labelled ones (``value``, ``before``, ``after``, ``label``); without them
-    the corpus's own candidates are labelled by :func:`reviewed`. Every candidate of every
+    the corpus's own candidates are labelled by :func:`reviewed` and :func:`examples` are added. Every candidate of every
     whole text is judged. Repeated rows have their findings each; a null doc_id stays null;
     an empty table has no findings.
     """
     rows = written(candidates(docs, doc_id, text), "candidates")
     known = surroundings(rows)
+    always = None
     if findings is None:
+        always = with_features(examples(docs.sparkSession), known)
         labelled = rows.withColumn("label", reviewed(rows))
     else:
         labelled = findings.select("value", "before", "after", F.col("label").cast("double").alias("label"))
-    model = fit(with_features(labelled, known), per_label=per_label)
+    model = fit(with_features(labelled, known), always=always, per_label=per_label)
     found = judged(with_features(rows, known), model)
     return found.where(F.col("probability") >= least).drop(*FEATURES)
 
