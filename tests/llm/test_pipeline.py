@@ -43,3 +43,9 @@ def test_run_on_odd_rows(spark, tmp_path):
         spark.createDataFrame([(None, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
         got = corpus_pipeline.run(spark, folder).collect()
         assert sorted(r.doc_id for r in got) == ([3, 5] if data else [])
+
+
+def test_no_language_to_learn(spark):
+    rows = [(1, "the word and that", None, "a", 3), (2, "12 34", None, "a", 3), (3, None, None, "a", 3), (4, "слово", None, "a", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.known_language(spark, docs, "").collect()) == [1, 4]
