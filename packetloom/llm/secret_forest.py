@@ -24,6 +24,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from packetloom.llm.tables import set_apart
 from packetloom.session import written
 
 _RUN = "A-Za-z0-9+/_=-"
@@ -258,6 +259,7 @@ def secrets(
 def redact(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", mark: str = MARK, **how) -> DataFrame:
     """``docs`` with every kept finding replaced by ``mark``; no row is dropped."""
     hits = secrets(docs, doc_id=doc_id, text=text, **how)
+    docs, back = set_apart(docs, doc_id, text)
     own = F.col(f"`{doc_id}`")
     keys = {"_k1": own.isNull(), "_k2": F.coalesce(own.cast("string"), F.lit("")), "_k3": F.md5(F.col(f"`{text}`"))}
     hits = hits.groupBy(
@@ -269,4 +271,4 @@ def redact(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", mark:
     joined = F.array_join(F.flatten(F.zip_with(parts, kept, lambda p, v: F.array(p, F.coalesce(v, F.lit(""))))), "")
     new = F.when(F.col("_hits").isNull(), t).otherwise(joined)
     out = docs.withColumns(keys).join(hits, ["_k1", "_k2", "_k3"], "left")
-    return out.select(*[(new.alias(c) if c == text else F.col(f"`{c}`")) for c in docs.columns])
+    return back(out.withColumn(text, new))

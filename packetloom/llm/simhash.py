@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from packetloom.llm.components import components
+from packetloom.llm.tables import set_apart
 from packetloom.llm.words import SPACED, slices, text_column, translated
 from packetloom.session import written
 
@@ -349,6 +350,7 @@ def one_by_component(docs: DataFrame, found: DataFrame, doc_id: str, text: str)
     no_id, key = F.col("id").isNull(), F.coalesce(F.col("id").cast("string"), F.lit(""))
     best = found.groupBy("root").agg(F.min(F.struct(no_id.alias("_k1"), "id", "digest")).alias("b"))
     best = best.select("b.*").select("_k1", key.alias("_k2"), F.col("digest").alias("_k3"))
+    docs, back = set_apart(docs, doc_id, text)
     own, keys = F.col(f"`{doc_id}`"), ["_k1", "_k2", "_k3"]
     rows = docs.withColumns(
         {
@@ -357,4 +359,4 @@ def one_by_component(docs: DataFrame, found: DataFrame, doc_id: str, text: str)
             "_k3": F.md5(F.coalesce(F.col(f"`{text}`"), F.lit(""))),
         }
     )
-    return rows.join(best, keys, "left_semi").dropDuplicates(keys).drop(*keys)
+    return back(rows.join(best, keys, "left_semi").dropDuplicates(keys))

@@ -1,9 +1,22 @@
-"""The given tables, with the columns their files have."""
+"""The given tables, with the columns their files have, and columns put out of the way."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def set_apart(df: DataFrame, *kept: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``df`` with all columns but ``kept`` under names of their own, and the way back.
+
+    Whatever an operator adds in between then replaces no column of the input.
+    """
+    names = [c if c in kept else f"__own_{i}" for i, c in enumerate(df.columns)]
+    old = df.columns
+    return df.toDF(*names), lambda out: out.select(*[F.col(f"`{n}`").alias(c) for n, c in zip(names, old)])
