@@ -9,12 +9,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm import decontaminate, langid_crf, near_copies, piece_offsets, secret_forest
-from packetloom.llm.tables import table
+from packetloom.llm import decontaminate, langid_crf, piece_offsets, secret_forest, simhash
+from packetloom.llm.tables import set_apart, table
 from packetloom.session import written
 
-#: Documents are copies from this Jaccard similarity of their five-word shingles.
-COPY_SIMILARITY = 0.8
+#: Near copies: words of a shingle and most differing bits of two fingerprints.
+COPY_SHINGLE, COPY_BITS = 4, 4
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,24 +23,25 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Code-switched texts stay, however evenly their languages are mixed. A missing ``lang`` is
     filled with the prediction.
     """
-    names = docs.columns
+    docs, back = set_apart(docs, "doc_id", "text", "lang")
     model = langid_crf.fit(docs)
     if not model.languages:  # nothing to learn from: only the letter test is left
-        return docs.where(F.regexp_like("text", F.lit(r"\p{L}")))
+        return back(docs.where(F.regexp_like("text", F.lit(r"\p{L}"))))
     found = langid_crf.identify(docs, model, spans=False)
     kept = found.where(F.col("lang_pred") != langid_crf.UNKNOWN)
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*names)
+    return back(kept.withColumn("lang", F.coalesce("lang", "lang_pred")))
 
 
 def one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that with the least doc_id."""
-    return near_copies.one_of_copies(docs, shingle=5, least=COPY_SIMILARITY)
+    return simhash.one_of_each(docs, shingle=COPY_SHINGLE, max_bits=COPY_BITS)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any ten-word window of the benchmark."""
+    docs, back = set_apart(docs, "text")
     found = decontaminate.find_benchmark(docs, table(spark, sf_dir, "benchmark"), window=10)
-    return found.where("n_hit = 0").select(*docs.columns)
+    return back(found.where("n_hit = 0"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
