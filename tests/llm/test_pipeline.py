@@ -49,3 +49,21 @@ def test_no_language_to_learn(spark):
     rows = [(1, "the word and that", None, "a", 3), (2, "12 34", None, "a", 3), (3, None, None, "a", 3), (4, "слово", None, "a", 3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.doc_id for r in corpus_pipeline.known_language(spark, docs, "").collect()) == [1, 4]
+
+
+def test_added_names_in_the_input_stay(spark, tmp_path):
+    folder = str(tmp_path / "a")
+    names = ["score", "lang_pred", "spans", "items", "longest", "n_hit", "n_words", "hit_starts", "_found", "_k1", "_k2", "_k3", "_hits", "fp", "root", "component_id", "probability", "digest"]
+    rows = [(i, f"the word and that number {i} of which we speak here at some length {'x' * i}", "en", "a", 4, *[f"{n}{i}" for n in names]) for i in range(4)]
+    rows[1] = (1, 'so the token = "0123456789abcdef0123456789abcdef01234567" leaks', *rows[1][2:])
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
+    docs = spark.createDataFrame(rows, schema)
+    columns = docs.columns
+    spark.createDataFrame([(1, "no such words")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, folder)
+        assert docs.columns == columns
+    got = {r.doc_id: r for r in docs.collect()}
+    assert len(got) >= 2
+    for i, r in got.items():
+        assert [r[n] for n in names] == [f"{n}{i}" for n in names]
