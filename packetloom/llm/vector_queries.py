@@ -14,9 +14,9 @@ def op5_vamana(spark, folder):
 
 EXACT_SQL = """
 with v as (
-  select distinct vec_id, list_transform(embedding, x -> floor(64 * x::double)) as e from embeddings
+  select distinct vec_id, [floor(64 * x::double) for x in embedding] as e from embeddings
   where vec_id is not null and embedding is not null
-    and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+    and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
 pairs as (
   select q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint as score
   from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0),
