@@ -7,6 +7,7 @@ from packetloom.llm import (
     language_queries,  # noqa: F401
     model_queries,  # noqa: F401
     quality_queries,  # noqa: F401
+    search_queries,  # noqa: F401
     secret_queries,  # noqa: F401
     simhash_queries,  # noqa: F401
     token_queries,  # noqa: F401
