@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from packetloom.llm import (
+    align_queries,  # noqa: F401
     benchmark_queries,  # noqa: F401
     language_queries,  # noqa: F401
     model_queries,  # noqa: F401
