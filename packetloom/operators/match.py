@@ -60,11 +60,13 @@ def match_packets(
     *,
     residual: Sequence[Column] = (),
     spread: int = 1,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """One alert per packet and matching rule.
 
     ``rules`` has the columns of ``sources.rules.rule_table``. Alerts are narrow:
-    packet head, rule key, sid, msg and class; the payload is left behind. Packets
+    packet head, rule key, sid, msg, class and the packet columns to ``keep``, such as
+    its flow; the payload is left behind. Packets
     without a payload column match no rule with content. Extra ``residual`` conditions
     may use any column of both sides. ``spread`` is for catalogs too large to broadcast.
     """
@@ -93,6 +95,7 @@ def match_packets(
         "sid",
         "msg",
         "rule_class",
+        *keep,
     )
 
 

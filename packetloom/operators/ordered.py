@@ -63,25 +63,49 @@ def cut_pieces(
     divided again. With ``staged`` off nothing is written and pieces are divided once:
     for micro-batches, which come by the thousand.
     """
-    placed = (
+    placed = _placed(df, keys, slot)
+    if not staged:
+        full = _full_pieces(placed, position, tie, piece_rows)
+        return _divide(placed, full, position, tie, piece_rows)
+    return _divided(placed, position, tie, piece_rows)[0]
+
+
+def key_pieces(
+    df: DataFrame, keys: Sequence[str], position: str, tie: str, *, piece_rows: int = PIECE_ROWS
+) -> tuple[DataFrame, DataFrame | None]:
+    """Pieces that are whole keys, but for over-full keys, and a small table of those (``_key``).
+
+    Without an over-full key the second is None, and nothing has to be carried between pieces.
+    """
+    placed, full = _divided(_placed(df, keys, F.lit(0).cast("bigint")), position, tie, piece_rows)
+    return placed, None if full is None else full.select(KEY)
+
+
+def _placed(df: DataFrame, keys: Sequence[str], slot: Column) -> DataFrame:
+    return (
         df.withColumn(KEY, F.struct(*keys))
         .withColumn(SLOT, slot)
         .withColumn(STEP, F.lit(0).cast("bigint"))
     )
-    if not staged:
-        full = _full_pieces(placed, position, tie, piece_rows)
-        return _divide(placed, full, position, tie, piece_rows)
+
+
+def _divided(
+    placed: DataFrame, position: str, tie: str, piece_rows: int
+) -> tuple[DataFrame, DataFrame | None]:
+    """The rows with over-full pieces divided, and which these were (None: none)."""
+    first = None
     for level in range(MAX_DIVISIONS):
         most = piece_rows * (1 if level == 0 else 2)
         full = written(_full_pieces(placed, position, tie, most), "full-pieces")
         if full.isEmpty():
             break
+        first = full if first is None else first
         placed = _divide(placed, full, position, tie, piece_rows)
     else:
         left = _full_pieces(placed, position, tie, piece_rows * 2).count()
         if left:
             warnings.warn(f"{left} pieces hold more than {piece_rows * 2} rows that position and tie do not tell apart")
-    return placed
+    return placed, first
 
 
 def _full_pieces(placed: DataFrame, position: str, tie: str, most: int) -> DataFrame:

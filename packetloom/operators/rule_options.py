@@ -1,26 +1,18 @@
-"""Rule options that decide after a match: flow, threshold, flowint, flowbits, noalert.
+"""Rule options that decide after a match: flow, threshold, noalert.
 
 Parsed rules keep their options, alerts keep the rule's key only; what an option asks for is
-joined back by that key. Occurrence numbers and counters are running values over pieces, so
-a hot source or flow is not one task.
+joined back by that key. Occurrence numbers are running values over pieces, so a hot source or
+flow is not one task. Variables of flows (``flowbits``, ``flowint``) are in ``flow_state``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packetloom.functions.timing import epoch_us
-from packetloom.operators.ordered import (
-    DAY,
-    PIECE_ROWS,
-    drop_pieces,
-    occurrence_number,
-    running_sum,
-    time_pieces,
-)
+from packetloom.operators.match import flow_key
+from packetloom.operators.ordered import DAY, PIECE_ROWS, occurrence_number
 
 
 def _words(text: Column) -> Column:
@@ -34,8 +26,7 @@ def _number(text: Column, name: str) -> Column:
 
 def with_behaviour(rules: DataFrame, options: str = "options") -> DataFrame:
     """Adds ``flow_side`` (to_server, to_client or null), ``flow_established`` (true, false or
-    null), ``limit_kind``, ``limit_track``, ``limit_count``, ``limit_seconds``, ``limit_factor``,
-    ``counter``, ``counter_op``, ``counter_n`` and ``once_bit`` (a flow bit that must not be set).
+    null), ``limit_kind``, ``limit_track``, ``limit_count``, ``limit_seconds`` and ``limit_factor``.
 
     Absent options give nulls. A limit without a count counts 1, without seconds 60, without a
     multiplier 1; it is tracked by source unless it says otherwise.
@@ -48,8 +39,6 @@ def with_behaviour(rules: DataFrame, options: str = "options") -> DataFrame:
         F.array_contains(flow, "not_established"), False
     )
     limit = F.col(options)["threshold"]
-    count = _words(F.col(options)["flowint"])
-    bits = _words(F.col(options)["flowbits"])
 
     def named(name: str) -> Column:
         return F.nullif(F.regexp_extract(limit, rf"\b{name}\s+(\w+)", 1), F.lit(""))
@@ -64,10 +53,6 @@ def with_behaviour(rules: DataFrame, options: str = "options") -> DataFrame:
             "limit_count": F.when(present, F.coalesce(_number(limit, "count"), F.lit(1))),
             "limit_seconds": F.when(present, F.coalesce(_number(limit, "seconds"), F.lit(60))),
             "limit_factor": F.when(present, F.coalesce(_number(limit, "multiplier"), F.lit(1))),
-            "counter": F.get(count, F.lit(0)),
-            "counter_op": F.get(count, F.lit(1)),
-            "counter_n": F.get(count, F.lit(2)).cast("bigint"),
-            "once_bit": F.when(F.get(bits, F.lit(0)) == "isnotset", F.get(bits, F.lit(1))),
         }
     )
 
@@ -96,10 +81,23 @@ TRACKED = {
     "by_dst": ("dst_ip",),
     "by_both": ("src_ip", "dst_ip"),
     "by_rule": (),
-    "by_flow": ("src_ip", "dst_ip", "sport", "dport"),
 }
 
 
+def _tracked(alerts: DataFrame) -> Column:
+    """What a rule's limit tracks, as text.
+
+    By flow that is the alert's ``flow`` (``flows.with_flow``). Alerts without that column are
+    told apart by both ends, whichever is the source, and their flows never end.
+    """
+    flow = F.to_json("flow") if "flow" in alerts.columns else F.to_json(F.struct(*flow_key()))
+    track = F.when(F.col("limit_track") == "by_flow", flow)
+    for name, columns in TRACKED.items():
+        key = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns])
+        track = track.when(F.col("limit_track") == name, key)
+    return track.otherwise("")
+
+
 def limited(
     alerts: DataFrame,
     rules: DataFrame,
@@ -120,11 +118,9 @@ def limited(
     us = epoch_us(F.col(ts))
     width = F.col("limit_seconds") * 1_000_000
     windowed = F.when(F.col("limit_kind") != "backoff", us - F.pmod(us, width)).otherwise(F.lit(0))
-    track = F.lit("")
-    for name, columns in TRACKED.items():
-        key = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns])
-        track = F.when(F.col("limit_track") == name, key).otherwise(track)
-    keyed = known.where("limit_kind is not null").withColumns({"_us": us, "_w": windowed, "_track": track})
+    keyed = known.where("limit_kind is not null").withColumns(
+        {"_us": us, "_w": windowed, "_track": _tracked(alerts)}
+    )
     numbered = occurrence_number(
         keyed, ["rule_key", "_track", "_w"], "_us", tie, slot_seconds=slot_seconds, piece_rows=piece_rows
     )
@@ -139,32 +135,3 @@ def limited(
     )
     passed = numbered.where(fires).select(*alerts.columns)
     return passed.unionByName(known.where("limit_kind is null").select(*alerts.columns))
-
-
-def counters_reached(
-    alerts: DataFrame,
-    rules: DataFrame,
-    flow: Sequence[str] = ("src_ip", "dst_ip", "sport", "dport"),
-    *,
-    ts: str = "ts",
-    tie: str = "packet_id",
-    slot_seconds: float = DAY,
-    piece_rows: int = PIECE_ROWS,
-) -> DataFrame:
-    """``flow``, counter, rule_key, sid and the alert with which a flow's counter reaches a limit.
-
-    Rules with ``flowint:name,+,n`` raise the counter, one with ``flowint:name,>=,n`` names its
-    limit. The crossing comes once per flow, as with a flow bit that the rule sets.
-    """
-    raised = with_rule(alerts, rules, "counter", "counter_op", "counter_n").where("counter_op = '+'")
-    timed = raised.withColumn("_us", epoch_us(F.col(ts)))
-    keys = [*flow, "counter"]
-    pieces = time_pieces(timed, keys, "_us", tie, slot_seconds=slot_seconds, piece_rows=piece_rows)
-    summed = drop_pieces(running_sum(pieces, ["_us", tie, "rule_key"], F.col("counter_n"), "_sum"))
-    limits = rules.where("counter_op = '>='").select(
-        F.col("counter").alias("_name"), F.col("counter_n").alias("_limit"), F.col("rule_key").alias("_key"), F.col("sid").alias("_sid")
-    )
-    crossed = (F.col("_sum") >= F.col("_limit")) & (F.col("_sum") - F.col("counter_n") < F.col("_limit"))
-    return summed.join(limits, (F.col("counter") == F.col("_name")) & crossed).select(
-        *flow, "counter", F.col("_key").alias("rule_key"), F.col("_sid").alias("sid"), tie
-    )

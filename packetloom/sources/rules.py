@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 HEAD = ("action", "proto", "src", "sport", "direction", "dst", "dport")
+# Options on a flow's variables. A rule may have several; all are kept, in order.
+STATE_OPTIONS = ("flowbits", "flowint")
 DEFAULT_MSG = "Suspicious traffic detected"
 DEFAULT_SID = "0"
 DEFAULT_CLASS = "unknown"
@@ -132,6 +134,7 @@ def parse_rules(lines: DataFrame, line: str = "line") -> DataFrame:
         "dsize_n",
         last_value(entries, "classtype").alias("classtype"),
         has_flag(text, "noalert").alias("noalert"),
+        F.filter(entries, lambda e: e["name"].isin(*STATE_OPTIONS)).alias("state_options"),
     )
 
 
@@ -153,6 +156,7 @@ def rule_table(rules: DataFrame, file: str = "rule_file", line: str = "line") ->
         *[f"rule_{h}" for h in ("src", "sport", "dst", "dport")],
         "noalert",
         "options",
+        "state_options",
     )
 
 

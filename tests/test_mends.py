@@ -85,17 +85,13 @@ def test_behaviour_columns(spark):
     assert rules["9300001"].flow_side is None and rules["9300001"].limit_kind is None
     r = rules["9300012"]
     assert (r.limit_kind, r.limit_track, r.limit_count, r.limit_seconds, r.limit_factor) == ("backoff", "by_dst", 1, 60, 10)
-    assert (rules["9300022"].counter, rules["9300022"].counter_op, rules["9300022"].counter_n) == ("tcp.big.count", "+", 2)
-    assert rules["9300024"].once_bit == "tcp.told" and rules["9300021"].noalert
+    assert [tuple(o) for o in rules["9300022"].state_options] == [("flowint", "tcp.big.count,+,2")]
+    assert [tuple(o) for o in rules["9300024"].state_options][::2] == [("flowbits", "isnotset,tcp.told"), ("flowbits", "set,tcp.told")]
+    assert rules["9300021"].noalert
 
 
-@pytest.mark.parametrize("name", ["rule_threshold", "rule_flowint"])
-def test_small_pieces_of_options(spark, data, name):
-    lines = option_queries.LIMIT_LINES if name == "rule_threshold" else option_queries.COUNT_LINES
-    rules = option_queries.option_rules(spark, lines)
+def test_small_pieces_of_options(spark, data):
+    rules = option_queries.option_rules(spark, option_queries.LIMIT_LINES)
     alerts = match.match_packets(packet_heads(spark, data), rules)
-    if name == "rule_threshold":
-        a, b = (rule_options.limited(alerts, rules, piece_rows=n).select("packet_id", "sid") for n in (30, 10**6))
-    else:
-        a, b = (rule_options.counters_reached(alerts, rules, ["src_ip"], piece_rows=n) for n in (30, 10**6))
+    a, b = (rule_options.limited(alerts, rules, piece_rows=n).select("packet_id", "sid") for n in (30, 10**6))
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
