@@ -19,6 +19,7 @@ from packetloom.operators.ordered import (
     time_pieces,
 )
 from packetloom.operators.rollup import window_start_us
+from packetloom.operators.string_index import occurring
 
 # Ports of services with a log-in, and the personal-data count
 # above which a record is reported.
@@ -131,27 +132,28 @@ def volume_outliers(
 
 
 def scan_signatures(
-    texts: DataFrame, signatures: DataFrame, *, key: str, text: str = "text", spread: int = 1
+    texts: DataFrame, signatures: DataFrame, *, key: str, text: str = "text"
 ) -> DataFrame:
-    """Texts that hold at least ``k`` of a signature's strings.
+    """Texts that hold at least ``k`` of a signature's strings, and how many they hold.
 
-    Each text meets each signature once and only hits leave the join, so texts are
-    not multiplied by strings. For signatures too many to broadcast, state a spread
-    number: it splits the texts evenly, at as many listings of a signature.
+    A text meets only strings whose rarest run of characters it has, whatever the number of
+    signatures. Equal rows of ``texts`` count once; null strings are in no text, and a
+    ``k`` below 1 counts as 1.
     """
-    spread_texts = texts.withColumn(
-        "_meet", F.pmod(F.xxhash64(key), F.lit(spread)).cast("int")
+    strings = signatures.filter(F.col("k").isNotNull()).select(
+        "name", F.greatest("k", F.lit(1)).alias("k"), F.posexplode("strings").alias("_nth", "_wanted")
     )
-    listed = signatures.filter(F.col("k").isNotNull()).select(
-        "name",
-        "strings",
-        "k",
-        F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("_sig_meet"),
+    named = texts.select(F.col(key), F.col(text).alias("_text"))
+    distinct = strings.select("_wanted").distinct()
+    hits = occurring(named, distinct, text="_text", string="_wanted", keys=[key])
+    hits = hits.select(key, F.xxhash64("_text").alias("_row"), "_wanted")
+    return (
+        hits.join(strings, "_wanted")
+        .groupBy(key, "_row", "name", "k")
+        .agg(F.count_distinct("_nth").cast("int").alias("found"))
+        .filter("found >= k")
+        .select(key, "name", "found")
     )
-    found = F.size(F.filter("strings", lambda s: F.contains(F.col(text), s)))
-    return spread_texts.join(
-        listed, (F.col("_meet") == F.col("_sig_meet")) & (found >= F.col("k"))
-    ).select(key, "name", found.alias("found"))
 
 
 def scan_patterns(

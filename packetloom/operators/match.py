@@ -3,8 +3,9 @@
 A rule for ``tcp`` or ``udp`` needs that protocol; any other rule protocol
 accepts every packet. Each rule is therefore listed once per packet class it
 accepts, and packets join on their class, with content and size as residual
-conditions. Spark broadcasts a small catalog. For one that it shuffles, state a
-spread number: then each class meets in so many tasks, at as many listings of a rule.
+conditions. Spark broadcasts a small catalog. For a large one each class is spread over
+several keys, at as many listings of a rule; rules with contents are better found
+by ``match_contents``, rules with narrow heads by ``head_index``.
 """
 
 from __future__ import annotations
@@ -16,9 +17,12 @@ from pyspark.sql import functions as F
 
 from packetloom.functions.net import IPV4_PATTERN, ip_number
 from packetloom.operators.ordered import attach
+from packetloom.operators.string_index import occurring
 from packetloom.sources.rules import resolve_variables
 
 CLASSES = ("tcp", "udp", "other")
+#: Rules up to which a catalog counts as small, and the most keys a class is dealt over.
+BROADCAST_RULES, MOST_SPREAD = 5000, 256
 
 
 def packet_class(proto: Column) -> Column:
@@ -59,7 +63,7 @@ def match_packets(
     rules: DataFrame,
     *,
     residual: Sequence[Column] = (),
-    spread: int = 1,
+    spread: int | None = None,
     keep: Sequence[str] = (),
 ) -> DataFrame:
     """One alert per packet and matching rule.
@@ -68,8 +72,10 @@ def match_packets(
     packet head, rule key, sid, msg, class and the packet columns to ``keep``, such as
     its flow; the payload is left behind. Packets
     without a payload column match no rule with content. Extra ``residual`` conditions
-    may use any column of both sides. ``spread`` is for catalogs too large to broadcast.
+    may use any column of both sides. ``spread`` is over how many keys each class is dealt;
+    by default that follows from the number of rules.
     """
+    spread = spread_of(rules) if spread is None else spread
     listed = rule_listing(rules, spread)
     meet = packet_class(F.col("proto"))
     if spread > 1:
@@ -82,21 +88,42 @@ def match_packets(
         on = on & condition
     payload = F.col("payload") if "payload" in packets.columns else F.lit(None).cast("string")
     on = on & content_matches(payload, F.col("content"))
-    return keyed.join(listed, on).select(
-        "packet_id",
-        "ts",
-        "src_ip",
-        "dst_ip",
-        "sport",
-        "dport",
-        F.col("rule_proto").alias("protocol"),
-        "packet_size",
-        "rule_key",
-        "sid",
-        "msg",
-        "rule_class",
-        *keep,
-    )
+    return keyed.join(listed, on).select(*alert_columns(keep))
+
+
+def alert_columns(keep: Sequence[str] = ()) -> list[Column]:
+    """Columns of an alert: the packet's head, the rule's key, sid, msg and class."""
+    head = ("packet_id", "ts", "src_ip", "dst_ip", "sport", "dport")
+    rule = ("packet_size", "rule_key", "sid", "msg", "rule_class")
+    return [F.col(c) for c in head] + [F.col("rule_proto").alias("protocol")] + [F.col(c) for c in (*rule, *keep)]
+
+
+def spread_of(rules: DataFrame) -> int:
+    """Keys per class: one for a catalog that is broadcast anyway, else one per 1,000 rules."""
+    count = rules.count()
+    return 1 if count <= BROADCAST_RULES else min(-(-count // 1000), MOST_SPREAD)
+
+
+def match_contents(
+    packets: DataFrame, rules: DataFrame, *, residual: Sequence[Column] = (), keep: Sequence[str] = ()
+) -> DataFrame:
+    """:func:`match_packets` for catalogs with very many contents.
+
+    Rules without content are matched as there. The others meet only packets whose payload has
+    their content's rarest run of characters. ``packet_id`` must tell packets apart.
+    """
+    plain = match_packets(packets, rules.where("content is null"), residual=residual, keep=keep)
+    if "payload" not in packets.columns:
+        return plain
+    proto = F.lower(F.col("rule_proto"))
+    on = [
+        ~proto.isin("tcp", "udp") | (proto == F.lower("proto")),
+        size_matches(F.col("packet_size"), F.col("dsize_op"), F.col("dsize_n")),
+        *residual,
+    ]
+    wanted = rules.where("content is not null")
+    hits = occurring(packets, wanted, text="payload", string="content", on=on, keys=["packet_id"])
+    return plain.unionByName(hits.select(*alert_columns(keep)))
 
 
 # --- rule heads: addresses and ports -----------------------------------------------
@@ -185,17 +212,17 @@ def with_head_ranges(rules: DataFrame, variables: Mapping[str, str] | None = Non
     ).drop(*[f"_{h}" for h in HEAD_SPECS])
 
 
-def head_matches(two_way: bool = False) -> Column:
-    """Residual for ``match_packets`` on rules from ``with_head_ranges``."""
+def head_condition(turned: bool = False) -> Column:
+    """Whether a packet, or with ``turned`` the packet the other way round, fits a rule's head."""
+    ends = ("dst_no", "dport", "src_no", "sport") if turned else ("src_no", "sport", "dst_no", "dport")
+    src, sport, dst, dport = ends
+    pairs = ((sport, "sport"), (dport, "dport"), (src, "src"), (dst, "dst"))
+    return F.expr(" and ".join(f"({in_ranges(v, f'{h}_ranges')})" for v, h in pairs))
 
-    def way(src: str, sport: str, dst: str, dport: str) -> str:
-        pairs = ((sport, "sport"), (dport, "dport"), (src, "src"), (dst, "dst"))
-        return " and ".join(f"({in_ranges(v, f'{h}_ranges')})" for v, h in pairs)
 
-    forward = way("src_no", "sport", "dst_no", "dport")
-    if not two_way:
-        return F.expr(forward)
-    return F.expr(f"({forward}) or ({way('dst_no', 'dport', 'src_no', 'sport')})")
+def head_matches(two_way: bool = False) -> Column:
+    """Residual for ``match_packets`` on rules from ``with_head_ranges``."""
+    return head_condition() | head_condition(turned=True) if two_way else head_condition()
 
 
 def with_address_numbers(packets: DataFrame) -> DataFrame:

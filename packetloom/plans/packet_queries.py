@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from packetloom.functions.net import ip_number, is_ipv4
 from packetloom.functions.timing import epoch_us
-from packetloom.operators import anomaly, correlate, detect, lookup, match, rollup
+from packetloom.operators import anomaly, correlate, detect, head_index, lookup, match, rollup
 from packetloom.plans import fixtures as fx
 from packetloom.plans.registry import query
 from packetloom.plans.sql_parts import (
@@ -423,7 +423,7 @@ where proto = 'tcp' and s in (1, 2) and sport >= 60000 and not bad and dport <=
 def header_match(spark, folder):
     rules = match.with_head_ranges(fx.head_rules(spark), fx.VARIABLES)
     heads = match.with_address_numbers(packet_heads(spark, folder))
-    hits = match.match_packets(heads, rules, residual=[match.head_matches()])
+    hits = head_index.match_heads(heads, rules)
     return hits.select("packet_id", "sid")
 
 
