@@ -8,16 +8,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetloom.functions.timing import epoch_us, slot_of
 from packetloom.operators.ordered import (
     DAY,
+    KEY,
     PIECE_ROWS,
     cut_pieces,
     drop_pieces,
     lagged_position,
+    over_full_keys,
     running_sum,
     time_pieces,
 )
@@ -41,11 +43,45 @@ def sliding_count(
 ) -> DataFrame:
     """Rows of the same key, this one included, younger than the window.
 
-    A row counts +1 when it arrives and -1 once it is exactly ``window_seconds``
-    old, so the count is a running sum over arrivals and expiries. At one instant
-    expiries go first (the limit is strict) and arrivals follow in ``tie`` order.
+    A key is cut into slots of time no shorter than the window. Each slot also gets, as context,
+    the rows of the slot before that are younger than the window when it begins; a row's
+    count is its number in the slot less the number of rows as old as the window or older. So
+    rows are shuffled once. Keys with an over-full slot are counted over arrivals and expiries
+    instead, whose pieces can be as small as needed.
     """
     width = int(round(window_seconds * 1_000_000))
+    slot_us = max(int(round(slot_seconds * 1_000_000)), width)
+    timed = df.withColumn("_us", epoch_us(F.col(ts)))
+    of = lambda us: slot_of(us, slot_us / 1_000_000)
+    hot = over_full_keys(timed, [key], "_us", slot=of(F.col("_us")), piece_rows=piece_rows)
+    if hot is None:
+        return _counted_in_slots(timed, key, tie, width, of, out)
+    named = timed.withColumn(KEY, F.struct(key))
+    cold = named.join(hot, KEY, "left_anti").drop(KEY)
+    full = named.join(hot, KEY, "left_semi").drop(KEY, "_us")
+    return _counted_in_slots(cold, key, tie, width, of, out).unionByName(
+        _counted_by_expiry(full, key, ts, tie, width, slot_seconds, piece_rows, out)
+    )
+
+
+def _counted_in_slots(timed: DataFrame, key: str, tie: Sequence[str], width: int, of, out: str) -> DataFrame:
+    own, next_ = of(F.col("_us")), of(F.col("_us") + width)
+    # a row without a time is in no slot, and counts in none
+    slots = F.when(next_ == own, F.array(own)).otherwise(F.array(own, next_))
+    dealt = timed.withColumn("_own", own).select("*", F.explode_outer(slots).alias("_in"))
+    rows = Window.partitionBy(key, "_in").orderBy("_us", *tie)
+    older = Window.partitionBy(key, "_in").orderBy("_us").rangeBetween(Window.unboundedPreceding, -width)
+    counted = dealt.withColumn(out, F.row_number().over(rows) - F.count(F.lit(1)).over(older))
+    return counted.filter(F.col("_own").eqNullSafe(F.col("_in"))).drop("_own", "_in", "_us")
+
+
+def _counted_by_expiry(
+    df: DataFrame, key: str, ts: str, tie: Sequence[str], width: int, slot_seconds: float, piece_rows: int, out: str
+) -> DataFrame:
+    """A row counts +1 when it arrives and -1 once it is exactly as old as the window, so the
+    count is a running sum over both. At one instant expiries go first (the limit is strict)
+    and arrivals follow in ``tie`` order.
+    """
     arrival = df.withColumn("_us", epoch_us(F.col(ts))).withColumn("_delta", F.lit(1))
     expiry = arrival.select(
         key, *tie, (F.col("_us") + width).alias("_us"), F.lit(-1).alias("_delta")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from packetloom.functions.net import host_of, parent_domain
@@ -12,10 +12,13 @@ from packetloom.functions.timing import epoch_us
 from packetloom.operators.anomaly import LARGE_BYTES
 from packetloom.operators.ordered import (
     DAY,
+    KEY,
+    PIECE,
     PIECE_ROWS,
+    SLOT,
+    STEP,
     drop_pieces,
     previous_position,
-    running_max,
     time_pieces,
 )
 from packetloom.operators.rollup import window_start_us
@@ -193,27 +196,45 @@ def sessions(
 ) -> DataFrame:
     """Flow sessions: a gap of ``idle_seconds`` or more starts a new one.
 
-    Each row takes the start of its session, the greatest start so far, as the
-    session's name, so a hot key is aggregated in parts.
+    The rows of each piece become sessions there. Only a piece's first and last session can go
+    on in its neighbours; these are brought together per key and merged by first and last
+    time, so packets are shuffled once.
     """
     timed = packets.select(*keys, tie, "packet_size", epoch_us(F.col("ts")).alias("_us"))
     pieces = time_pieces(
         timed, keys, "_us", tie, slot_seconds=slot_seconds, piece_rows=piece_rows
     )
-    order = ["_us", tie]
-    before = previous_position(pieces, "_us", order, "_before")
     idle = int(round(idle_seconds * 1_000_000))
-    starts = F.col("_before").isNull() | (F.col("_us") - F.col("_before") >= idle)
-    started = running_max(before, order, F.when(starts, F.col("_us")), "start_us")
-    return (
-        drop_pieces(started)
-        .groupBy(*keys, "start_us")
-        .agg(
-            F.max("_us").alias("last_us"),
-            F.count(F.lit(1)).alias("packets"),
-            F.sum("packet_size").cast("bigint").alias("bytes"),
+
+    def begun(us: str, before: Column, order: WindowSpec) -> Column:
+        """The latest time at which a session began, up to a row."""
+        fresh = F.when(before.isNull() | (F.col(us) - before >= idle), F.col(us))
+        return F.max(fresh).over(order.rowsBetween(Window.unboundedPreceding, 0))
+
+    def summed(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+        return rows.groupBy(*by, "start_us").agg(
+            F.min("first_us").alias("first_us"),
+            F.max("last_us").alias("last_us"),
+            F.sum("packets").alias("packets"),
+            F.sum("bytes").alias("bytes"),
         )
+
+    inside = Window.partitionBy(*PIECE).orderBy("_us", tie)
+    rows = pieces.withColumn("_before", F.lag("_us").over(inside))
+    rows = rows.withColumn("start_us", begun("_us", F.col("_before"), inside)).select(
+        *PIECE, "start_us", F.col("_us").alias("first_us"), F.col("_us").alias("last_us"),
+        F.lit(1).cast("bigint").alias("packets"), F.col("packet_size").cast("bigint").alias("bytes"),
+    )
+    local = summed(rows, PIECE)
+    whole = Window.partitionBy(*PIECE)
+    marked = local.withColumn(
+        "_edge", (F.col("first_us") == F.min("first_us").over(whole)) | (F.col("last_us") == F.max("last_us").over(whole))
     )
+    across = Window.partitionBy(KEY).orderBy(SLOT, STEP, "first_us")
+    edges = marked.filter(F.coalesce("_edge", F.lit(True))).withColumn("_before", F.lag("last_us").over(across))
+    merged = summed(edges.withColumn("start_us", begun("first_us", F.col("_before"), across)), [KEY])
+    found = marked.filter(~F.coalesce("_edge", F.lit(True))).select(*merged.columns).unionByName(merged)
+    return found.select(f"{KEY}.*", "start_us", "last_us", "packets", "bytes")
 
 
 def activity_feed(scored: DataFrame, *, seconds: int = 60, score: str = "intel_score") -> DataFrame:

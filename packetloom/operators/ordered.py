@@ -81,6 +81,16 @@ def key_pieces(
     return placed, None if full is None else full.select(KEY)
 
 
+def over_full_keys(
+    df: DataFrame, keys: Sequence[str], position: str, *, slot: Column, piece_rows: int = PIECE_ROWS
+) -> DataFrame | None:
+    """Keys (``_key``) with more than ``piece_rows`` rows in a slot, a small table; None if none."""
+    placed = _placed(df, keys, slot)
+    full = placed.groupBy(KEY, SLOT).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > piece_rows)
+    found = written(full.select(KEY).distinct(), "full-keys")
+    return None if found.isEmpty() else found
+
+
 def _placed(df: DataFrame, keys: Sequence[str], slot: Column) -> DataFrame:
     return (
         df.withColumn(KEY, F.struct(*keys))
