@@ -5,6 +5,9 @@ Each writes below the cluster's shared folder and returns the written table.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,24 +56,33 @@ def scored_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 
 BATCHES = 5
+LATE = 2 * 86_400
 
 
-def detected(spark: SparkSession, folder: str, label: str) -> dict[str, str]:
-    """Live detection over events that arrive in equal spans of time, a micro-batch each.
+def arrivals(spark: SparkSession, folder: str, late_seconds: int = 0) -> Iterator[DataFrame]:
+    """A stream of events after each of ``BATCHES`` arrivals, in equal spans of time.
 
-    After every arrival the job is started again from its checkpoint.
+    Each event arrives up to ``late_seconds`` after its time, by its number.
     """
-    at = places(spark, label)
-    at["log"] = f"{at['work']}/log"
     path = scratch_path(spark, "arrivals")
     events = table(spark, folder, "events")
-    us = ntz_epoch_us("ts")
+    us = ntz_epoch_us("ts") + F.pmod(F.xxhash64("event_id"), F.lit(late_seconds * 1_000_000 + 1))
     low, high = (x or 0 for x in events.agg(F.min(us), F.max(us)).first())
     span = F.floor((us - F.lit(low)) / F.lit((high - low) // BATCHES + 1))
     for i in range(BATCHES):
         events.where(span == i).write.mode("append").parquet(path)
-        arrived = packets_from_events(spark.readStream.schema(schema.TABLES["events"]).parquet(path))
-        stream = with_payload(arrived, table(spark, folder, "documents"))
+        yield spark.readStream.schema(schema.TABLES["events"]).parquet(path)
+
+
+def detected(spark: SparkSession, folder: str, label: str) -> dict[str, str]:
+    """Live detection over arriving events, a micro-batch each.
+
+    After every arrival the job is started again from its checkpoint.
+    """
+    at = places(spark, label)
+    at["log"] = f"{at['work']}/log"
+    for arrived in arrivals(spark, folder):
+        stream = with_payload(packets_from_events(arrived), table(spark, folder, "documents"))
         jobs.finish(
             jobs.start_detection(
                 stream, fx.rules(spark), fx.intel(spark), window_seconds=HOUR, trigger=jobs.NOW, **at
@@ -102,20 +114,13 @@ select event_id, event_type, coalesce(epoch_us(ts) - lag(epoch_us(ts), 4) over
 from events""",
 )
 def stream_escalation(spark, folder):
+    """Events arrive up to two days late in five micro-batches and are marked in order of time."""
     at = places(spark, "escalation")
-    events = event_stream(spark, folder).select(
-        "event_id", "event_type", from_epoch_us(ntz_epoch_us("ts")).alias("ts")
-    )
-    jobs.finish(
-        jobs.start_escalation(
-            events,
-            key="event_type",
-            tie=["event_id"],
-            window_seconds=HOUR,
-            trigger=jobs.NOW,
-            **at,
-        )
-    )
+    how = {"key": "event_type", "tie": ["event_id"], "window_seconds": HOUR, "hold_seconds": LATE}
+    for arrived in arrivals(spark, folder, LATE):
+        events = arrived.select("event_id", "event_type", from_epoch_us(ntz_epoch_us("ts")).alias("ts"))
+        jobs.finish(jobs.start_escalation(events, trigger=jobs.NOW, **how, **at))
+    jobs.flush_escalation(events, **how, **at)
     return spark.read.parquet(at["out"]).select("event_id", "event_type", "escalated")
 
 
@@ -130,8 +135,12 @@ seen as (select *, count(*) over (partition by port order by us, packet_id, slot
 select packet_id, port, sightings from seen where slot = 1 and sightings < 5""",
 )
 def stream_unusual_ports(spark, folder):
+    """Packets arrive up to two days late in five micro-batches and are counted in order of time."""
     at = places(spark, "ports")
-    jobs.finish(jobs.start_unusual_ports(head_stream(spark, folder), trigger=jobs.NOW, **at))
+    for arrived in arrivals(spark, folder, LATE):
+        heads = packets_from_events(arrived)
+        jobs.finish(jobs.start_unusual_ports(heads, hold_seconds=LATE, trigger=jobs.NOW, **at))
+    jobs.flush_unusual_ports(heads, hold_seconds=LATE, **at)
     return spark.read.parquet(at["out"]).select("packet_id", "port", "sightings")
 
 
@@ -146,7 +155,7 @@ group by ip""",
 def stream_ip_scores(spark, folder):
     at = places(spark, "scores")
     jobs.finish(jobs.start_ip_scores(scored_stream(spark, folder), trigger=jobs.NOW, **at))
-    return jobs.latest(spark.read.parquet(at["out"]), ["ip"])
+    return jobs.current(spark, at["out"], ["ip"])
 
 
 STATS_COLUMNS = """
@@ -161,7 +170,7 @@ count(*) as total_alerts, count(*) filter (intel_score > 100) as critical_alerts
 def stream_stats(spark, folder):
     at = places(spark, "stats")
     jobs.finish(jobs.start_stats(scored_stream(spark, folder), trigger=jobs.NOW, **at))
-    return jobs.latest(spark.read.parquet(at["out"]), [])
+    return jobs.current(spark, at["out"], [])
 
 
 @query(
@@ -177,7 +186,7 @@ union all select 'alert', cast(to_json(feed) as varchar) from feed""",
 def stream_snapshots(spark, folder):
     at = places(spark, "snapshots")
     jobs.finish(jobs.start_snapshots(scored_stream(spark, folder), trigger=jobs.NOW, **at))
-    return jobs.latest(spark.read.parquet(at["out"]), [])
+    return jobs.current(spark, at["out"], [])
 
 
 @query(
@@ -219,12 +228,23 @@ from heads group by 1""",
 def stream_rate(spark, folder):
     at = places(spark, "rate")
     rates = jobs.rates(head_stream(spark, folder), seconds=HOUR)
-    jobs.finish(jobs.start_updates(rates, trigger=jobs.NOW, **at))
-    return jobs.latest(spark.read.parquet(at["out"]), ["window_start"]).select(
+    jobs.finish(jobs.start_updates(rates, keys=["window_start"], trigger=jobs.NOW, **at))
+    return jobs.current(spark, at["out"], ["window_start"]).select(
         "window_start", "packets", "bytes"
     )
 
 
+@contextmanager
+def merged_locally(spark: SparkSession) -> Iterator[None]:
+    """Sessions of a hot key are merged in each task while a query starts and runs."""
+    old = spark.conf.get(jobs.LOCAL_MERGE)
+    jobs.merge_sessions_locally(spark)
+    try:
+        yield
+    finally:
+        spark.conf.set(jobs.LOCAL_MERGE, old)
+
+
 @query(
     "stream_sessions",
     f"with {HEADS}"
@@ -242,7 +262,8 @@ def stream_sessions(spark, folder):
     """Closed sessions: those that end before the watermark (append mode)."""
     at = places(spark, "sessions")
     found = jobs.flow_sessions(head_stream(spark, folder), idle=f"{HOUR} seconds")
-    jobs.finish(jobs.append_table(found, trigger=jobs.NOW, **at))
+    with merged_locally(spark):
+        jobs.finish(jobs.append_table(found, trigger=jobs.NOW, **at))
     return spark.read.parquet(at["out"]).select(
         "src_ip",
         epoch_us(F.col("started")).alias("start_us"),
@@ -263,3 +284,25 @@ def stream_once_per_flow(spark, folder):
     return spark.read.parquet(at["out"])
 
 
+@query(
+    "stream_once_per_session",
+    full_alerts(HOUR)
+    + """,
+flagged as (select *, case when us - lag(us) over (partition by src_ip, sid order by us, packet_id)
+    < 3600000000 then 0 else 1 end as fresh from alerts),
+numbered as (select *, sum(fresh) over (partition by src_ip, sid order by us, packet_id
+    rows unbounded preceding) as session from flagged)
+select src_ip, sid, arg_min(packet_id, (us, packet_id)) as packet_id, count(*) as alerts from numbered
+group by src_ip, sid, session
+having max(us) + 3600000000 <= (select (max(us) - 600000000) // 1000 * 1000 from alerts)""",
+)
+def stream_once_per_session(spark, folder):
+    """The first alert of each source and signature until an idle hour; state goes with the watermark."""
+    at = places(spark, "once-per-session")
+    with merged_locally(spark):
+        for arrived in arrivals(spark, folder):
+            packets = with_payload(packets_from_events(arrived), table(spark, folder, "documents"))
+            alerts = jobs.matched_stream(packets, fx.rules(spark)).select("src_ip", "sid", "ts", "packet_id")
+            once = jobs.once_per_session(alerts, ["src_ip", "sid"], idle=f"{HOUR} seconds")
+            jobs.finish(jobs.append_table(once.select("src_ip", "sid", "packet_id", "alerts"), trigger=jobs.NOW, **at))
+    return spark.read.parquet(at["out"])

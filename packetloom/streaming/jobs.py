@@ -26,7 +26,15 @@ from packetloom.operators.ordered import first_rows
 from packetloom.operators.rollup import severity_rollup, traffic_rate
 from packetloom.sources import alert_store
 from packetloom.sources.packets import ipv4_only, with_text_payload
-from packetloom.streaming.carry import start_carried, start_updates
+from packetloom.streaming.carry import (
+    Step,
+    flush,
+    held_back,
+    held_schemas,
+    start_carried,
+    start_updates,
+)
+from packetloom.streaming.updates import UpdateTable, latest  # noqa: F401
 
 DELAY = "10 minutes"
 LATE_SECONDS = 600
@@ -85,57 +93,53 @@ def start_escalation(
     until none that is at most this late can come before them; later rows are
     left out, and counted in the ``clock`` table.
     """
-    columns = alerts.columns
+    step, schemas = escalation_step(
+        alerts, key=key, tie=tie, window_seconds=window_seconds, hits=hits, hold_seconds=hold_seconds, then=then
+    )
+    return start_carried(
+        alerts, step, work=work, out=out, schemas=schemas, trigger=trigger, also=also
+    )
+
+
+def escalation_step(
+    alerts: DataFrame,
+    *,
+    key: str = "sid",
+    tie: Sequence[str] = ("packet_id", "rule_key"),
+    window_seconds: float = WINDOW_SECONDS,
+    hits: int = HITS,
+    hold_seconds: float | None = None,
+    then: Callable[[DataFrame], DataFrame] | None = None,
+    last: bool = False,
+) -> tuple[Step, dict[str, str]]:
+    """The step of :func:`start_escalation` and its state tables, for a table like ``alerts``."""
     kinds = dict(alerts.dtypes)
-    recent = ", ".join(f"`{c}` {kinds[c]}" for c in [key, "ts", *tie])
-    schemas = {"recent": recent}
-    if hold_seconds is not None:
-        schemas["held"] = ", ".join(f"`{c}` {kinds[c]}" for c in columns)
-        schemas["clock"] = "mark_us bigint, late bigint"
+    schemas = {"recent": ", ".join(f"`{c}` {kinds[c]}" for c in [key, "ts", *tie])}
 
-    def mark(batch: DataFrame, before: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def mark(batch: DataFrame, states: dict[str, DataFrame]) -> tuple[DataFrame, dict[str, DataFrame]]:
         both = batch.withColumn("_own", F.lit(True)).unionByName(
-            before.withColumn("_own", F.lit(False)), allowMissingColumns=True
+            states["recent"].withColumn("_own", F.lit(False)), allowMissingColumns=True
         )
         marked = mark_escalated(
             both, key, tie=tie, window_seconds=window_seconds, hits=hits, staged=False
         )
         newest = [F.desc("ts"), *[F.desc(t) for t in tie]]
-        last = first_rows(both.select(key, "ts", *tie), [key], newest, max(hits - 1, 1), "_n")
+        latest_rows = first_rows(both.select(key, "ts", *tie), [key], newest, max(hits - 1, 1), "_n")
         us = F.unix_micros("ts")
         oldest = both.agg(F.max(us)).scalar() - F.lit(int((window_seconds + LATE_SECONDS) * 1_000_000))
         rows = marked.filter("_own").drop("_own")
-        return then(rows) if then else rows, last.drop("_n").filter(us >= oldest)
+        return then(rows) if then else rows, {"recent": latest_rows.drop("_n").filter(us >= oldest)}
 
-    def step(batch: DataFrame, states: dict[str, DataFrame]):
-        if hold_seconds is None:
-            rows, last = mark(batch, states["recent"])
-            return rows, {"recent": last}
-        hold = int(round(hold_seconds * 1_000_000))
-        us = F.unix_micros("ts")
-        clock = states["clock"]
-        passed = F.coalesce(clock.agg(F.max("mark_us")).scalar(), F.lit(-(2**62)))
-        fresh = batch.filter(us > passed)
-        pool = fresh.select(*columns).unionByName(states["held"])
-        mark_us = F.greatest(
-            pool.agg(F.max(us)).scalar() - F.lit(hold),
-            clock.agg(F.max("mark_us")).scalar(),
-        )
-        rows, last = mark(pool.filter(us <= mark_us), states["recent"])
-        late = batch.agg(F.count_if(us <= passed).alias("late"))
-        tick = late.select(
-            mark_us.alias("mark_us"),
-            (F.col("late") + F.coalesce(clock.agg(F.sum("late")).scalar(), F.lit(0))).alias("late"),
-        )
-        return rows, {
-            "recent": last,
-            "held": pool.filter((us > mark_us) | mark_us.isNull()),
-            "clock": tick,
-        }
+    if hold_seconds is None:
+        return mark, schemas
+    return held_back(mark, alerts.columns, hold_seconds, last=last), schemas | held_schemas(alerts.dtypes)
 
-    return start_carried(
-        alerts, step, work=work, out=out, schemas=schemas, trigger=trigger, also=also
-    )
+
+def flush_escalation(alerts: DataFrame, *, work: str, out: str, **how) -> int | None:
+    """Mark and write the rows that a stopped job still holds; ``how`` as it was started."""
+    step, schemas = escalation_step(alerts, **how, last=True)
+    spark = alerts.sparkSession
+    return flush(spark, step, spark.createDataFrame([], alerts.schema), work=work, out=out, schemas=schemas)
 
 
 def start_detection(
@@ -187,12 +191,27 @@ def start_unusual_ports(
     work: str,
     out: str,
     usual_after: int = USUAL_AFTER,
+    hold_seconds: float | None = None,
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Unusual destination ports; the carry is a capped count per port seen."""
+    """Unusual destination ports; the carry is a capped count per port seen.
+
+    Sightings are counted in order of time inside a micro-batch and after those of earlier ones.
+    Where packets may arrive out of order across batches, ``hold_seconds`` keeps them back until
+    none that is at most this late can come before them; :func:`flush_unusual_ports` lets
+    out the last.
+    """
+    step, schemas = unusual_ports_step(packets, usual_after=usual_after, hold_seconds=hold_seconds)
+    return start_carried(packets, step, work=work, out=out, schemas=schemas, trigger=trigger)
+
+
+def unusual_ports_step(
+    packets: DataFrame, *, usual_after: int = USUAL_AFTER, hold_seconds: float | None = None, last: bool = False
+) -> tuple[Step, dict[str, str]]:
     cap = usual_after - 1
+    schemas = {"ports": "port int, seen int"}
 
-    def step(batch: DataFrame, states: dict[str, DataFrame]):
+    def count(batch: DataFrame, states: dict[str, DataFrame]) -> tuple[DataFrame, dict[str, DataFrame]]:
         order = [F.asc("ts"), F.asc("packet_id"), F.asc("slot")]
         early = first_rows(port_sightings(batch), ["port"], order, cap, "_n")
         known = states["ports"].withColumnRenamed("port", "_port")
@@ -210,14 +229,23 @@ def start_unusual_ports(
         )
         return rows, {"ports": seen}
 
-    return start_carried(
-        packets, step, work=work, out=out, schemas={"ports": "port int, seen int"}, trigger=trigger
-    )
+    if hold_seconds is None:
+        return count, schemas
+    kept = ["packet_id", "ts", "sport", "dport"]
+    kinds = dict(packets.dtypes)
+    return held_back(count, kept, hold_seconds, last=last), schemas | held_schemas([(c, kinds[c]) for c in kept])
+
+
+def flush_unusual_ports(packets: DataFrame, *, work: str, out: str, **how) -> int | None:
+    """Count and write the packets that a stopped job still holds; ``how`` as it was started."""
+    step, schemas = unusual_ports_step(packets, **how, last=True)
+    spark = packets.sparkSession
+    return flush(spark, step, spark.createDataFrame([], packets.schema), work=work, out=out, schemas=schemas)
 
 
 def start_ip_scores(alerts: DataFrame, *, work: str, out: str, trigger: dict | None = None) -> StreamingQuery:
     """Running score per address; each batch writes the addresses it changed."""
-    return start_updates(ip_scores(alerts), work=work, out=out, mode="update", trigger=trigger)
+    return start_updates(ip_scores(alerts), work=work, out=out, keys=["ip"], mode="update", trigger=trigger)
 
 
 def start_stats(alerts: DataFrame, *, work: str, out: str, trigger: dict | None = None) -> StreamingQuery:
@@ -293,7 +321,9 @@ def start_snapshots(
         )
         return stats.unionByName(feed), {"totals": summed, "last": newest}
 
-    return start_carried(alerts, step, work=work, out=out, schemas=schemas, trigger=trigger)
+    return start_carried(
+        alerts, step, work=work, out=out, schemas=schemas, trigger=trigger, replaces=True
+    )
 
 
 def rates(packets: DataFrame, *, seconds: int = 60, delay: str = DELAY) -> DataFrame:
@@ -340,19 +370,34 @@ def once_per_flow(
     return alerts.withWatermark("ts", delay).dropDuplicatesWithinWatermark(list(keys))
 
 
-def latest(updates: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The last written row of each key of an update table."""
-    values = [c for c in updates.columns if c not in (*keys, "batch_id")]
-    if not keys:
-        newest = updates.agg(F.max("batch_id")).scalar()
-        return updates.filter(F.col("batch_id") == newest).select(*values)
+def once_per_session(
+    alerts: DataFrame,
+    keys: Sequence[str] = ("src_ip", "dst_ip", "sid"),
+    *,
+    idle: str = "180 seconds",
+    delay: str = DELAY,
+    order: Sequence[str] = ("ts", "packet_id"),
+) -> DataFrame:
+    """The first alert of each flow and signature until it falls idle, in append mode.
+
+    State rows go when the watermark passes the end of a session. With the setting of
+    ``merge_sessions_locally`` rows are combined in each task before the shuffle, so a hot flow
+    sends one row per task and session.
+    """
+    rest = [c for c in alerts.columns if c not in keys]
     return (
-        updates.groupBy(*keys)
-        .agg(F.max_by(F.struct(*values), "batch_id").alias("_v"))
-        .select(*keys, "_v.*")
+        alerts.withWatermark("ts", delay)
+        .groupBy(*keys, F.session_window("ts", idle).alias("_s"))
+        .agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_first"), F.count(F.lit(1)).alias("alerts"))
+        .select(*keys, "_first.*", "alerts")
     )
 
 
+def current(spark: SparkSession, out: str, keys: Sequence[str]) -> DataFrame:
+    """The newest row of each key of an update table; without keys the last batch's rows."""
+    return UpdateTable(spark, out, keys).read()
+
+
 def finish(query: StreamingQuery) -> StreamingQuery:
     """Wait for an ``availableNow`` query; raises what it raised."""
     query.awaitTermination()
