@@ -30,15 +30,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from packetloom.llm.piece_offsets import SPACE, pieces
-from packetloom.llm.words import Remembered, expanded, numbered, slices, text_column, total_before
+from packetloom.llm.words import numbered, slices, text_column, total_before
 from packetloom.session import written
 
 #: Text of a slice, and of a block of slices; a longer text is a block of its own.
 SLICE_BYTES, BLOCK_BYTES = 2 << 20, 8 << 20
-BLOCK_DOCS = 1 << 16
+#: Documents of a block have numbers of 16 bits, ids fewer than ``PAIR_BITS`` bits.
+BLOCK_DOCS, PAIR_BITS = 1 << 16, 23
 _ALL_SPACE = r"\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 #: Texts in which words at single spaces cannot be encoded one by one.
-_WHOLE = rf"  |^ | $|^$|[\t-\r] [\t-\r]|[{_ALL_SPACE}]"
+_WHOLE = rf"  |^ | $|{SPACE}|[\t-\r] [\t-\r]|[{_ALL_SPACE}]"
 _PLANE = "struct<sizes:binary,sparse:binary,dense:binary>"
 _ZEROS = ("n_a", "n_b", "n_groups", "n_links")
 
@@ -66,139 +67,226 @@ class TokenBytes:
         return self.data[at].tobytes()
 
 
-class ByteLevel:
-    """A byte-level tokenizer file whose words are encoded once and remembered."""
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
-        with open(path, encoding="utf-8") as file:
-            stored = json.load(file)
-        byte = byte_of_characters()
-        names = {i: w for w, i in stored["model"]["vocab"].items()}
-        added = {x["id"]: x["content"].encode() for x in stored["added_tokens"]}
-        each = [
-            added[i] if i in added else bytes(byte[c] for c in names.get(i, "")) for i in range(1 + max([*names, *added]))
-        ]
-        self.bytes = TokenBytes(each)
-        self.words = Remembered(lambda words: self._encode([" " + w for w in words]), 300_000)
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.int32).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def column(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
-        """Row offsets and ids of a space and each text."""
-        slow = pc.match_substring_regex(texts, _WHOLE).to_numpy(zero_copy_only=False)
-        plain = pc.if_else(pa.array(slow), "", texts) if slow.any() else texts
-        offsets, codes, names = numbered(pc.split_pattern(plain, " "))
-        ids, counts = expanded(codes, self.words(names.to_pylist()) if len(names) else [])
-        offsets = total_before(counts, offsets)
-        if not slow.any():
-            return offsets, ids
-        odd = np.flatnonzero(slow)
-        whole = dict(zip(odd.tolist(), self._encode([" " + texts[i].as_py() for i in odd.tolist()])))
-        rows = [np.frombuffer(whole[i], np.int32) if slow[i] else ids[offsets[i] : offsets[i + 1]] for i in range(len(texts))]
-        return np.concatenate(([0], np.cumsum([len(r) for r in rows]))), np.concatenate(rows)
+class Encoder:
+    """A tokenizer that puts a space in front of a text, and the bytes of its ids.
 
+    ``whole`` encodes texts one by one, ``joined`` a text of words between single spaces, in
+    which tokens never run across a space; ``apart`` matches words that it may not take.
+    """
 
-@lru_cache(maxsize=2)
-def byte_level(path: str) -> ByteLevel:
-    return ByteLevel(path)
+    def __init__(self, known: TokenBytes, whole, joined=None, apart: str = "$^"):
+        self.bytes, self.whole, self.joined, self.apart = known, whole, joined, apart
+
+    def words(self, names: pa.StringArray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of all words one after another and how many each has; None if bytes do not fit."""
+        if self.joined is None:
+            return None
+        odd = pc.match_substring_regex(names, self.apart).to_numpy(zero_copy_only=False)
+        found = self._together(names.filter(pa.array(~odd)) if odd.any() else names)
+        if found is None or not odd.any():
+            return found
+        alone = self.whole(names.filter(pa.array(odd)).to_pylist())
+        sizes = np.empty(len(names), np.int64)
+        sizes[~odd], sizes[odd] = found[1], [len(x) for x in alone]
+        of_odd = np.repeat(odd, sizes)
+        ids = np.empty(len(of_odd), np.int32)
+        ids[~of_odd], ids[of_odd] = found[0], np.concatenate(alone)
+        return ids, sizes
+
+    def _together(self, names: pa.StringArray) -> tuple[np.ndarray, np.ndarray] | None:
+        if not len(names):
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        listed = names.to_pylist()
+        ids = self.joined(listed)
+        if self.bytes.joined(ids) != (" " + " ".join(listed)).encode():
+            return None
+        # bytes tell where a word's tokens end
+        ends = np.cumsum(self.bytes.sizes[ids])
+        words = np.cumsum(pc.binary_length(names).to_numpy().astype(np.int64) + 1)
+        last = np.searchsorted(ends, words)
+        if (ends[last] != words).any():
+            return None
+        return ids, np.diff(last, prepend=-1)
+
+
+# Fixed value: how byte-level tokenizers of this kind cut a text before they merge bytes.
+CUTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Words with other characters, or white space in front, go to the file's own library.
+_STEADY = r"[^\x{0}-\x{52F}\x{3041}-\x{3096}\x{30A1}-\x{30FA}\x{4E00}-\x{9FA5}\x{AC00}-\x{D7A3}]|^[\t-\r]"
 
 
 @lru_cache(maxsize=2)
-def piece_bytes(path: str) -> TokenBytes:
-    library = pieces(path).library
-    names = [library.id_to_piece(i) for i in range(library.get_piece_size())]
-    return TokenBytes([bytes([int(x[3:5], 16)]) if library.is_byte(i) else x.replace(SPACE, " ").encode() for i, x in enumerate(names)])
+def byte_level(path: str) -> Encoder:
+    """A byte-level tokenizer file.
+
+    If its merges have their ids in order, they are ranks, and the faster library for ranks
+    encodes the words that both cut alike.
+    """
+    import tiktoken
+    from tokenizers import Tokenizer
 
+    library = Tokenizer.from_file(path)
+    library.encode_special_tokens = True
+    with open(path, encoding="utf-8") as file:
+        stored = json.load(file)
+    byte, model = byte_of_characters(), stored["model"]
+    names = {i: bytes(byte[c] for c in w) for w, i in model["vocab"].items() if all(c in byte for c in w)}
+    added = {x["id"]: x["content"].encode() for x in stored["added_tokens"]}
+    each = [added[i] if i in added else names.get(i, b"") for i in range(1 + max([*names, *added]))]
 
-def _fitting(ids: np.ndarray, offsets: np.ndarray, known: TokenBytes, wanted: list[bytes]) -> np.ndarray:
-    """Which texts the bytes of their tokens make up."""
-    data = known.joined(ids)
-    ends = np.concatenate(([0], np.cumsum(known.sizes[ids])))[offsets].tolist()
-    return np.array([data[a:b] == x for a, b, x in zip(ends, ends[1:], wanted)], bool)
+    def whole(texts: list[str]) -> list[np.ndarray]:
+        found = library.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
+        return [np.array(e.ids, np.int32) for e in found]
 
+    made = [model["vocab"].get("".join(m) if isinstance(m, list) else m.replace(" ", "")) for m in model["merges"]]
+    ranks = {w: i for i, w in names.items() if i not in added}
+    joined = None
+    if made == sorted(made) and len(set(made)) == len(made) and len(ranks) == 256 + len(made) and stored["normalizer"] is None and stored["pre_tokenizer"] == _BYTE_LEVEL:
+        by_rank = tiktoken.Encoding("file", pat_str=CUTS, mergeable_ranks=ranks, special_tokens={})
 
-def _kept(ids: np.ndarray, offsets: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.where(good, np.diff(offsets), 0)
-    return ids[np.repeat(good, np.diff(offsets))], np.concatenate(([0], np.cumsum(sizes)))
+        def joined(words: list[str]) -> np.ndarray:
+            return np.array(by_rank.encode_ordinary(" " + " ".join(words)), np.int32)
+
+    return Encoder(TokenBytes(each), whole, joined, _STEADY)
+
+
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+#: Words that a SentencePiece model encodes as one text.
+TOGETHER = 200
+
+
+@lru_cache(maxsize=2)
+def piece_model(path: str) -> Encoder:
+    """A SentencePiece model file, which puts the space in front itself."""
+    model = pieces(path)
+    library = model.library
+    names = [library.id_to_piece(i) for i in range(library.get_piece_size())]
+    each = [bytes([int(x[3:5], 16)]) if library.is_byte(i) else x.replace(SPACE, " ").encode() for i, x in enumerate(names)]
+
+    def whole(texts: list[str]) -> list[np.ndarray]:
+        return [np.array(ids, np.int32) for ids in library.encode(texts, num_threads=1)]
+
+    def joined(words: list[str]) -> np.ndarray:
+        return np.concatenate(whole([" ".join(words[i : i + TOGETHER]) for i in range(0, len(words), TOGETHER)]))
+
+    return Encoder(TokenBytes(each), whole, joined if model.by_word else None)
+
+
+def _spread(codes: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of each code one after another, and how many each code has."""
+    first = np.cumsum(counts) - counts
+    n = counts[codes]
+    at = np.repeat(first[codes] - (np.cumsum(n) - n), n)
+    at += np.arange(len(at))
+    return ids[at], n
+
+
+def encoded(texts: pa.StringArray, encoders: list[Encoder]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each encoder, ids of all texts and row offsets; texts that one does not give back have none."""
+    empty = pc.equal(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    slow = pc.match_substring_regex(texts, _WHOLE).to_numpy(zero_copy_only=False) & ~empty
+    plain = pc.if_else(pa.array(slow), "", texts) if slow.any() else texts
+    offsets, codes, names = numbered(pc.split_pattern(plain, " "))
+    by_word = [e.words(names) for e in encoders]
+    if any(w is None for w in by_word):
+        slow, by_word = ~empty, [(np.zeros(0, np.int32), np.zeros(len(names), np.int64)) for _ in encoders]
+    odd = np.flatnonzero(slow)
+    wanted = [texts[i].as_py() for i in odd.tolist()]
+    alone = [e.whole(wanted) if wanted else [] for e in encoders]
+    good = np.array([all(e.bytes.joined(a[k]) == (" " + t).encode() for e, a in zip(encoders, alone)) for k, t in enumerate(wanted)], bool)
+    out = []
+    for (ids, counts), found in zip(by_word, alone):
+        flat, n = _spread(codes, ids, counts)
+        sizes = np.diff(total_before(n, offsets))
+        found = [x if ok else x[:0] for x, ok in zip(found, good)]
+        sizes[odd] = [len(x) for x in found]
+        if found:
+            of_odd = np.repeat(slow, sizes)
+            both = np.empty(int(sizes.sum()), np.int32)
+            both[~of_odd], both[of_odd] = flat, np.concatenate(found)
+            flat = both
+        out.append((flat, np.concatenate(([0], np.cumsum(sizes)))))
+    return out
 
 
 class Aligned:
     """Texts cut by both tokenizers: ``a`` and ``b`` ids, and links as places in them."""
 
     def __init__(self, texts: pa.StringArray, a_file: str, b_file: str):
-        wanted = [(" " + t).encode() if t else None for t in texts.to_pylist()]
-        first, second = byte_level(a_file), piece_bytes(b_file)
-        a_at, a = first.column(texts)
-        b_at, b = pieces(b_file).column(texts)[:2]
-        good = _fitting(a, a_at, first.bytes, wanted) & _fitting(b, b_at, second, wanted)
-        self.a, self.a_at = _kept(a, a_at, good)
-        self.b, self.b_at = _kept(b, b_at, good)
+        first, second = byte_level(a_file), piece_model(b_file)
+        (self.a, self.a_at), (self.b, self.b_at) = encoded(texts, [first, second])
         # bytes run on over all texts, so the end of each text is an end of both
-        ends_a, ends_b = np.cumsum(first.bytes.sizes[self.a]), np.cumsum(second.sizes[self.b])
-        both = np.sort(np.concatenate((ends_a, ends_b)), kind="stable")
-        twice = np.zeros(len(both), bool)
-        twice[:-1] = both[1:] == both[:-1]
-        shared, cuts = both[twice], both[np.concatenate(([True], ~twice[:-1]))] if len(both) else both
-        self.link_a, self.link_b = np.searchsorted(ends_a, cuts), np.searchsorted(ends_b, cuts)
+        ends_a, ends_b = (np.cumsum(e.bytes.sizes[x]) for e, x in ((first, self.a), (second, self.b)))
         total = np.concatenate(([0], ends_a))[self.a_at]  # bytes before each text
-        self.doc = np.searchsorted(total, cuts, "left") - 1
-        self.n_links = np.bincount(self.doc, minlength=len(texts))
-        self.n_groups = np.bincount(np.searchsorted(total, shared, "left") - 1, minlength=len(texts))
-        self.group_a, self.group_b = np.searchsorted(shared, ends_a), np.searchsorted(shared, ends_b)
+        in_a, in_b = (np.zeros(int(total[-1]) + 1, bool) for _ in range(2))
+        in_a[ends_a], in_b[ends_b] = True, True
+        cuts = np.flatnonzero(in_a | in_b)
+        # a stretch that ends at a cut lies in the token with the first end there or behind
+        self.link_a, self.link_b = ((np.cumsum(x, dtype=np.int32) - x)[cuts] for x in (in_a, in_b))
+        shared = in_a & in_b
+        closed = np.cumsum(shared, dtype=np.int32)
+        self.n_groups = np.diff(closed[total]).astype(np.int64)
+        self.n_links = np.diff(np.searchsorted(cuts, total, "right"))
+        self.doc = np.repeat(np.arange(len(texts)), self.n_links)
+        closed -= shared
+        self.group_a, self.group_b = closed[ends_a], closed[ends_b]
 
     def groups(self) -> list[str]:
         """``a1,a2|b1;a3|b2,b3`` for each text: the ids of its groups; without tokens nothing."""
-        group = np.concatenate((self.group_a, self.group_b))
-        side = np.repeat((0, 1), (len(self.a), len(self.b)))
-        doc = np.concatenate((np.repeat(np.arange(len(self.a_at) - 1), np.diff(self.a_at)), np.repeat(np.arange(len(self.b_at) - 1), np.diff(self.b_at))))
-        order = np.lexsort((side, group))
-        ids, group, side, doc = (x[order] for x in (np.concatenate((self.a, self.b)), group, side, doc))
-        after = np.full(len(ids), 3)  # nothing follows the last token of a text
-        same = doc[1:] == doc[:-1]
-        after[:-1] = np.where(~same, 3, np.where(group[1:] != group[:-1], 2, np.where(side[1:] != side[:-1], 1, 0)))
-        kinds, code = np.unique(ids.astype(np.int64) * 4 + after, return_inverse=True)
-        names = [f"{k >> 2}{',|;'[k & 3 : (k & 3) + 1]}" for k in kinds.tolist()]
-        said = [names[k] for k in code.tolist()]
-        ends = (self.a_at + self.b_at).tolist()
+        n = int(self.n_groups.sum())
+        of_a, of_b = np.bincount(self.group_a, minlength=n), np.bincount(self.group_b, minlength=n)
+        before_a, before_b = np.cumsum(of_a) - of_a, np.cumsum(of_b) - of_b
+        code = np.empty(len(self.a) + len(self.b), np.int64)
+        # of a group first the a ids, then the b ids
+        code[np.arange(len(self.a)) + before_b[self.group_a]] = self.a.astype(np.int64) * 4
+        code[np.arange(len(self.b)) + (before_a + of_a)[self.group_b]] = self.b.astype(np.int64) * 4
+        code[np.cumsum(of_a + of_b) - of_b - 1] += 1  # the last a id of each group
+        last = np.cumsum(of_a + of_b) - 1
+        code[last] += 2
+        ends = self.a_at + self.b_at
+        code[ends[1:][self.n_groups > 0] - 1] += 1  # nothing follows the last token of a text
+        names = spelled(int(max(self.a.max(initial=0), self.b.max(initial=0))))
+        said = list(map(names.__getitem__, code.tolist()))
+        ends = ends.tolist()
         return ["".join(said[x:y]) for x, y in zip(ends, ends[1:])]
 
 
+_SPELLED: list[str] = []
+
+
+def spelled(most: int) -> list[str]:
+    """The number k // 4 and what follows it, for all ids up to ``most``."""
+    for i in range(len(_SPELLED) // 4, most + 1):
+        _SPELLED.extend((f"{i},", f"{i}|", f"{i};", str(i)))
+    return _SPELLED
+
+
 class BlockIndex:
     """Bitmaps of the pairs of one block, merged from slices."""
 
     def __init__(self):
         self.docs = 0
-        self.keys: list[np.ndarray] = []
         self.links: list[np.ndarray] = []
 
     def add(self, slice_: Aligned) -> None:
         """Take in a slice; its documents get the next numbers."""
-        pair = slice_.a[slice_.link_a].astype(np.int64) << 32 | slice_.b[slice_.link_b]
-        names, code = np.unique(pair, return_inverse=True)
-        n = max(len(slice_.n_links), 1)
-        posting, links = np.unique(code * n + slice_.doc, return_counts=True)
-        self.keys.append(np.stack((names[posting // n], posting % n + self.docs)))
-        self.links.append(links)
+        pair = slice_.a[slice_.link_a].astype(np.int64) << PAIR_BITS | slice_.b[slice_.link_b]
+        self.links.append(pair << 16 | (slice_.doc + self.docs))
         self.docs += len(slice_.n_links)
 
-    def planes(self) -> tuple[np.ndarray, list[dict]]:
-        """The pairs, and their bitmaps: first of the documents, then planes of further links."""
-        pair, doc = np.concatenate(self.keys, 1)
-        links = np.concatenate(self.links)
-        order = np.lexsort((doc, pair))
-        doc, links = doc[order], links[order]
-        names, code = np.unique(pair[order], return_inverse=True)
+    def planes(self) -> tuple[np.ndarray, np.ndarray, list[dict]]:
+        """Both ids of the pairs, and their bitmaps: of the documents, then planes of further links."""
+        posting, links = np.unique(np.concatenate(self.links), return_counts=True)
+        pair, doc = posting >> 16, posting & 0xFFFF
+        new = np.ones(len(pair), bool)
+        new[1:] = pair[1:] != pair[:-1]
+        names, code = pair[new], np.cumsum(new) - 1
         out = [packed(code, doc, len(names), self.docs)]
         more = links - 1
         for bit in range(int(more.max(initial=0)).bit_length()):
             some = (more >> bit & 1).astype(bool)
             out.append(packed(code[some], doc[some], len(names), self.docs))
-        return names, out
+        return (names >> PAIR_BITS).astype(np.int32), (names & (1 << PAIR_BITS) - 1).astype(np.int32), out
 
 
 def packed(code: np.ndarray, doc: np.ndarray, pairs: int, docs: int) -> dict:
@@ -258,14 +346,14 @@ def build_index(docs: DataFrame, a_file: str, b_file: str, *, doc_id: str = "doc
         size, columns = 0, {}
 
         def closed() -> pa.RecordBatch:
-            names, planes = held.planes()
+            pair_a, pair_b, planes = held.planes()
             one = lambda values, kind=None: pa.array([values], pa.list_(kind)) if kind else pa.array([values])
             arrays = [pa.array([me + done], pa.int64())]
             ids = pa.concat_arrays(columns["ids"])
             arrays.append(pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids))
             arrays += [one(np.concatenate(columns[name]), pa.int64()) for name in _ZEROS]
             arrays.append(one(sum(columns["groups"], []), pa.string()))
-            arrays += [one((names >> 32).astype(np.int32), pa.int32()), one((names & 0xFFFFFFFF).astype(np.int32), pa.int32())]
+            arrays += [one(pair_a, pa.int32()), one(pair_b, pa.int32())]
             kind = pa.struct({"sizes": pa.binary(), "sparse": pa.binary(), "dense": pa.binary()})
             arrays.append(one(planes, kind))
             return pa.RecordBatch.from_arrays(arrays, names=schema.names)

@@ -93,9 +93,11 @@ def table_of(spark, docs):
 def test_words_are_encoded_as_whole_texts():
     rng = random.Random(4)
     texts = ["".join(rng.choices(["a", "B", " ", " ", "\n", "\t", "é", "9", "'s", ".", " ", "word"], k=rng.randint(0, 14))) for _ in range(3000)]
-    offsets, ids = pair_bitmaps.byte_level(A).column(pa.array(texts))
-    for i, text in enumerate(texts):
-        assert ids[offsets[i] : offsets[i + 1]].tolist() == FIRST.encode(" " + text, add_special_tokens=False).ids, repr(text)
+    both = pair_bitmaps.encoded(pa.array(texts), [pair_bitmaps.byte_level(A), pair_bitmaps.piece_model(B)])
+    for (ids, offsets), encode in zip(both, (lambda t: FIRST.encode(" " + t, add_special_tokens=False).ids, SECOND.encode)):
+        for i, text in enumerate(texts):
+            want = encode(text) if tokens(text)[0] else []
+            assert ids[offsets[i] : offsets[i + 1]].tolist() == want, repr(text)
 
 
 @pytest.mark.parametrize("slice_bytes, block_bytes, block_docs", [(2 << 20, 8 << 20, 1 << 16), (40, 400, 5), (9_000, 30_000, 1 << 16)])
