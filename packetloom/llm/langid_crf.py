@@ -24,10 +24,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from packetloom.llm.tables import first_by_hash
 from packetloom.llm.words import SPACED, slices, words
 
 TEXT_BYTES = 4 << 20
@@ -162,11 +163,10 @@ class Crf:
 
 
 def _sample(labelled: DataFrame, text: str, lang: str, per_language: int, words_each: int) -> list:
-    """(language, words) of at most ``per_language`` rows a language; ties by text."""
+    """(language, words) of at most ``per_language`` different texts a language."""
     rows = labelled.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"))
     rows = rows.where("lang is not null and text is not null")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    rows = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language)
+    rows = first_by_hash(rows, "lang", ["text"], per_language)
     all_words = F.split(F.trim("text"), r"\s+")
     each, runs = words_each // 8, 8
     spread = F.flatten(

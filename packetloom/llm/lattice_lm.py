@@ -39,7 +39,6 @@ from packetloom.session import written
 
 TEXT_BYTES = 4 << 20
 HEAVY = 1 << 19
-LONGEST = 16
 _CELLS = 1 << 19
 _NONE = -np.inf
 
@@ -62,7 +61,7 @@ def vocabulary(path: str) -> tuple[list[bytes], np.ndarray]:
     for i in scores:
         name = model.id_to_piece(i).replace("▁", "").encode()
         name = bytes(b + 32 if 65 <= b <= 90 else b for b in name)
-        if 0 < len(name) <= LONGEST:
+        if name:
             value = 1 / (3 - scores[i]) if ranked else math.exp(scores[i])
             weight[name] = weight.get(name, 0.0) + value
     least = min(weight.values(), default=1.0)
@@ -88,21 +87,22 @@ class Lattice:
     def totals(self, longest: int = 4096) -> np.ndarray:
         """Log of the summed weights of all words of each byte length; the last holds beyond it."""
         first, later = (
-            np.bincount([len(n) for n in self.names], np.exp(p), LONGEST + 1) for p in (self.first, self.later)
+            np.bincount([len(n) for n in self.names], np.exp(p), self.longest + 1) for p in (self.first, self.later)
         )
         rest = np.zeros(longest + 1)
         rest[0] = 1
         for m in range(1, longest + 1):
-            k = min(m, LONGEST)
+            k = min(m, self.longest)
             rest[m] = later[1 : k + 1] @ rest[m - k : m][::-1]
         out = np.zeros(longest + 1)
         for m in range(1, longest + 1):
-            k = min(m, LONGEST)
+            k = min(m, self.longest)
             out[m] = first[1 : k + 1] @ rest[m - k : m][::-1]
         return np.log(np.maximum(out, 1e-300))
 
     def __post_init__(self):
         self.tables, self.long = {}, {}
+        self.longest = max(map(len, self.names))
         for size in range(1, 9):
             mine = [i for i, n in enumerate(self.names) if len(n) == size]
             keys = np.array([int.from_bytes(self.names[i], "big") for i in mine], np.uint64)
@@ -126,7 +126,7 @@ class Lattice:
             raw = m.astype(np.uint8).tobytes()
             for i, j in np.argwhere(self.heads[at] == packed).tolist():
                 base = i * size
-                for k in range(9, min(LONGEST, size - j) + 1):
+                for k in range(9, min(self.longest, size - j) + 1):
                     piece = self.long.get(raw[base + j : base + j + k])
                     if piece is not None:
                         if k not in out:
@@ -289,12 +289,13 @@ def score(
     rounds: int = 2,
     heavy: int = HEAVY,
 ) -> DataFrame:
-    """doc_id, training, n_tokens, n_known, train_tokens, base_score, score, for every row.
+    """doc_id, training, n_tokens, n_known, train_tokens, base_score, score, lattice_score, for every row.
 
     Learns from rows for which ``training`` holds (null: not) and scores all. A-Z are
     lower-cased and words split at ASCII white space; the end of a text is a token, so a null
     or empty text has one. ``score`` is log10 of the model's probability of the text,
-    ``base_score`` that of add-one word counts. Repeated rows are learnt from and scored one
+    ``base_score`` that of add-one word counts, ``lattice_score`` that of the lattice alone, with
+    the training text's share of words and ends. Repeated rows are learnt from and scored one
     by one. Without training rows all words are unknown and scored by the vocabulary alone.
     """
     spark = docs.sparkSession
@@ -319,14 +320,16 @@ def score(
     score_of = F.when(F.col("c") == 0, new).otherwise(own) - F.lit(math.log10(tokens + 2))
     scored = written(
         _piece_scores(counts, model, length_shares(counts)).select(
-            "word", "a", base_of, score_of.alias("score"), (F.col("c") > 0).cast("int").alias("known")
+            "word", "a", base_of, score_of.alias("score"), (F.col("c") > 0).cast("int").alias("known"),
+            (F.col("lattice") / F.lit(math.log(10)) + math.log10(n + 1) - math.log10(tokens + 2)).alias("lattice"),
         ),
         "word-scores",
     )
     limit = max(1, -(-everywhere // heavy))
-    often = scored.where(F.col("a") >= limit).select("word", "base", "score", "known").toArrow().combine_chunks()
-    sent = spark.sparkContext.broadcast([often.column(i).combine_chunks() for i in range(4)])  # at most ``heavy`` words
-    end = (math.log10(ends + 1) - math.log10(tokens + kinds + 1), math.log10(ends + 1) - math.log10(tokens + 2), int(ends > 0))
+    often = scored.where(F.col("a") >= limit).select("word", "base", "score", "known", "lattice").toArrow().combine_chunks()
+    sent = spark.sparkContext.broadcast([often.column(i).combine_chunks() for i in range(5)])  # at most ``heavy`` words
+    last = math.log10(ends + 1) - math.log10(tokens + 2)
+    end = (math.log10(ends + 1) - math.log10(tokens + kinds + 1), last, int(ends > 0), last)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names_often, *values = sent.value
@@ -360,7 +363,7 @@ def score(
     schema = T.StructType([*schema.fields, *carried, *T._parse_datatype_string(_OWN).fields])
     parts = keyed.mapInArrow(run, schema)
     rare = scored.where(F.col("a") < limit).select(
-        "word", F.col("base").alias("rare_base"), F.col("score").alias("rare_score"), "known"
+        "word", F.col("base").alias("rare_base"), F.col("score").alias("rare_score"), "known", F.col("lattice").alias("rare_lattice")
     )
     joined = parts.join(rare, "word", "left")
 
@@ -377,9 +380,10 @@ def score(
             F.lit(tokens).cast("long").alias("train_tokens"),
             total("own_base", "rare_base").alias("base_score"),
             total("own_score", "rare_score").alias("score"),
+            total("own_lattice", "rare_lattice").alias("lattice_score"),
         )
         .drop("key")
     )
 
 
-_OWN = "n_tokens double, own_base double, own_score double, own_known double"
+_OWN = "n_tokens double, own_base double, own_score double, own_known double, own_lattice double"

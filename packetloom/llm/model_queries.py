@@ -17,5 +17,6 @@ def op3_lattice_lm(spark, folder):
     path = public_tokenizers.path("piece_bpe_32k.model")
     found = lattice_lm.score(docs, path, remainder("doc_id", 7) != 2)
     return found.select(
-        "doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+        "doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score",
+        "lattice_score",
     )

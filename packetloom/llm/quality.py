@@ -205,9 +205,10 @@ def _train(rows: list[tuple[np.ndarray, np.ndarray, float]], epochs: int) -> tup
 
 
 def fit(docs: DataFrame, *, text: str = "text", sample: int = 6000, epochs: int = 8) -> Scorer:
-    """Labellers' accuracies from all texts, and the scorer from about ``sample`` of them.
+    """Labellers' accuracies from all texts, and the scorer from at most ``sample`` of them.
 
-    The sample is the texts whose hash falls below a bound; it does not depend on their order.
+    The sample is the different texts that come first by hash; it does not depend on their order,
+    and a text that is a large share of the table is in it once.
     """
     source = docs.select(F.col(f"`{text}`").alias("text"))
 
@@ -220,10 +221,11 @@ def fit(docs: DataFrame, *, text: str = "text", sample: int = 6000, epochs: int
     found = source.mapInArrow(voted, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
     counts = {int(k): int(n) for k, n in found.collect()}  # at most 3 ** 8
     posterior, accuracies, prior = fit_labels(counts, len(LABELLERS))
-    total = sum(counts.values())
-    few = source.where("text is not null")
-    if total > sample:
-        few = few.where(F.xxhash64("text") < F.lit(2**64 * sample // total - 2**63))
+    few = source.where("text is not null").withColumn("hash", F.xxhash64("text"))
+    different = few.agg(F.approx_count_distinct("hash")).first()[0]
+    if different > 2 * sample:
+        few = few.where(F.col("hash") < F.lit(2**64 * (sample + 200) // different * 5 // 4 - 2**63))
+    few = few.dropDuplicates(["text"]).select("text", "hash")
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,9 +241,10 @@ def fit(docs: DataFrame, *, text: str = "text", sample: int = 6000, epochs: int
                     at, n = np.unique(here, return_counts=True)
                     places.append(at.astype(np.int32).tobytes())
                     shares.append((n / max(b - a, 1)).astype(np.float32).tobytes())
-                yield pa.RecordBatch.from_pydict({"pattern": keys, "places": places, "shares": shares})
+                yield pa.RecordBatch.from_pydict({"pattern": keys, "places": places, "shares": shares, "hash": piece.column(1)})
 
-    rows = few.mapInArrow(featured, "pattern long, places binary, shares binary").orderBy("pattern", "places").toArrow()
+    rows = few.mapInArrow(featured, "pattern long, places binary, shares binary, hash long")
+    rows = rows.orderBy("hash", "places", "shares").limit(sample).toArrow()  # at most ``sample`` rows
     data = [
         (np.frombuffer(p, np.int32), np.frombuffer(s, np.float32), posterior[k])
         for k, p, s in zip(rows["pattern"].to_pylist(), rows["places"].to_pylist(), rows["shares"].to_pylist())

@@ -17,7 +17,8 @@ RULES = (
     ("net", "/fr/", "block"),
 )
 
-SQL = r"""
+_LONG = ", ".join(f"'{x}'" for x in url_reputation.LONG_SUFFIXES)
+SQL = rf"""
 with parts as (
   select page_id, html,
     translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 1, 's'), ''),
@@ -27,15 +28,15 @@ with parts as (
 counts as (
   select host, count(html) as n,
     coalesce(sum(regexp_matches(html,
-      '[%#$*]{3}\s|&amp;&amp;&amp;|(?i:\b(?:idiots?|morons?|worthless)\b)')::int), 0)::double as bad,
+      '[%#$*]{{3}}\s|&amp;&amp;&amp;|(?i:\b(?:idiots?|morons?|worthless)\b)')::int), 0)::double as bad,
     regexp_replace(regexp_replace(host, '^.*@', ''), ':\d*$', '') as bare
   from parts group by host),
 named as (
   select *, case when regexp_matches(bare, '^[0-9.]+$|^\[') then bare
-    else array_to_string(string_split(bare, '.')[-1:], '.') end as suffix,
+    else array_to_string(string_split(bare, '.')[(case when last in ({_LONG}) then -2 else -1 end):], '.') end as suffix,
     case when regexp_matches(bare, '^[0-9.]+$|^\[') then bare
-    else array_to_string(string_split(bare, '.')[-2:], '.') end as domain
-  from counts),
+    else array_to_string(string_split(bare, '.')[(case when last in ({_LONG}) then -3 else -2 end):], '.') end as domain
+  from (select *, array_to_string(string_split(bare, '.')[-2:], '.') as last from counts)),
 whole as (select (coalesce(sum(bad), 0) + 0.5) / (coalesce(sum(n), 0) + 1) as mu from named),
 s0 as (select suffix, sum(n) as n, sum(bad) as bad, any_value(mu) as mu from named, whole group by suffix),
 sw as (select case when sum(n * mu * (1 - mu) * (n - 1)) > 0 then

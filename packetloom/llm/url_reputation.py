@@ -7,7 +7,8 @@ the spread between the groups of that level. A host is blocked if the lower boun
 posterior bad rate reaches a limit.
 
 Everything is joins and sums: counts are taken per task before the shuffle, so a host with
-a third of all pages costs one row per task, and Spark splits its join.
+a third of all pages costs one row per task, and in the join it is dealt over many keys.
+Every level is a written table, and the strength of its prior one number.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ from pyspark.sql import functions as F
 
 from packetloom.session import written
 
-# Public suffixes of two labels; any other name's suffix is its last label.
+# Some public suffixes of two labels, where no table of them is given; any other
+# name's suffix is its last label.
 LONG_SUFFIXES = (
     "ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.ar", "com.au", "com.br",
     "com.cn", "com.mx", "com.tr", "gov.uk", "ne.jp", "net.au", "or.jp", "org.au", "org.uk",
@@ -45,54 +47,75 @@ def page_outcome(html: Column) -> Column:
     return F.regexp_like(html, F.lit(BAD_PAGE)).cast("int")
 
 
-def _domain_columns(host: Column) -> tuple[Column, Column]:
-    bare = F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":\d*$", "")
-    numeric = F.regexp_like(bare, F.lit(r"^[0-9.]+$|^\["))
-    last = {n: F.substring_index(bare, ".", -n) for n in (1, 2, 3)}
-    long = last[2].isin(*LONG_SUFFIXES)
-    suffix = F.when(numeric, bare).when(long, last[2]).otherwise(last[1])
-    domain = F.when(numeric, bare).when(long, last[3]).otherwise(last[2])
-    return domain, suffix
+def with_domain(hosts: DataFrame, suffixes: Iterable[str] | DataFrame = LONG_SUFFIXES) -> DataFrame:
+    """Hosts with their registered domain and public suffix.
 
-
-def host_counts(pages: DataFrame, url: str = "url", outcome: str = "outcome") -> DataFrame:
+    ``suffixes`` are public suffixes of two labels or more, names or a table with a column
+    ``suffix``; the longest that ends a host is its suffix, else the last label is. Numeric
+    addresses stand for themselves.
+    """
+    spark = hosts.sparkSession
+    if not isinstance(suffixes, DataFrame):
+        suffixes = spark.createDataFrame([(x,) for x in suffixes], "suffix string")
+    bare = F.regexp_replace(F.regexp_replace("host", r"^.*@", ""), r":\d*$", "")
+    named = hosts.withColumn("_bare", bare).withColumn("_labels", F.split("_bare", r"\."))
+    n = F.size("_labels")
+    tail = lambda k: F.array_join(F.slice("_labels", F.greatest(n - k + 1, F.lit(1)), k), ".")
+    tails = F.when(n >= 2, F.transform(F.sequence(F.lit(2), n), lambda k: F.struct(k.alias("k"), tail(k).alias("tail"))))
+    known = suffixes.select(F.lower("suffix").alias("_suffix")).distinct()
+    found = (
+        named.select("host", F.explode(tails).alias("t"))
+        .join(known, F.col("t.tail") == F.col("_suffix"))
+        .groupBy("host")
+        .agg(F.max("t.k").alias("_k"))
+        .withColumnRenamed("host", "_host")
+    )
+    k = F.coalesce("_k", F.lit(1))
+    numeric = F.regexp_like("_bare", F.lit(r"^[0-9.]+$|^\["))
+    rows = named.join(found, F.col("host") == F.col("_host"), "left")
+    return rows.withColumns(
+        {
+            "domain": F.when(numeric, F.col("_bare")).otherwise(tail(k + 1)),
+            "suffix": F.when(numeric, F.col("_bare")).otherwise(tail(k)),
+        }
+    ).drop("_bare", "_labels", "_host", "_k")
+
+
+def host_counts(
+    pages: DataFrame, url: str = "url", outcome: str = "outcome", suffixes: Iterable[str] | DataFrame = LONG_SUFFIXES
+) -> DataFrame:
     """Pages, labelled pages and bad pages of each host, with its domain and suffix."""
-    host = url_host(F.col(url))
-    domain, suffix = _domain_columns(F.col("host"))
-    return (
-        pages.select(host.alias("host"), F.col(outcome).cast("double").alias("y"))
+    counts = (
+        pages.select(url_host(F.col(url)).alias("host"), F.col(outcome).cast("double").alias("y"))
         .groupBy("host")
         .agg(
             F.count(F.lit(1)).alias("pages"),
             F.count("y").alias("n"),
             F.coalesce(F.sum("y"), F.lit(0.0)).alias("bad"),
         )
-        .withColumns({"domain": domain, "suffix": suffix})
     )
+    return with_domain(written(counts, "hosts"), suffixes)
 
 
-def _strength(groups: DataFrame) -> DataFrame:
+def _strength(groups: DataFrame) -> float:
     """Weight of the prior (a + b) from the groups' spread about their parents' rate ``mu``.
 
     Moments of the beta-binomial: E (y - n mu)^2 = n mu (1 - mu) (1 + (n - 1) rho); the
-    weight is 1 / rho - 1, held between 1 and 10,000; 1 where no group has two labels. One row.
+    weight is 1 / rho - 1, held between 1 and 10,000; 1 where no group has two labels.
     """
     flat = F.col("n") * F.col("mu") * (1 - F.col("mu"))
     twice = F.sum(flat * (F.col("n") - 1))
     rho = (F.sum(F.pow(F.col("bad") - F.col("n") * F.col("mu"), 2)) - F.sum(flat)) / twice
     weight = F.least(F.greatest(1 / F.greatest(rho, F.lit(1e-9)) - 1, F.lit(1.0)), F.lit(1e4))
-    return groups.agg(F.when(twice > 0, weight).otherwise(F.lit(1.0)).alias("weight"))
+    return groups.agg(F.when(twice > 0, weight).otherwise(F.lit(1.0))).first()[0]  # one number
 
 
-def _shrunk(groups: DataFrame) -> DataFrame:
+def _shrunk(groups: DataFrame, label: str) -> DataFrame:
     """Adds the posterior's mean and weight (a + b) from ``bad``, ``n`` and the parent's ``mu``."""
-    total = F.col("n") + F.col("weight")
-    mean = (F.col("bad") + F.col("weight") * F.col("mu")) / total
-    return (
-        groups.crossJoin(F.broadcast(_strength(groups)))  # one row
-        .withColumns({"mean": mean, "total": total})
-        .drop("weight")
-    )
+    groups = written(groups, label)
+    weight = F.lit(_strength(groups))
+    total = F.col("n") + weight
+    return groups.withColumns({"mean": (F.col("bad") + weight * F.col("mu")) / total, "total": total})
 
 
 def reputation(counts: DataFrame) -> DataFrame:
@@ -103,20 +126,34 @@ def reputation(counts: DataFrame) -> DataFrame:
     near zero.
     """
     sums = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
-    suffixes = counts.groupBy("suffix").agg(*sums)
-    domains = counts.groupBy("domain", "suffix").agg(*sums)
     whole = counts.agg(
-        ((F.coalesce(F.sum("bad"), F.lit(0.0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0)) + 1)).alias("mu")
-    )
-    suffixes = _shrunk(suffixes.crossJoin(F.broadcast(whole)))  # one row
-    domains = _shrunk(domains.join(suffixes.select("suffix", F.col("mean").alias("mu")), "suffix"))
-    hosts = _shrunk(
-        counts.join(domains.select("domain", "suffix", F.col("mean").alias("mu")), ["domain", "suffix"])
-    )
+        (F.coalesce(F.sum("bad"), F.lit(0.0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0)) + 1)
+    ).first()[0]  # one number
+    suffixes = _shrunk(counts.groupBy("suffix").agg(*sums).withColumn("mu", F.lit(whole)), "suffixes")
+    domains = counts.groupBy("domain", "suffix").agg(*sums)
+    domains = _shrunk(domains.join(suffixes.select("suffix", F.col("mean").alias("mu")), "suffix"), "domains")
+    hosts = counts.join(domains.select("domain", "suffix", F.col("mean").alias("mu")), ["domain", "suffix"])
+    hosts = _shrunk(hosts, "host-rates")
     deviation = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("total") + 1))
     return hosts.select("host", "pages", "n", "bad", "mean", deviation.alias("deviation"))
 
 
+#: Parts of all pages from which a host counts as hot, and is dealt over as many keys as it has such parts.
+HOT_SHARE = 1 / 64
+
+
+def _dealt(pages: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pages with ``_deal`` and hosts once for each of their deals, so that no host is one task."""
+    total = known.agg(F.sum("pages")).first()[0] or 0
+    known = known.withColumn("_deals", F.greatest(F.lit(1), F.ceil(F.col("pages") / F.lit(max(total * HOT_SHARE, 1.0)))).cast("int"))
+    # fewer than 1 / HOT_SHARE rows
+    hot = known.where("_deals > 1").select(F.col("_h").alias("_hot"), F.col("_deals").alias("_of"))
+    pages = pages.join(F.broadcast(hot), F.col("_host") == F.col("_hot"), "left")
+    deal = F.pmod(F.monotonically_increasing_id(), F.coalesce("_of", F.lit(1))).cast("int")
+    pages = pages.withColumn("_deal", deal).drop("_hot", "_of")
+    return pages, known.withColumn("_d", F.explode(F.sequence(F.lit(0), F.col("_deals") - 1))).drop("pages", "_deals")
+
+
 def host_rules(hosts: DataFrame, rules: DataFrame) -> DataFrame:
     """host, rules: those that fit the host or a parent of it, longest first, one array per host.
 
@@ -154,12 +191,13 @@ def judge(
     outcome: str = "outcome",
     limit: float = 0.10,
     deviations: float = 1.28,
+    suffixes: Iterable[str] | DataFrame = LONG_SUFFIXES,
 ) -> DataFrame:
     """Every page with ``host``, ``path``, ``rule``, ``bad_rate``, ``bad_bound`` and ``verdict``.
 
     The longest fitting rule decides (``allow`` or ``block``); without one, a host whose
     posterior bad rate less ``deviations`` standard deviations is at least ``limit`` is
-    blocked. ``rules``: (host, path, action) rows. A null url, or one without ``://``, has an
+    blocked. ``rules``: (host, path, action) rows; ``suffixes`` as for :func:`with_domain`. A null url, or one without ``://``, has an
     empty host and path; such pages share the reputation of the empty host. Columns of
     ``pages`` with the added names are replaced; repeated rows are judged one by one.
     """
@@ -167,19 +205,21 @@ def judge(
     if not isinstance(rules, DataFrame):
         rules = spark.createDataFrame(list(rules), "host string, path string, action string")
     added = ("host", "path", "rule", "bad_rate", "bad_bound", "verdict")
-    counts = written(host_counts(pages, url, outcome), "host-counts")
+    counts = written(host_counts(pages, url, outcome, suffixes), "host-counts")
     known = reputation(counts)
     known = known.join(host_rules(known.select("host"), rules), "host", "left").select(
         F.col("host").alias("_h"),
+        "pages",
         F.col("mean").alias("_mean"),
         F.greatest(F.lit(0.0), F.col("mean") - F.lit(deviations) * F.col("deviation")).alias("_bound"),
         F.col("rules").alias("_rules"),
     )
     fit = F.filter("_rules", lambda r: F.startswith(F.col("_path"), r["path"]))
     keep = [F.col(f"`{c}`") for c in pages.columns if c not in added]
+    parts = pages.select(*keep, url_host(F.col(url)).alias("_host"), url_path(F.col(url)).alias("_path"))
+    parts, known = _dealt(parts, written(known, "known-hosts"))
     return (
-        pages.select(*keep, url_host(F.col(url)).alias("_host"), url_path(F.col(url)).alias("_path"))
-        .join(known, F.col("_host") == F.col("_h"), "left")
+        parts.join(known, (F.col("_host") == F.col("_h")) & (F.col("_deal") == F.col("_d")), "left")
         .withColumn("_fit", F.try_element_at(fit, F.lit(1)))
         .select(
             *keep,

@@ -78,6 +78,16 @@ def test_documents_equal_plain_counts(spark, data, heavy):
     n, v = sum(c.values()) + ends, len(c) + 1
     got = lm.score(docs, PATH, remainder("doc_id", 7) != 2, heavy=heavy).collect()
     assert len(got) == len(rows)
+    # the model again, word by word
+    counts = lm.word_counts(docs, "text", remainder("doc_id", 7) != 2)
+    model, shares = lm.trained(counts, *lm.vocabulary(PATH)), lm.length_shares(counts)
+    every = sorted({w for r in rows for w in words_of(r.text)})
+    weight = model.words(pa.array(every, pa.binary())) + lm.length_scores(np.array([len(w) for w in every]), shares, model.totals())
+    weight = dict(zip(every, weight.tolist()))
+    of = Counter(c.values())
+    d = lm.discounts(*(of[k] for k in range(1, 5)))
+    off = {w: d[min(k, 3) - 1] for w, k in c.items()}
+    spare = sum(off.values()) + 1
     texts = {r.doc_id: r.text for r in rows}
     held = [0.0, 0.0]
     for r in got:
@@ -85,7 +95,10 @@ def test_documents_equal_plain_counts(spark, data, heavy):
         base = sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws) + math.log10((ends + 1) / (n + v + 1))
         assert math.isclose(r.base_score, base, rel_tol=1e-9) and r.train_tokens == n
         assert (r.n_tokens, r.n_known, r.training) == (len(ws) + 1, sum(c[w] > 0 for w in ws) + 1, train[r.doc_id])
-        assert r.score < 0
+        last = math.log10((ends + 1) / (n + 2))
+        score = sum(math.log10((c[w] - off.get(w, 0) + spare * math.exp(weight[w])) / (n + 2)) for w in ws) + last
+        pure = sum(weight[w] / math.log(10) + math.log10((sum(c.values()) + 1) / (n + 2)) for w in ws) + last
+        assert math.isclose(r.score, score, rel_tol=1e-6) and math.isclose(r.lattice_score, pure, rel_tol=1e-6)
         if not r.training:
             held = [held[0] + r.score, held[1] + r.base_score]
     chars = sum(len(texts[r.doc_id] or "") for r in got if not r.training)
@@ -103,3 +116,12 @@ def test_odd_rows(spark):
     assert lm.score(docs.limit(0), PATH, F.lit(True)).count() == 0
     alone = lm.score(docs, PATH, F.lit(False)).collect()
     assert all(r.n_known == 0 and r.train_tokens == 0 and math.isfinite(r.score) for r in alone)
+
+
+def test_long_pieces_count():
+    names, weights = lm.vocabulary(PATH)
+    longest = max(names, key=len)
+    assert len(longest) > 16
+    model = lm.Lattice.started(names, weights)
+    without = lm.Lattice.started([n for n in names if n != longest], np.array([w for n, w in zip(names, weights) if n != longest]))
+    assert model.words(pa.array([longest], pa.binary()))[0] > without.words(pa.array([longest], pa.binary()))[0]

@@ -55,3 +55,29 @@ def test_odd_rows(spark, n):
         assert 0 <= r.quality_score <= 1 and 0 <= r.weak_label <= 1
         if not (r.text or "").strip():
             assert r.quality_score == 0 and not r.keep
+
+
+def test_sample_is_bounded_and_of_different_texts(spark, monkeypatch):
+    rows = [("one common text of some words. It is a third of all.",)] * 400 + [(f"Text number {i} goes on. It has words {i * 7}.",) for i in range(800)]
+    docs = spark.createDataFrame(rows, "text string")
+    seen = []
+    monkeypatch.setattr(q, "_train", lambda data, epochs: seen.append(data) or (np.zeros(q.TABLE), 0.0))
+    q.fit(docs, sample=50)
+    assert len(seen[0]) == 50 and len({(p.tobytes(), s.tobytes()) for p, s, _ in seen[0]}) == 50
+
+
+def test_scores_equal_plain_computation(spark, data):
+    """Votes, posterior and scorer again, text by text."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("text")
+    model = q.fit(docs)
+    for r in q.score(docs, model).collect():
+        v = q.votes(pa.array([r.text or ""]))
+        assert r.weak_label == pytest.approx(model.posterior[int(q.pattern(v)[0])] if (r.text or "").split() else 0.0)
+        names = (r.text or "").encode().split()
+        if not names:
+            continue
+        table = dict(zip(names, q.word_features(pa.array([n.decode() for n in names]))))
+        again = q.repeated(np.unique(names, return_inverse=True)[1], np.zeros(len(names), int))
+        places = [p for n, more in zip(names, again) for p in [*table[n], *([q.REPEAT] if more else [])]]
+        value = sum(model.weights[p] for p in places) / len(names) + model.bias
+        assert r.quality_score == pytest.approx(1 / (1 + np.exp(-value)), abs=1e-6)

@@ -62,3 +62,28 @@ def test_domains(spark):
     assert got["a.b.example.com"] == ("example.com", "com") and got["x.y.co.uk"] == ("y.co.uk", "co.uk")
     assert got["1.2.3.4"] == ("1.2.3.4", "1.2.3.4") and got["u@h.example.org:8080"] == ("example.org", "org")
     assert got["com"] == ("com", "com") and got[""] == ("", "")
+
+
+def test_suffix_table_and_sql_of_long_suffixes(spark, tmp_path):
+    hosts = spark.createDataFrame([("a.b.gov.br",), ("x.github.io",), ("p.q.r.sch.uk.example",)], "host string")
+    got = {r.host: (r.domain, r.suffix) for r in ur.with_domain(hosts, spark.createDataFrame([("gov.br",), ("GitHub.io",), ("sch.uk.example",)], "suffix string")).collect()}
+    assert got == {"a.b.gov.br": ("b.gov.br", "gov.br"), "x.github.io": ("x.github.io", "github.io"), "p.q.r.sch.uk.example": ("r.sch.uk.example", "sch.uk.example")}
+    rows = [(i, f"http://{h}/en/{i}", "worthless" if (i * 7 + len(h)) % 5 < bad else "fine") for i, (h, bad) in enumerate([(f"{a}.{b}.{s}", k) for s in ("co.uk", "uk", "com.au", "org") for k, b in enumerate("pqr") for a in "abcde" for _ in range(6)])]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = open_tables("/root/testdata/sf0.001")
+    con.execute(f"create or replace view pages as select * from read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    got = url_queries.op6_url_reputation(spark, str(tmp_path))
+    want = con.execute(url_queries.SQL)
+    columns = [c[0] for c in want.description]
+    result = rows_of(got.columns, [tuple(r) for r in got.collect()])
+    assert result == rows_of(columns, want.fetchall()) and {r[-1] for r in result} == {"allow", "block"}
+
+
+def test_a_hot_host_is_dealt_over_many_keys(spark):
+    pages = spark.createDataFrame([(i, "http://hot.org/" if i % 3 else f"http://h{i}.org/", i % 2) for i in range(900)], "page_id long, url string, outcome int")
+    known = ur.reputation(ur.host_counts(pages)).withColumnRenamed("host", "_h")
+    parts, dealt = ur._dealt(pages.withColumn("_host", ur.url_host(F.col("url"))), known)
+    shares = [r["count"] for r in parts.groupBy("_host", "_deal").count().collect()]
+    assert max(shares) < 60 and sum(shares) == 900
+    assert dealt.where("_h = 'hot.org'").count() == parts.where("_host = 'hot.org'").select("_deal").distinct().count()
+    assert ur.judge(pages, []).count() == 900
