@@ -2,7 +2,7 @@
 
 Equi-joins throughout and without hints: Spark broadcasts a list that its own
 size check finds small and shuffles one that is not. Ranges become equi-joins on
-address blocks, probed once per distinct address.
+aligned address blocks, probed once per distinct address.
 """
 
 from __future__ import annotations
@@ -99,37 +99,54 @@ def in_ranges(df: DataFrame, ip: str, ranges: DataFrame, out: str = "in_range")
     return _flagged(df, hits, ip, out)
 
 
-RANGE_BITS = 16
+def range_blocks(ranges: DataFrame, lo: str = "lo", hi: str = "hi") -> DataFrame:
+    """Address ranges as the fewest aligned blocks ``(width, block)`` of 2^width addresses.
+
+    A range has at most two blocks of each width: one that begins it and one that ends it, where
+    the range's inner part of wider blocks does not reach so far.
+    """
+    begin, end = F.col(lo).cast("bigint"), F.col(hi).cast("bigint") + 1
+    first = lambda s: F.call_function("shiftright", begin + F.call_function("shiftleft", F.lit(1).cast("bigint"), s) - 1, s)
+    last = lambda s: F.call_function("shiftright", end, s)
+
+    def blocks(s: Column) -> Column:
+        some = first(s) < last(s)
+        left = F.when(some & (first(s) % 2 == 1), F.struct(s.alias("width"), first(s).alias("block")))
+        right = F.when(some & (last(s) % 2 == 1), F.struct(s.alias("width"), (last(s) - 1).alias("block")))
+        return F.array(left, right)
+
+    every = F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(32)), blocks)))
+    return ranges.select("*", F.inline(every))
+
+
+def _address_blocks(df: DataFrame, ip: str, blocks: DataFrame) -> DataFrame:
+    """ip, width, block: each distinct address once for every width in use."""
+    widths = [r.width for r in blocks.select("width").distinct().collect()]  # 33 at most
+    each = F.explode(F.array(*[F.lit(w) for w in sorted(widths)]).cast("array<int>")).alias("width")
+    known = df.select(F.col(ip).alias("ip")).distinct().withColumn("_no", ip_number(F.col("ip")))
+    probes = known.where("_no is not null").select("ip", "_no", each)
+    return probes.withColumn("block", F.call_function("shiftright", "_no", "width")).drop("_no")
 
 
 def range_hits(df: DataFrame, ip: str, ranges: DataFrame, *keep: str) -> DataFrame:
-    """``(ip, *keep)`` for addresses in free ``[lo, hi]`` ranges, by shared /16 bucket."""
-    shift = 32 - RANGE_BITS
-    buckets = ranges.withColumn(
-        "_bucket",
-        F.explode(F.sequence(F.shiftright("lo", shift), F.shiftright("hi", shift))),
-    )
-    probes = (
-        df.select(F.col(ip).alias("ip"))
-        .distinct()
-        .withColumn("_no", ip_number(F.col("ip")))
-        .withColumn("_bucket", F.shiftright("_no", shift))
-    )
-    return (
-        probes.join(buckets, "_bucket").filter(F.col("_no").between(F.col("lo"), F.col("hi"))).select("ip", *keep)
-    )
+    """``(ip, *keep)`` for addresses in free ``[lo, hi]`` ranges; all candidates are hits."""
+    blocks = range_blocks(ranges).select("width", "block", *keep)
+    return _address_blocks(df, ip, blocks).join(blocks, ["width", "block"]).select("ip", *keep)
 
 
 def with_country(df: DataFrame, ip: str, blocks: DataFrame, unknown: str = "UNKNOWN") -> DataFrame:
     """Add ``country`` of an address from ``(lo, hi, country)`` blocks.
 
     Where blocks overlap, the smallest holds, of equal ones the first: rows are not multiplied.
+    Each aligned block has one owner before addresses meet it, so however many ranges
+    share a network, an address meets one candidate for each width.
     """
-    nearest = F.min_by("country", F.struct(F.col("hi") - F.col("lo"), "lo", "country"))
-    hits = range_hits(df, ip, blocks, "country", "lo", "hi").groupBy(F.col("ip").alias("_ip"))
-    hits = hits.agg(nearest.alias("country"))
+    rank = F.struct((F.col("hi") - F.col("lo")).alias("size"), "lo", "country")
+    owners = range_blocks(blocks).groupBy("width", "block").agg(F.min(rank).alias("_owner"))
+    hits = _address_blocks(df, ip, owners).join(owners, ["width", "block"])
+    hits = hits.groupBy(F.col("ip").alias("_ip")).agg(F.min("_owner").alias("_owner"))
     return (
-        df.join(hits, F.col(ip) == F.col("_ip"), "left")
+        df.join(hits.select("_ip", F.col("_owner.country").alias("country")), F.col(ip) == F.col("_ip"), "left")
         .withColumn("country", F.coalesce("country", F.lit(unknown)))
         .drop("_ip")
     )

@@ -241,3 +241,31 @@ def noalert_alerts(spark, folder):
     rules = option_rules(spark, COUNT_LINES[:3])
     alerts = match.match_packets(packet_heads(spark, folder), rules)
     return rule_options.noalert_removed(alerts, rules).select("packet_id", "sid")
+
+
+# Rules that name upstream events by option.
+EVENT_LINES = (
+    'alert http any any -> any any (msg:"error reported"; app-layer-event:error; sid:9300051;)',
+    'alert pkthdr any any -> any any (msg:"sign-up decoded"; decode-event:signup; sid:9300052;)',
+    'alert tcp any any -> any any (msg:"purchase in stream"; stream-event:purchase; sid:9300053;)',
+    'alert ip any any -> any any (msg:"bad sum"; ipv4-csum:invalid; sid:9300054;)',
+    'alert ip any any -> any any (msg:"good sum"; ipv4-csum:valid; sid:9300055;)',
+    'alert tcp any any -> any any (msg:"two names"; app-layer-event:error; stream-event:signup; sid:9300056;)',
+    'alert tcp any any -> any any (msg:"no event"; dsize:>10; sid:9300057;)',
+)
+
+
+@query(
+    "event_rules",
+    """
+with named as (select event_id, case when event_id % 50 = 0 then 'ipv4-csum' else event_type end as event_name from events)
+select event_id, sid, msg from named join (values ('9300051', 'error reported', 'error'), ('9300052', 'sign-up decoded', 'signup'),
+  ('9300053', 'purchase in stream', 'purchase'), ('9300054', 'bad sum', 'ipv4-csum'),
+  ('9300056', 'two names', 'error'), ('9300056', 'two names', 'signup')) t(sid, msg, event_name) using (event_name)""",
+)
+def event_rules(spark, folder):
+    """Upstream events, every fiftieth a failed checksum, against rules that name them by option."""
+    events = table(spark, folder, "events")
+    name = F.when(F.col("event_id") % 50 == 0, F.lit("ipv4-csum")).otherwise(F.col("event_type"))
+    rules = match.event_rules(option_rules(spark, EVENT_LINES)).select("sid", "msg", "event_name")
+    return match.match_events(events.select("event_id", name.alias("event_name")), rules).select("event_id", "sid", "msg")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from packetloom import schema
 from packetloom.functions.timing import epoch_us, from_epoch_us, ntz_epoch_us
-from packetloom.operators import lookup
+from packetloom.operators import lookup, rollup
 from packetloom.plans import fixtures as fx
 from packetloom.plans.registry import query
 from packetloom.plans.sql_parts import (
@@ -306,3 +306,21 @@ def stream_once_per_session(spark, folder):
             once = jobs.once_per_session(alerts, ["src_ip", "sid"], idle=f"{HOUR} seconds")
             jobs.finish(jobs.append_table(once.select("src_ip", "sid", "packet_id", "alerts"), trigger=jobs.NOW, **at))
     return spark.read.parquet(at["out"])
+
+
+@query(
+    "stream_connection_sketches",
+    f"with {HEADS}"
+    + f"""
+select {slot("us", 24 * HOUR)} as window_start, count(distinct (src_ip, dport)) as services
+from heads where dport is not null group by 1""",
+)
+def stream_connection_sketches(spark, folder):
+    """Different (source, port) pairs a day from hourly sketches that a stream has stored."""
+    at = places(spark, "sketches")
+    for arrived in arrivals(spark, folder, LATE):
+        heads = packets_from_events(arrived).where("dport is not null")
+        jobs.finish(jobs.start_sketches(heads, ["src_ip", "dport"], seconds=HOUR, trigger=jobs.NOW, **at))
+    day = (F.col("window_start") - F.pmod("window_start", F.lit(24 * HOUR * 1_000_000))).alias("window_start")
+    daily = rollup.merged_sketches(jobs.current(spark, at["out"], ["window_start"]), [day])
+    return daily.select("window_start", rollup.sketch_estimate().alias("services"))

@@ -23,7 +23,13 @@ from packetloom.operators.correlate import (
 from packetloom.operators.lookup import score_indicators
 from packetloom.operators.match import match_packets
 from packetloom.operators.ordered import first_rows
-from packetloom.operators.rollup import severity_rollup, traffic_rate
+from packetloom.operators.rollup import (
+    distinct_sketches,
+    merged_sketches,
+    severity_rollup,
+    traffic_rate,
+)
+from packetloom.session import written
 from packetloom.sources import alert_store
 from packetloom.sources.packets import ipv4_only, with_text_payload
 from packetloom.streaming.carry import (
@@ -326,6 +332,32 @@ def start_snapshots(
     )
 
 
+def start_sketches(
+    packets: DataFrame, of: Sequence[str], *, work: str, out: str, seconds: int = 60, trigger: dict | None = None
+) -> StreamingQuery:
+    """Distinct counts per window as stored sketches that days and batches can be merged from.
+
+    A batch merges its own sketches with the stored ones of the windows it has; merging the same
+    rows again changes nothing.
+    """
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        stored = UpdateTable(spark, out, ["window_start"])
+        new = written(distinct_sketches(batch, of, seconds), "sketches")
+        if stored.exists():
+            old = stored.read().join(new.select("window_start"), "window_start", "left_semi")
+            new = written(merged_sketches(new.unionByName(old), ["window_start"]), "sketches")
+        stored.write(new, batch_id)
+
+    return (
+        packets.writeStream.foreachBatch(run)
+        .option("checkpointLocation", f"{work}/checkpoint")
+        .trigger(**(trigger or {"processingTime": "3 seconds"}))
+        .start()
+    )
+
+
 def rates(packets: DataFrame, *, seconds: int = 60, delay: str = DELAY) -> DataFrame:
     """Tumbling traffic rates; in append mode a window comes out once it is closed."""
     return traffic_rate(packets.withWatermark("ts", delay), seconds)

@@ -123,6 +123,9 @@ class UpdateTable:
         for n in range(max(run - 1, 0) * RUN, run * RUN):
             self._remove(self._batch(n))
 
+    def exists(self) -> bool:
+        return any(x not in (None, []) for x in self.folders())
+
     def read(self) -> DataFrame:
         """The newest row of each key."""
         base, runs, batches = self.folders()
