@@ -204,3 +204,68 @@ def test_once_per_flow(spark, heads, folder, tmp_path):
     jobs.finish(jobs.append_table(once.select("src_ip", "sid"), trigger=jobs.NOW, **at))
     want = scored(spark, heads).select("src_ip", "sid").distinct()
     assert rows(spark.read.parquet(at["out"]), "src_ip", "sid") == rows(want, "src_ip", "sid")
+
+
+def test_unusual_ports_in_event_order(spark, heads, tmp_path):
+    """Shuffled files over five micro-batches, held back and flushed, equal the batch operator."""
+    path = tmp_path / "in"
+    split(heads.withColumn("any", F.xxhash64("packet_id")), path, 5, "any")
+    at = places(tmp_path)
+    span = heads.agg((F.max(F.unix_micros("ts")) - F.min(F.unix_micros("ts"))) / 1e6).first()[0] + 1
+    stream = spark.readStream.schema(heads.schema).option("maxFilesPerTrigger", "1").parquet(str(path))
+    jobs.finish(jobs.start_unusual_ports(stream, hold_seconds=span, trigger=jobs.NOW, **at))
+    columns = ("packet_id", "port", "sightings")
+    want = rows(anomaly.unusual_ports(heads), *columns)
+    assert rows(spark.read.parquet(at["out"]), *columns) != want
+    first = jobs.flush_unusual_ports(stream, hold_seconds=span, **at)
+    assert rows(spark.read.parquet(at["out"]), *columns) == want
+    # a flush may be run again, and the job may go on after it: its next batch replaces the flushed rows
+    assert jobs.flush_unusual_ports(stream, hold_seconds=span, **at) == first
+    assert rows(spark.read.parquet(at["out"]), *columns) == want
+    more = heads.limit(1).withColumn("ts", F.timestamp_micros(F.unix_micros("ts") + int(3 * span * 1e6))).withColumn("packet_id", F.lit(10**9))
+    more.coalesce(1).write.mode("append").parquet(str(path))
+    jobs.finish(jobs.start_unusual_ports(stream, hold_seconds=span, trigger=jobs.NOW, **at))
+    assert rows(spark.read.parquet(at["out"]), *columns) == want  # the new packet itself is held
+
+
+def test_flush_of_a_job_without_batches(spark, heads, tmp_path):
+    assert jobs.flush_unusual_ports(heads, hold_seconds=1, **places(tmp_path)) is None
+
+
+def test_flushed_escalation_equals_batch(spark, heads, tmp_path):
+    path = tmp_path / "in"
+    split(heads.withColumn("any", F.xxhash64("packet_id")), path, 3, "any")
+    at = places(tmp_path)
+    stream = spark.readStream.schema(heads.schema).option("maxFilesPerTrigger", "1").parquet(str(path))
+    alerts = jobs.matched_stream(stream, head_rules(spark))
+    how = {"window_seconds": 86_400, "hold_seconds": 400 * 86_400}
+    jobs.finish(jobs.start_escalation(alerts, trigger=jobs.NOW, **how, **at))
+    jobs.flush_escalation(alerts, **how, **at)
+    columns = ("packet_id", "sid", "escalated")
+    want = correlate.mark_escalated(jobs.matched_stream(heads, head_rules(spark)), window_seconds=86_400)
+    assert rows(spark.read.parquet(at["out"]), *columns) == rows(want, *columns)
+
+
+def test_once_per_session_lets_state_go(spark, heads, folder, tmp_path):
+    at = places(tmp_path)
+    alerts = jobs.matched_stream(stream_packets(spark, folder, **ONE_FILE), head_rules(spark)).select("src_ip", "sid", "ts", "packet_id")
+    query = jobs.append_table(jobs.once_per_session(alerts, ["src_ip", "sid"], idle="3600 seconds"), trigger=jobs.NOW, **at)
+    jobs.finish(query)
+    removed = sum(op["numRowsRemoved"] for p in query.recentProgress for op in p["stateOperators"])
+    assert removed > 0
+    got = spark.read.parquet(at["out"])
+    assert got.groupBy("src_ip", "sid", "packet_id").count().where("count > 1").isEmpty() and got.count() > 0
+
+
+def test_a_streamed_sketch_equals_the_batch_sketch(spark, heads, folder, tmp_path):
+    at = places(tmp_path)
+    jobs.finish(jobs.start_sketches(stream_packets(spark, folder, **ONE_FILE), ["src_ip", "dport"], seconds=86_400, trigger=jobs.NOW, **at))
+    want = rollup.distinct_sketches(heads, ["src_ip", "dport"], 86_400)
+    assert rows(jobs.current(spark, at["out"], ["window_start"]), "window_start", "sketch") == rows(want, "window_start", "sketch")
+
+
+def test_current_reads_few_folders(spark, heads, folder, tmp_path):
+    at = places(tmp_path)
+    jobs.finish(jobs.start_ip_scores(scored(spark, stream_packets(spark, folder, **ONE_FILE)), trigger=jobs.NOW, **at))
+    batch = scored(spark, heads)
+    assert rows(jobs.current(spark, at["out"], ["ip"]), "ip", "score", "alerts") == rows(correlate.ip_scores(batch), "ip", "score", "alerts")
