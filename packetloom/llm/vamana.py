@@ -6,6 +6,10 @@ batches of doubling size: a greedy search from the shard's middle proposes neigh
 pruning keeps those that no kept one is ``alpha`` times closer to. A query walks each shard's
 graph with a beam; what it finds is ranked by exact inner products in double precision.
 
+How wide the beam must be depends on the data, above all on the spread of the norms. Each shard
+tries it out when it is built: 64 of its vectors are searched for, and the beam is doubled
+until it finds nearly all that exact search finds, if need be up to the whole shard.
+
 Equal vectors are one node with their least ids, as many as an answer can name. So a vector
 that is a third of the table neither fills a shard nor hides its neighbours, and no answer
 changes, for equal scores rank by id.
@@ -13,18 +17,23 @@ changes, for equal scores rank by id.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetloom.session import written
 
 SHARD_ROWS = 8192
-#: Queries that meet a shard in one task.
-QUERY_ROWS = 4096
+#: Queries that walk a graph together.
+QUERY_ROWS = 512
 DEGREE, BEAM, ALPHA = 32, 64, 1.2
 SEARCH_BEAM = 96
+#: Vectors that a shard is tried out with, and the share of nearest ones that must be found.
+TRIAL, LEAST_RECALL = 64, 0.98
 
 
 def _distance(x: np.ndarray, norms: np.ndarray, q: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -150,7 +159,30 @@ def valid_vectors(vectors: DataFrame, vec_id: str, vector: str) -> DataFrame:
     return rows.where(F.size("v") == (size.s if size else -1))
 
 
-_SHARD = "shard int, ids binary, counts binary, vectors binary, graph binary, start int"
+def wide_enough(
+    x: np.ndarray, graph: np.ndarray, start: int, answers: int, beam: int = SEARCH_BEAM, least: float = LEAST_RECALL
+) -> int:
+    """The beam from ``beam`` on, doubling, with which searches for some of the vectors find their nearest."""
+    n = len(x)
+    k = min(answers + 1, n)
+    q = x[np.random.default_rng(7).permutation(n)[:TRIAL]].copy()
+    q[:, -1] = 0
+    score = q @ x.T
+    reached = np.partition(score, n - k, 1)[:, n - k]
+    norms = np.einsum("nd,nd->n", x, x)
+    while beam < n:
+        found, _ = beam_search(x, norms, graph, start, q, beam)
+        hit = (np.take_along_axis(score, np.maximum(found, 0), 1) >= reached[:, None]) & (found >= 0)
+        if np.minimum(hit.sum(1), k).sum() >= least * k * len(q):
+            break
+        beam *= 2
+    return min(beam, n)
+
+
+_SHARD = "shard int, ids binary, counts binary, vectors binary, graph binary, start int, beam int"
+_ARROW = pa.schema(
+    {"shard": pa.int32(), "ids": pa.binary(), "counts": pa.binary(), "vectors": pa.binary(), "graph": pa.binary(), "start": pa.int32(), "beam": pa.int32()}
+)
 
 
 def build_index(
@@ -170,8 +202,12 @@ def build_index(
     norm = F.aggregate("v", F.lit(0.0), lambda s, e: s + e * e)
     n, most = nodes.agg(F.count(F.lit(1)), F.max(norm)).first()
     shards = max(1, -(-n // shard_rows))
+    taken = pa.schema({"v": pa.list_(pa.float64()), "ids": pa.list_(pa.int64()), "shard": pa.int32()})
 
-    def build(key: tuple, table: pa.Table) -> pa.Table:
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches([b.cast(taken) for b in batches], taken)
+        if not len(table):
+            return
         v, ids = table["v"].combine_chunks(), table["ids"].combine_chunks()
         v = np.asarray(v.flatten(), np.float64).reshape(len(table), -1)
         counts = np.diff(ids.offsets.to_numpy()).astype(np.int32)
@@ -179,17 +215,51 @@ def build_index(
         x = np.concatenate((v, extra[:, None]), 1).astype(np.float32)
         graph, start = build_graph(x)
         row = {
-            "shard": pa.array([key[0].as_py()], pa.int32()),
-            "ids": [ids.flatten().to_numpy().tobytes()],
-            "counts": [counts.tobytes()],
-            "vectors": [np.ascontiguousarray(np.concatenate((v, extra[:, None]), 1)).tobytes()],
-            "graph": [graph.astype(np.int32).tobytes()],
-            "start": pa.array([start], pa.int32()),
-        }
-        return pa.table(row)
+            "shard": table["shard"][0].as_py(), "ids": ids.flatten().to_numpy().tobytes(), "counts": counts.tobytes(),
+            "vectors": np.ascontiguousarray(np.concatenate((v, extra[:, None]), 1)).tobytes(),
+            "graph": graph.astype(np.int32).tobytes(), "start": start, "beam": wide_enough(x, graph, start, answers),
+        }
+        yield pa.RecordBatch.from_pylist([row], _ARROW)
 
     dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int"))
-    return written(dealt.groupBy("shard").applyInArrow(build, _SHARD), "graphs")
+    # every shard is a task of its own
+    return written(dealt.repartitionById(shards, "shard").select("v", "ids", "shard").mapInArrow(build, _SHARD), "graphs")
+
+
+class _Shard:
+    """A shard as searches use it."""
+
+    def __init__(self, row: dict):
+        get = lambda name, kind: np.frombuffer(row[name], kind)
+        self.counts = get("counts", np.int32).astype(np.int64)
+        self.ids = get("ids", np.int64)
+        self.x = get("vectors", np.float64).reshape(len(self.counts), -1)
+        self.graph = get("graph", np.int32).reshape(len(self.counts), -1)
+        self.single = self.x.astype(np.float32)
+        self.norms = np.einsum("nd,nd->n", self.single, self.single)
+        self.first = np.cumsum(self.counts) - self.counts
+        self.start, self.beam = row["start"], row["beam"]
+
+    def answers(self, name: np.ndarray, q: np.ndarray, beam: int, answers: int) -> pa.RecordBatch:
+        """query_id, vec_id, score of the best that each query finds here."""
+        found: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
+        wide = np.concatenate((q, np.zeros((len(q), 1))), 1).astype(np.float32)
+        beam = min(max(beam, self.beam, answers + 1), len(self.counts))
+        nodes, _ = beam_search(self.single, self.norms, self.graph, self.start, wide, beam)
+        exact = np.einsum("qcd,qd->qc", self.x[np.maximum(nodes, 0), :-1], q)
+        for i in range(len(q)):
+            mine = nodes[i][nodes[i] >= 0]
+            n = self.counts[mine]
+            at = np.repeat(self.first[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            got, score = self.ids[at], np.repeat(exact[i][nodes[i] >= 0], n)
+            other = got != name[i]
+            got, score = got[other], score[other]
+            order = np.lexsort((got, -score))[:answers]
+            found["query_id"].append(np.full(len(order), name[i]))
+            found["vec_id"].append(got[order])
+            found["score"].append(score[order])
+        kinds = (np.int64, np.int64, np.float64)
+        return pa.RecordBatch.from_pydict({k: np.concatenate([np.zeros(0, t), *v]) for (k, v), t in zip(found.items(), kinds)})
 
 
 def search(
@@ -197,53 +267,47 @@ def search(
 ) -> DataFrame:
     """query_id, rank, vec_id, score for ``queries`` (query_id long, v array<double>).
 
-    Each block of queries meets each shard in one task; a row with the query's id is no
-    candidate. Fewer candidates than ``answers`` give fewer rows.
+    A task holds one shard, and queries pass it in batches. With fewer shards than cores the
+    queries are dealt to several tasks of a shard; with more, no shard is copied. A row
+    with the query's id is no candidate. Fewer candidates than ``answers`` give fewer rows.
     """
+    spark = index.sparkSession
     shards = [r.shard for r in index.select("shard").collect()]  # one number per shard
-    blocks = max(1, -(-queries.count() // query_rows))
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
-    asked = queries.select("query_id", "v", block.alias("block"), F.explode(F.array(*[F.lit(s) for s in shards])).alias("shard")) if shards else None
     out = "query_id long, vec_id long, score double"
-    if asked is None:
-        return index.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-
-    def walk(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        found: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
-        if len(left) and len(right):
-            get = lambda name, kind: np.frombuffer(left[name][0].as_py(), kind)
-            counts = get("counts", np.int32).astype(np.int64)
-            ids = get("ids", np.int64)
-            x = get("vectors", np.float64).reshape(len(counts), -1)
-            graph = get("graph", np.int32).reshape(len(counts), -1)
-            single = x.astype(np.float32)
-            norms = np.einsum("nd,nd->n", single, single)
-            first = np.cumsum(counts) - counts
-            name = right["query_id"].to_numpy()
-            q = np.asarray(right["v"].combine_chunks().flatten(), np.float64).reshape(len(name), -1)
-            for low in range(0, len(name), 512):
-                part = q[low : low + 512]
-                wide = np.concatenate((part, np.zeros((len(part), 1))), 1).astype(np.float32)
-                nodes, _ = beam_search(single, norms, graph, left["start"][0].as_py(), wide, max(beam, answers + 1))
-                exact = np.einsum("qcd,qd->qc", x[np.maximum(nodes, 0), :-1], part)
-                for i in range(len(part)):
-                    mine = nodes[i][nodes[i] >= 0]
-                    n = counts[mine]
-                    at = np.repeat(first[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                    got, score = ids[at], np.repeat(exact[i][nodes[i] >= 0], n)
-                    other = got != name[low + i]
-                    got, score = got[other], score[other]
-                    order = np.lexsort((got, -score))[:answers]
-                    found["query_id"].append(np.full(len(order), name[low + i]))
-                    found["vec_id"].append(got[order])
-                    found["score"].append(score[order])
-        kinds = (np.int64, np.int64, np.float64)
-        return pa.table({k: np.concatenate([np.zeros(0, t), *v]) for (k, v), t in zip(found.items(), kinds)})
-
-    stored = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    pairs = stored.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(walk, out)
+    if not shards:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    parts = max(1, -(-2 * spark.sparkContext.defaultParallelism // len(shards)))
+    place = F.create_map(*[F.lit(x) for k, s in enumerate(sorted(shards)) for x in (s, k * parts)]) if len(shards) < 1000 else None
+    first = place[F.col("shard")] if place is not None else F.col("shard") * parts
+    own = [c for c in index.columns if c != "shard"]
+    held = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    held = held.select((first + F.col("part")).cast("int").alias("cell"), *own)
+    part = F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int")
+    every = F.explode(F.array(*[F.lit(s) for s in shards])).alias("shard")
+    asked = queries.select("query_id", "v", part.alias("part"), every).select((first + F.col("part")).cast("int").alias("cell"), "query_id", "v")
+    both = held.unionByName(asked, allowMissingColumns=True)
+    cells = (len(shards) if place is not None else max(shards) + 1) * parts
+    dealt = both.repartitionById(cells, "cell").sortWithinPartitions("cell", F.asc_nulls_first("query_id"))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = None
+        for batch in batches:
+            begins = pc.is_null(batch.column("query_id")).to_numpy(zero_copy_only=False)
+            if begins.any():  # a task has one cell, and its shard comes first
+                k = int(begins.argmax())
+                shard = _Shard({name: batch.column(name)[k].as_py() for name in own})
+                batch = batch.filter(pa.array(~begins))
+            if shard is None or not batch.num_rows:
+                continue
+            name = batch.column("query_id").to_numpy()
+            q = np.asarray(batch.column("v").flatten(), np.float64).reshape(len(name), -1)
+            for low in range(0, len(name), query_rows):
+                step = slice(low, low + query_rows)
+                yield shard.answers(name[step], q[step], beam, answers)
+
+    found = dealt.mapInArrow(walk, out)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = pairs.dropDuplicates().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= answers)
+    ranked = found.dropDuplicates().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= answers)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 

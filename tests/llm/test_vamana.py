@@ -46,9 +46,10 @@ def test_table_recall(spark, data, shard_rows):
         assert found == sorted(found, key=lambda x: (-x[1], x[0]))
 
 
-def test_unequal_norms(spark):
+@pytest.mark.parametrize("scale", [0.3, 1.0, 2.0])
+def test_unequal_norms(spark, scale):
     rng = np.random.default_rng(0)
-    v = rng.normal(size=(1500, 12)) * rng.lognormal(0, 0.3, (1500, 1))
+    v = rng.normal(size=(1500, 12)) * rng.lognormal(0, scale, (1500, 1))
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
     assert recall(answers(vamana.nearest(df, shard_rows=600)), brute(np.arange(1500), v, 20, 20)) > 0.95
 
