@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from packetloom.functions.timing import epoch_us
 from packetloom.operators.match import flow_key
-from packetloom.operators.ordered import DAY, PIECE_ROWS, occurrence_number
+from packetloom.operators.ordered import DAY, PIECE_ROWS, first_rows, occurrence_number
 
 
 def _words(text: Column) -> Column:
@@ -121,9 +121,21 @@ def limited(
     keyed = known.where("limit_kind is not null").withColumns(
         {"_us": us, "_w": windowed, "_track": _tracked(alerts)}
     )
-    numbered = occurrence_number(
-        keyed, ["rule_key", "_track", "_w"], "_us", tie, slot_seconds=slot_seconds, piece_rows=piece_rows
-    )
+    keys, early = ["rule_key", "_track", "_w"], F.col("limit_kind").isin("limit", "both")
+    most, later = rules.agg(
+        F.max(F.when(early, F.col("limit_count"))), F.coalesce(F.bool_or(~early), F.lit(False))
+    ).first()  # one row
+    parts = []
+    if most is not None:  # only the first rows of a key can pass
+        order = [F.asc("_us"), F.asc(tie)]
+        parts.append(first_rows(keyed.where(early), keys, order, int(most), "occurrence"))
+    if later:
+        parts.append(
+            occurrence_number(keyed.where(~early), keys, "_us", tie, slot_seconds=slot_seconds, piece_rows=piece_rows)
+        )
+    if not parts:
+        return alerts
+    numbered = parts[0].unionByName(parts[1].select(*parts[0].columns)) if len(parts) == 2 else parts[0]
     n, count, factor = F.col("occurrence"), F.col("limit_count"), F.col("limit_factor")
     turns = F.round(F.log(n / count) / F.log(factor.cast("double")))
     power = F.when(factor > 1, count * F.pow(factor, turns) == n).otherwise(n == count)
