@@ -236,13 +236,15 @@ def stream_rate(spark, folder):
 
 @contextmanager
 def merged_locally(spark: SparkSession) -> Iterator[None]:
-    """Sessions of a hot key are merged in each task while a query starts and runs."""
-    old = spark.conf.get(jobs.LOCAL_MERGE)
+    """Sessions of a hot key are merged in each task, and their state is on disk, while a query starts and runs."""
+    old = {name: spark.conf.get(name) for name in (jobs.LOCAL_MERGE, jobs.STATE_STORE)}
     jobs.merge_sessions_locally(spark)
+    jobs.keep_state_on_disk(spark)
     try:
         yield
     finally:
-        spark.conf.set(jobs.LOCAL_MERGE, old)
+        for name, value in old.items():
+            spark.conf.set(name, value)
 
 
 @query(

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,7 +52,27 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     Paths are grouped by application, so they can be removed when it has ended.
     """
     app = spark.sparkContext.applicationId
-    return os.path.join(shared_root(spark), "packetloom", app, f"{label}-{uuid.uuid4().hex}")
+    return os.path.join(shared_root(spark), "packetloom", app, *_SCOPES, f"{label}-{uuid.uuid4().hex}")
+
+
+_SCOPES: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What the package writes to the shared folder inside goes when the block ends.
+
+    Use results, write them or collect them, before the block ends. Blocks may be nested.
+    """
+    app = spark.sparkContext.applicationId
+    folder = os.path.join(shared_root(spark), "packetloom", app, *_SCOPES, f"scope-{uuid.uuid4().hex}")
+    _SCOPES.append(os.path.basename(folder))
+    try:
+        yield
+    finally:
+        _SCOPES.pop()
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def clear_scratch(spark: SparkSession) -> bool:

@@ -388,6 +388,16 @@ def flow_sessions(
     )
 
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ON_DISK = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def keep_state_on_disk(spark: SparkSession) -> None:
+    """State of sessions, windows and de-duplication in RocksDB, for queries started from now on:
+    memory then holds a part of it, and it is stored in changes with each checkpoint."""
+    spark.conf.set(STATE_STORE, ON_DISK)
+
+
 LOCAL_MERGE = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,3 +97,17 @@ def test_small_pieces_of_options(spark, data):
     alerts = match.match_packets(packet_heads(spark, data), rules)
     a, b = (rule_options.limited(alerts, rules, piece_rows=n).select("packet_id", "sid") for n in (30, 10**6))
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_scratch_goes_with_its_block(spark, data):
+    heads = packet_heads(spark, data)
+    kept = session.written(heads.select("packet_id"), "kept")
+    with session.scratch(spark):
+        outer = session.written(heads.select("packet_id"), "outer")
+        with session.scratch(spark):
+            inner = session.written(outer, "inner")
+            assert inner.count() == outer.count() == heads.count()
+            folder = os.path.dirname(inner.inputFiles()[0].removeprefix("file:"))
+        assert not os.path.exists(folder) and outer.count() == heads.count()
+    assert kept.count() == heads.count()
+    assert not os.path.exists(os.path.dirname(os.path.dirname(folder)))
