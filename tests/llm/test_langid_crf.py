@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
+import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from packetloom.llm import langid_crf as lc
@@ -74,3 +78,33 @@ def test_query(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     assert got.count() == docs.count()
     assert {x[0] for x in got.select("lang_pred").distinct().collect()} <= {"en", "de", "fr", "es", "und"}
+
+
+def test_predictions_equal_plain_computation(spark, data, model):
+    """Word by word: features looked up, forward and backward over the text, mean over words with letters."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    a = np.exp(model.moves)
+    for r in lc.identify(docs, model).limit(80).collect():
+        lowered = "".join(c.lower() if "A" <= c <= "Z" else c for c in r.text or "")
+        names = [w for w in re.split(r"[ \t-\r]+", lowered) if w]
+        letters = [bool(regex.search(r"\p{L}", w)) for w in names]
+        if not any(letters):
+            assert r.lang_pred == "und" and r.score == 0
+            continue
+        e = np.stack([np.exp(model.scores(pa.array([w]))[0].astype(float)) for w in names])
+        f, b = np.zeros_like(e), np.ones_like(e)
+        for t in range(len(e)):
+            f[t] = e[t] * (f[t - 1] @ a if t else 1)
+            f[t] /= f[t].sum()
+        for t in range(len(e) - 2, -1, -1):
+            b[t] = a @ (e[t + 1] * b[t + 1])
+            b[t] /= b[t].sum()
+        p = f * b / (f * b).sum(1, keepdims=True)
+        mean = p[np.array(letters)].mean(0)
+        assert r.lang_pred == model.languages[int(mean.argmax())] and r.score == pytest.approx(mean.max(), abs=1e-5)
+
+
+def test_sample_of_a_hot_text(spark):
+    rows = [("en", "the same words and no others")] * 300 + [("en", f"the words of text {i}") for i in range(100)] + [("de", f"der text {i}") for i in range(5)]
+    got = lc._sample(spark.createDataFrame(rows, "lang string, text string"), "text", "lang", 20, 400)
+    assert sum(r.lang == "en" for r in got) == 20 and len({(r.lang, tuple(r.w)) for r in got}) == len(got) == 25

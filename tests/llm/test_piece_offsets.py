@@ -75,3 +75,10 @@ def test_frames(spark, library):
     again = piece_offsets.decode(got, PATH).collect()
     assert all(r.decoded == r.back for r in again)
     assert piece_offsets.encode(docs.limit(0), PATH).count() == 0
+
+
+def test_given_table_equals_library(spark, data, library):
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    for r in piece_offsets.encode(docs.withColumn("t", docs.text), PATH, decoded="d").collect():
+        ids = library.encode(r.t or "")
+        assert r.ids == ids and r.d == library.decode(ids)

@@ -4,8 +4,13 @@ from __future__ import annotations
 
 import re
 
+import public_tokenizers
+import regex
+
 import corpus_pipeline
-from packetloom.llm import secret_forest
+from packetloom.llm import piece_offsets, secret_forest
+
+from .test_simhash import brute, plain_fingerprint
 
 
 def test_stages(spark):
@@ -67,3 +72,25 @@ def test_added_names_in_the_input_stay(spark, tmp_path):
     assert len(got) >= 2
     for i, r in got.items():
         assert [r[n] for n in names] == [f"{n}{i}" for n in names]
+
+
+def test_run_keeps_what_plain_rules_keep(spark):
+    """Letters, components of plain fingerprints and plain windows, document by document."""
+    folder = "/root/testdata/sf0.01"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    ids = sorted(i for i, t in docs.items() if t and regex.search(r"\p{L}", t))
+    marks = [plain_fingerprint(docs[i]) for i in ids]
+    ids = sorted(set(brute(ids, marks, corpus_pipeline.COPY_BITS)))
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    windows = set()
+    for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect():
+        w = words(r.text)
+        windows |= {tuple(w[k : k + 10]) for k in range(max(1, len(w) - 9))} if w else set()
+    sizes = {len(w) for w in windows}
+    ids = [i for i in ids if not any(tuple(w[k : k + n]) in windows for w in [words(docs[i])] for n in sizes for k in range(len(w) - n + 1))]
+    got = {r.doc_id: r.ids for r in corpus_pipeline.run(spark, folder).select("doc_id", "ids").collect()}
+    assert sorted(got) == ids
+    # a text without candidates of secrets comes out as it is
+    library = piece_offsets.pieces(public_tokenizers.path("piece_bpe_32k.model")).library
+    plain = [i for i in ids if not re.search(r"[A-Za-z0-9+/_=-]{16,}|[=:]", docs[i])]
+    assert plain and all(got[i] == library.encode(docs[i]) for i in plain)

@@ -50,3 +50,17 @@ def test_empty_table(spark):
     path = scratch_path(spark, "t")
     token_planes.write_tokens(spark.createDataFrame([], "doc_id long, text string"), path, PATH)
     assert token_planes.read_tokens(spark, path).count() == 0
+
+
+def test_given_table_equals_library(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    path = scratch_path(spark, "given")
+    token_planes.write_tokens(docs, path, PATH, end_id=1)
+    library, start = Tokenizer.from_file(PATH), 0
+    got = {r.doc_id: r for r in token_planes.read_tokens(spark, path).collect()}
+    for r in sorted(docs.collect(), key=lambda r: r.doc_id):
+        ids = [*library.encode(r.text or "", add_special_tokens=False).ids, 1]
+        mine = got.pop(r.doc_id)
+        assert np.frombuffer(mine.ids, "<u4").tolist() == ids and (mine.start, mine.n_tokens) == (start, len(ids))
+        start += len(ids)
+    assert not got
