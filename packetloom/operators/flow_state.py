@@ -198,8 +198,9 @@ def evaluated(
 ) -> DataFrame:
     """Alerts whose rules' tests of flow variables hold; rules without such tests pass all.
 
-    ``alerts`` has every matched row, those of ``noalert`` rules too, for they change variables;
-    ``flow`` are the columns that name a flow. Flows of parts whose counters are lowered,
+    ``alerts`` has every matched row, those of ``noalert`` rules too, for they change variables; it
+    is read two or three times, so give a written table where matching is costly. ``flow`` are the
+    columns that name a flow. Flows of parts whose counters are lowered,
     or with more than ``MAX_STATES`` states, are followed whole, in one task each.
     """
     machine = state_machine(rules)
