@@ -7,8 +7,9 @@ pruning keeps those that no kept one is ``alpha`` times closer to. A query walks
 graph with a beam; what it finds is ranked by exact inner products in double precision.
 
 How wide the beam must be depends on the data, above all on the spread of the norms. Each shard
-tries it out when it is built: 64 of its vectors are searched for, and the beam is doubled
-until it finds nearly all that exact search finds, if need be up to the whole shard.
+tries it out when it is built: 32 of its vectors are searched for, and the beam is doubled
+until it finds nearly all that exact search finds. A shard in which a beam of ``MOST_BEAM`` does
+not, such as one of very many nearly equal vectors, is scanned whole.
 
 Equal vectors are one node with their least ids, as many as an answer can name. So a vector
 that is a third of the table neither fills a shard nor hides its neighbours, and no answer
@@ -33,7 +34,8 @@ QUERY_ROWS = 512
 DEGREE, BEAM, ALPHA = 32, 64, 1.2
 SEARCH_BEAM = 96
 #: Vectors that a shard is tried out with, and the share of nearest ones that must be found.
-TRIAL, LEAST_RECALL = 64, 0.98
+TRIAL, LEAST_RECALL = 32, 0.98
+MOST_BEAM = 384
 
 
 def _distance(x: np.ndarray, norms: np.ndarray, q: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -162,7 +164,8 @@ def valid_vectors(vectors: DataFrame, vec_id: str, vector: str) -> DataFrame:
 def wide_enough(
     x: np.ndarray, graph: np.ndarray, start: int, answers: int, beam: int = SEARCH_BEAM, least: float = LEAST_RECALL
 ) -> int:
-    """The beam from ``beam`` on, doubling, with which searches for some of the vectors find their nearest."""
+    """The beam from ``beam`` on, doubling, with which searches for some of the vectors find their
+    nearest; the number of vectors where ``MOST_BEAM`` is not wide enough."""
     n = len(x)
     k = min(answers + 1, n)
     q = x[np.random.default_rng(7).permutation(n)[:TRIAL]].copy()
@@ -170,13 +173,13 @@ def wide_enough(
     score = q @ x.T
     reached = np.partition(score, n - k, 1)[:, n - k]
     norms = np.einsum("nd,nd->n", x, x)
-    while beam < n:
+    while beam < n and beam <= max(MOST_BEAM, answers + 1):
         found, _ = beam_search(x, norms, graph, start, q, beam)
         hit = (np.take_along_axis(score, np.maximum(found, 0), 1) >= reached[:, None]) & (found >= 0)
         if np.minimum(hit.sum(1), k).sum() >= least * k * len(q):
-            break
+            return beam
         beam *= 2
-    return min(beam, n)
+    return n
 
 
 _SHARD = "shard int, ids binary, counts binary, vectors binary, graph binary, start int, beam int"
@@ -240,12 +243,28 @@ class _Shard:
         self.first = np.cumsum(self.counts) - self.counts
         self.start, self.beam = row["start"], row["beam"]
 
+    def _scanned(self, q: np.ndarray, k: int) -> np.ndarray:
+        """All nodes that reach each query's ``k``-th best score (-1: none)."""
+        score = q @ self.x[:, :-1].T
+        n = score.shape[1]
+        if n <= k:
+            return np.broadcast_to(np.arange(n), score.shape)
+        # the product may round otherwise than the exact score: nearly equal ones stay
+        near = np.partition(score, n - k, 1)[:, n - k]
+        reach = score >= (near - 1e-9 * (1 + np.abs(near)))[:, None]
+        width = int(reach.sum(1).max())
+        place = np.argsort(~reach, 1, kind="stable")[:, :width]
+        return np.where(np.take_along_axis(reach, place, 1), place, -1)
+
     def answers(self, name: np.ndarray, q: np.ndarray, beam: int, answers: int) -> pa.RecordBatch:
         """query_id, vec_id, score of the best that each query finds here."""
         found: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
         wide = np.concatenate((q, np.zeros((len(q), 1))), 1).astype(np.float32)
-        beam = min(max(beam, self.beam, answers + 1), len(self.counts))
-        nodes, _ = beam_search(self.single, self.norms, self.graph, self.start, wide, beam)
+        if self.beam >= len(self.counts):
+            nodes = self._scanned(q, answers + 1)
+        else:
+            beam = min(max(beam, self.beam, answers + 1), len(self.counts))
+            nodes, _ = beam_search(self.single, self.norms, self.graph, self.start, wide, beam)
         exact = np.einsum("qcd,qd->qc", self.x[np.maximum(nodes, 0), :-1], q)
         for i in range(len(q)):
             mine = nodes[i][nodes[i] >= 0]

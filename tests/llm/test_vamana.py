@@ -54,6 +54,24 @@ def test_unequal_norms(spark, scale):
     assert recall(answers(vamana.nearest(df, shard_rows=600)), brute(np.arange(1500), v, 20, 20)) > 0.95
 
 
+def test_a_shard_that_no_beam_searches_is_scanned(spark, monkeypatch):
+    """A dense clump of nearly equal vectors, and beams that always count as too narrow."""
+    rng = np.random.default_rng(1)
+    v = np.concatenate([rng.normal(size=(300, 8)), np.ones((500, 8)) + rng.normal(size=(500, 8)) * 1e-6])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    assert recall(answers(vamana.nearest(df)), brute(np.arange(800), v, 20, 20)) > 0.95
+    x = np.concatenate((v, np.zeros((800, 1))), 1).astype(np.float32)
+    graph, start = vamana.build_graph(x)
+    assert vamana.wide_enough(x, np.full_like(graph, -1), start, 20) == 800
+    row = {"counts": np.ones(800, np.int32).tobytes(), "ids": np.arange(800).tobytes(), "vectors": np.concatenate((v, np.zeros((800, 1))), 1).tobytes(),
+           "graph": graph.astype(np.int32).tobytes(), "start": start, "beam": 800}
+    found = vamana._Shard(row).answers(np.arange(0, 800, 20), v[::20], 96, 20).to_pydict()
+    got = {}
+    for q, i in zip(found["query_id"], found["vec_id"]):
+        got.setdefault(q, []).append((i, 0.0))
+    assert recall(got, brute(np.arange(800), v, 20, 20)) == 1
+
+
 def test_odd_rows(spark):
     one = [1.0, 0.0]
     rows = [(i, one, "x") for i in range(60)]
