@@ -35,7 +35,7 @@ from packetloom.llm.words import Remembered, expanded, slices, total_before, wor
 
 BLOCK = 4096
 CHUNK_IDS = 1 << 18
-TEXT_BYTES = 8 << 20
+TEXT_BYTES = 4 << 20  # of texts encoded at once
 _HEAD = struct.Struct("<4sIHBB")
 
 

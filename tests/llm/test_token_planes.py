@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers
 from tokenizers import Tokenizer
 
 from packetloom.llm import token_planes
+from packetloom.llm.words import expanded
 from packetloom.session import scratch_path
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -64,3 +67,28 @@ def test_given_table_equals_library(spark, data):
         assert np.frombuffer(mine.ids, "<u4").tolist() == ids and (mine.start, mine.n_tokens) == (start, len(ids))
         start += len(ids)
     assert not got
+
+
+@pytest.mark.parametrize("codes", [[], [1], [0, 2, 1, 2, 2, 0]])
+def test_expanded(codes):
+    entries = [np.array(x, np.int32).tobytes() for x in ([7, -8], [], [9])]
+    ids, counts = expanded(np.array(codes, np.int32), entries)
+    want = [np.frombuffer(entries[c], np.int32).tolist() for c in codes]
+    assert ids.tolist() == sum(want, []) and counts.tolist() == [len(w) for w in want]
+
+
+def test_expanding_takes_little_beside_the_result():
+    entries = [np.full(6, i, np.int32).tobytes() for i in range(100)]
+    codes = np.random.default_rng(0).integers(0, 100, 500_000, np.int32)
+    expanded(codes[:1], entries)  # what is imported on first use does not count
+    pool = pa.default_memory_pool()
+    before = pool.bytes_allocated()
+    tracemalloc.start()
+    try:
+        ids, counts = expanded(codes, entries)
+        numpy_peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(ids) == 3_000_000 and (counts == 6).all()
+    # Arrow holds the ids and offsets, numpy the counts
+    assert pool.bytes_allocated() - before + numpy_peak < 3 * ids.nbytes
