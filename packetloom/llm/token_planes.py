@@ -131,7 +131,7 @@ def word_encoder(path: str) -> Remembered:
 def encoded(texts: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """All ids of the texts, each text's closed by ``end_id``, and row offsets."""
     offsets, codes, names = words(texts)
-    entries = word_encoder(path)(names.to_pylist())
+    entries = word_encoder(path)(names.to_numpy(zero_copy_only=False).tolist())
     entries.append(np.array([end_id], np.int32).tobytes())
     codes = np.insert(codes, offsets[1:], len(entries) - 1)
     ids, counts = expanded(codes, entries)
